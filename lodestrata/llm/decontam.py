@@ -18,10 +18,17 @@ from .common import ascii_lower, drop_stored, stored, table
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+ENDS = r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+\z"
+
+
 def words(text: Column) -> Column:
     """Words of a text, lower-cased A-Z; [''] for a text without words and for null."""
-    ends = r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+\z"
-    return F.split(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), ends, ""), BREAK)
+    return F.split(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), ENDS, ""), BREAK)
+
+
+def low_words(text: Column) -> Column:
+    """words() in lower case beyond A-Z as well, as many of them: much cheaper to make, and equal wherever words() are."""
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ENDS, ""), BREAK)
 
 
 def item_windows(benchmark: DataFrame, size: int = 10, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -36,31 +43,34 @@ def find(docs: DataFrame, windows: DataFrame, doc: str = "doc_id", text: str = "
 
     windows: (item, window). Their number is counted first: up to most_broadcast distinct ones (a bound of some 40 MB) the documents are
     streamed past them and nothing of a document is shuffled. Beyond it, words in documents and necessary words are shuffled to meet,
-    without the text, and what meets goes back to its document to be compared.
+    without the text. Either finds places in lower case beyond A-Z as well; these go back to their documents, where the exact words are
+    compared.
     """
-    each = windows.select("window").distinct()
-    n = each.count()
-    small = n <= most_broadcast
+    each = windows.select("window").distinct().withColumn("low", F.transform("window", F.lower))
+    small = each.count() <= most_broadcast
     hint = F.broadcast if small else (lambda x: x)
-    base = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), words(F.col(text)).alias("w"))
+    base = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), low_words(F.col(text)).alias("w"))
     spread = base.select("doc", "th", "w", F.posexplode("w").alias("at", "word"))
-    needed = each.select(F.explode("window").alias("word")).distinct()
+    needed = each.select(F.explode("low").alias("word")).distinct()
     counts = stored(spread.select("word").join(hint(needed), "word").groupBy("word").count(), "decontam-words")
-    ranked = each.select("window", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
+    ranked = each.select("window", "low", F.posexplode("low").alias("offset", "word")).join(counts, "word", "left")
     # windows with a word that no document has can't occur; of the others the rarest word is kept, then the first by spelling
-    rarest = ranked.groupBy("window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "offset")).alias("r")).where("r.n > 0").select(F.col("r.word").alias("word"), F.col("r.offset").alias("offset"), "window", F.size("window").alias("len"))
+    rarest = ranked.groupBy("window", "low").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "offset")).alias("r")).where("r.n > 0").select(F.col("r.word").alias("word"), F.col("r.offset").alias("offset"), "window", "low", F.size("window").alias("len"))
     at = F.col("at") - F.col("offset")
-    fits = (at >= 0) & (at + F.col("len") <= F.size("w"))
-    same = F.slice("w", at + 1, F.col("len")) == F.col("window")
     if small:
-        # ends of a window come before the comparison of all its words
-        ends = (F.get("w", at) == F.get("window", F.lit(0))) & (F.get("w", at + F.col("len") - 1) == F.get("window", F.col("len") - 1))
-        found = spread.join(F.broadcast(rarest), "word").where(fits & ends & same).select("doc", "th", at.alias("start"), "len", "window")
+        fits = (at >= 0) & (at + F.col("len") <= F.size("w"))
+        # both ends of a window come before the comparison of all its words
+        ends = (F.get("w", at) == F.get("low", F.lit(0))) & (F.get("w", at + F.col("len") - 1) == F.get("low", F.col("len") - 1))
+        places = spread.join(F.broadcast(rarest), "word").where(fits & ends & (F.slice("w", at + 1, F.col("len")) == F.col("low")))
     else:
-        met = spread.select("doc", "th", "at", F.size("w").alias("n"), "word").join(rarest, "word").where((at >= 0) & (at + F.col("len") <= F.col("n"))).select("doc", "th", at.alias("start"), "len", "window")
-        found = met.join(base.withColumnsRenamed({"doc": "_doc", "th": "_th"}), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))
-        found = found.where(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("window")).select("doc", "th", "start", "len", "window")
-    return found.distinct()
+        places = spread.select("doc", "th", "at", F.size("w").alias("n"), "word").join(rarest, "word").where((at >= 0) & (at + F.col("len") <= F.col("n")))
+    places = stored(places.select("doc", "th", at.alias("start"), "len", "window").distinct(), "decontam-near")
+    wanted = places.select("doc", "th").distinct()
+    wanted = (F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted).withColumnsRenamed({"doc": "_doc", "th": "_th"})
+    whole = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left_semi")
+    whole = whole.dropDuplicates(["doc", "th"]).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), words(F.col("text")).alias("w"))
+    met = places.join(whole, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))
+    return met.where(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("window")).select("doc", "th", "start", "len", "window")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most_broadcast: int = 100_000) -> DataFrame:
@@ -84,7 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc: st
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    w = words(F.col("text"))
+    w = low_words(F.col("text"))
     n = F.when(F.get(w, F.lit(0)) == "", 0).otherwise(F.size(w)).cast("long")
     rows = docs.select("doc_id", F.xxhash64("text").alias("_th"), n.alias("n_words"))
     met = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_th") == F.col("th")), "left")
