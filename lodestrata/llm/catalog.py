@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, lines, mixing, quality, toxicity, warc
+import corpus_pipeline
+
+from . import chat, decontam, html, langid, lines, mixing, neardup, quality, toxicity, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_toxicity_chain": toxicity.op2_toxicity_chain,
+    "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
     "op4_language_id": langid.op4_language_id,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_warc_archive": warc.op6_warc_archive,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_html_extraction": html.op9_html_extraction,
     "op10_decontamination": decontam.op10_decontamination,
 }
-ORACLES = {"op1_chat_formatting": chat.OP1_SQL, "op6_warc_archive": warc.OP6_SQL, "op7_line_dedup": lines.OP7_SQL, "op10_decontamination": decontam.OP10_SQL}
+ORACLES = {"op1_chat_formatting": chat.OP1_SQL, "op3_minhash_near_dedup": neardup.OP3_SQL, "op6_warc_archive": warc.OP6_SQL, "op7_line_dedup": lines.OP7_SQL, "op10_decontamination": decontam.OP10_SQL}

@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BREAK, ascii_lower, drop_stored, stored, table
+from .common import BREAK, drop_stored, stored, table
 
 GRAM = 5
 
 
 def line_words(line: Column) -> Column:
-    """Words of a line, lower-cased A-Z; [''] for a line without words."""
-    return F.split(F.regexp_replace(ascii_lower(line), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), BREAK)
+    """Words of a line in lower case; [''] for a line without words."""
+    return F.split(F.regexp_replace(F.lower(line), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), BREAK)
 
 
 def tokens(w: Column) -> Column:
@@ -118,7 +118,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH l AS (SELECT doc_id, i, s, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+WITH l AS (SELECT doc_id, i, s, regexp_extract_all(lower(s), '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 k AS (SELECT *, array_to_string(w, ' ') AS words FROM l WHERE len(w) > 0),
 c AS (SELECT words, any_value(w) AS w, min((doc_id, i)) AS place FROM k GROUP BY words),

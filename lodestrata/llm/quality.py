@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BLANKS, BREAK, WORD_RE, WordHashes, ascii_lower, table, window_hashes
+from .common import BLANKS, BREAK, WORD_RE, WordHashes, table, window_hashes
 
 #: The symbols of the base rules, and the character classes of the histogram.
 SYMBOLS = "#*$%&|<>"
@@ -103,7 +103,7 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> Refer
     classes: dict[str, np.ndarray] = {}
     for r in sums:
         classes.setdefault(r.lang, np.zeros(len(CLASSES)))[r.k] = r.n
-    word = known.select("lang", F.explode(F.split(ascii_lower(F.col("text")), BREAK)).alias("w")).where("w <> ''").groupBy("lang", "w").count()
+    word = known.select("lang", F.explode(F.split(F.lower("text"), BREAK)).alias("w")).where("w <> ''").groupBy("lang", "w").count()
     total = word.groupBy("lang").agg(F.sum("count").alias("total"))
     counts = {r.lang: r.total for r in total.collect()}
     if not counts:
@@ -119,7 +119,7 @@ OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat
 _LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, refs: References, keep: list[str], text: Column | str = "text", most_class: float = 0.35, most_word: float = 0.75, least_chars: int = 200, least_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, refs: References, keep: list[str], text: Column | str = "text", most_class: float = 0.25, most_word: float = 0.57, least_chars: int = 200, least_words: int = 60) -> DataFrame:
     """The columns in keep with the base counts, both distances and the verdict.
 
     A distance is the least one to any language's reference. A document fails if its class histogram is further than most_class (from
@@ -146,7 +146,7 @@ def judge(docs: DataFrame, refs: References, keep: list[str], text: Column | str
                     far = float(js_distance(p / p.sum(), r.classes).min())
                     q = np.zeros(len(r.bin) + 1)
                     get = r.bin.get
-                    bins = [k for w in " ".join(words).translate(ASCII_LOWER).split(" ") if (k := get(w)) is not None]
+                    bins = [k for w in " ".join(words).lower().split(" ") if (k := get(w)) is not None]
                     q[:-1] = np.bincount(bins, minlength=len(r.bin)) if bins else 0
                     q[-1] = max(0, n - q[:-1].sum())
                     near = float(js_distance(q / max(1.0, q.sum()), r.words).min())
