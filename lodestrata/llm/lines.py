@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BREAK, drop_stored, stored, table
+from .common import BLANKS, BREAK, drop_stored, stored, table
 
 GRAM = 5
 
 
 def line_words(line: Column) -> Column:
     """Words of a line in lower case; [''] for a line without words."""
-    return F.split(F.regexp_replace(F.lower(line), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), BREAK)
+    return F.split(F.btrim(F.lower(line), F.lit(BLANKS)), BREAK)
 
 
 def tokens(w: Column) -> Column:
