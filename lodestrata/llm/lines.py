@@ -33,7 +33,7 @@ def tokens(h: Column) -> Column:
 
 
 def word_hashes(line: Column) -> Column:
-    """Hashes of the words of a line; of a line without words, of one empty word."""
+    """Hashes of the words of a line. A column of its own, not to be inlined into tokens(), which reads each hash GRAM times."""
     return F.transform(line_words(line), lambda w: F.xxhash64(w))
 
 
@@ -55,7 +55,7 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
     lines; ties in doc_id go by the hash of the text; an empty table gives no rows.
     """
     cut = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("at", "line"))
-    worded = cut.select("doc", "th", "at", word_hashes(F.col("line")).alias("w")).where(F.get("w", F.lit(0)) != F.xxhash64(F.lit("")))
+    worded = cut.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc", "th", "at", word_hashes(F.col("line")).alias("w"))
     sets = worded.select("doc", "th", "at", F.xxhash64("w").alias("h"), F.sort_array(tokens(F.col("w"))).alias("t"))
     lines = stored(sets.select("doc", "th", "at", "h", F.slice("t", F.lit(1), prefix_size(F.size("t"), percent)).alias("prefix")), "lines")
     place = F.struct("doc", "th", "at").alias("place")
@@ -73,7 +73,8 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
     wanted = open_.groupBy(F.col("place.doc").alias("doc"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct(F.col("place.at").alias("at"), "h")).alias("of"))
     wanted = stored(wanted, "lines-wanted")
     own = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text")).join(_near(wanted.count(), most_broadcast // 4, wanted), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_th") == F.col("th")))
-    own = own.select("doc", "th", F.split("_text", "\n").alias("l"), F.explode("of").alias("x")).select("doc", "th", F.col("x.at").alias("at"), F.col("x.h").alias("h"), tokens(word_hashes(F.get("l", F.col("x.at")))).alias("t")).dropDuplicates(["h"])
+    own = own.select("doc", "th", F.split("_text", "\n").alias("l"), F.explode("of").alias("x")).select("doc", "th", F.col("x.at").alias("at"), F.col("x.h").alias("h"), word_hashes(F.get("l", F.col("x.at"))).alias("w"))
+    own = own.select("doc", "th", "at", "h", tokens(F.col("w")).alias("t")).dropDuplicates(["h"])
     full = stored(own, "lines-full")
     counts = full.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
     ordered = full.select("h", F.explode("t").alias("token")).join(counts, "token").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("o"))
