@@ -40,16 +40,22 @@ def _sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([len(words)]), pa.array([toxic], pa.int64()), pa.array([seeds])], ["ids", "n", "toxic", "seeds"])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 120) -> np.ndarray:
-    """Logistic regression for each column of weight (one model per fold): accelerated gradient descent, an L2 penalty on all but the last column of x, which is ones."""
-    w = weight / np.maximum(1.0, weight.sum(0))
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 150) -> np.ndarray:
+    """Logistic regression for each column of weight (one model per fold), both classes weighing alike, with an L2 penalty on all but the last column of x, which is ones.
+
+    Accelerated gradient descent with a step of its own for each feature, from the bound of the Hessian by its row sums: rare words
+    converge as fast as frequent ones.
+    """
+    side = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+    w = weight * side[:, None]
+    w = w / np.maximum(1e-12, w.sum(0))
     pen = np.full((x.shape[1], 1), ridge / len(x))
-    pen[-1] = 0
-    rate = 1.0 / (0.25 * float(np.percentile((x * x).sum(1), 99)) + 1e-9)
-    v = at = np.zeros((x.shape[1], weight.shape[1]), x.dtype)
+    pen[-1] = 1e-6
+    bound = 0.25 * (np.abs(x) * np.abs(x).sum(1)[:, None]).T @ w + pen
+    v = at = np.zeros((x.shape[1], weight.shape[1]))
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        new = at - rate * (x.T @ (w * (p - y[:, None])) + pen * at).astype(x.dtype)
+        p = 1 / (1 + np.exp(-np.clip(x @ at.astype(x.dtype), -30, 30)))
+        new = at - (x.T @ (w * (p - y[:, None])).astype(x.dtype) + pen * at) / bound
         at, v = new + k / (k + 3) * (new - v), new
     return v
 
@@ -78,7 +84,7 @@ def select_features(ids: list[np.ndarray], toxic: np.ndarray, most: int) -> list
     n, m = toxic.sum(), len(toxic) - toxic.sum()
     odds = np.log((a + 0.5) / (n - a + 0.5)) - np.log((b + 0.5) / (m - b + 0.5))
     low = odds - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    good = np.flatnonzero((a >= 2) & (low > 0.5))
+    good = np.flatnonzero((a >= 3) & (low > 1.0))
     return [int(h) for h in names[good[np.lexsort((names[good], -low[good]))][:most]]]
 
 

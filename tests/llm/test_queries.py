@@ -1,0 +1,64 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import corpus_pipeline
+from comparison import duck, same
+from lodestrata.llm import catalog, decontam, langid, neardup
+from lodestrata.llm.common import WORD_RE
+
+from test_lines_decontam import brute_decontam, brute_lines
+from test_mixing_warc import brute_targets
+from test_neardup import brute as brute_near
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_matches_sql(spark, name):
+    same(catalog.QUERIES[name](spark, SF), duck(SF), catalog.ORACLES[name])
+
+
+def test_native_operators_use_no_python(spark):
+    for name in ("op7_line_dedup", "op10_decontamination"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_pipeline_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = langid.fit(docs)
+    text = {k: r.text for k, r in rows.items() if (x := langid.features(r.text)) is not None and model.predict(x)[1] >= corpus_pipeline.LEAST_SCORE}
+    left = brute_lines(list(text.items()))
+    text = {k: t for k, t in left.items() if t == text[k] or WORD_RE.search(t)}
+    near = brute_near(sorted(text.items()))
+    text = {k: text[k] for k, _, c, _ in near if k == c}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = brute_decontam(list(text.items()), items)
+    text = {k: t for k, t in text.items() if k not in bad}
+    sizes, size = {}, {k: len(WORD_RE.findall(t)) for k, t in text.items()}
+    for k in text:
+        sizes[rows[k].source] = sizes.get(rows[k].source, 0) + size[k]
+    target = brute_targets(sizes, {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))})
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in got} <= set(text) and len(got) == len({r.doc_id for r in got})
+    assert all(r.text == text[r.doc_id] and r.mix_size == size[r.doc_id] and 0 < r.mix_taken <= 3 * r.mix_size for r in got)
+    for s in sizes:
+        assert abs(sum(r.mix_taken for r in got if r.source == s) - target[s]) <= 2
+
+
+def test_stages_return_the_columns_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = docs.selectExpr("*", "1 AS score", "'x' AS kept", "2 AS th", "3 AS id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, SF)
+        assert out.columns == extra.columns and dict(out.dtypes) == dict(extra.dtypes), name
+        assert stage(spark, extra.limit(0), SF).count() == 0
+        null = spark.createDataFrame([(None, None, None, None, None, None, None, None, None)], extra.schema)
+        stage(spark, extra.unionByName(null), SF).count()
+    assert corpus_pipeline.STAGES[-1][1](spark, extra.limit(0), SF).count() == 0
+    assert decontam and neardup
