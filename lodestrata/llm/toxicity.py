@@ -101,6 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
         return None
     share = F.when(F.col("_toxic") == 1, most_toxic / counts[1]).otherwise(most_clean / counts[0])
     drawn = said.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(2**31)) < share * 2**31)
+    # the draw is bounded, so texts needn't be shuffled to meet it; a draw that isn't small (a bound set very high) is joined by shuffling
+    drawn = F.broadcast(drawn) if drawn.count() <= 200_000 else drawn
     rows = docs.where("text IS NOT NULL").join(drawn, F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").cast("long").alias("toxic")).mapInArrow(_sample, "ids binary, n long, toxic long, seeds array<long>").collect()
     rows = sorted(rows, key=lambda r: (r.n, bytes(r.ids), r.toxic))
     toxic = np.array([r.toxic for r in rows])
