@@ -5,10 +5,10 @@ doc_id and line number, has a Jaccard similarity of at least `similar` with it;
 
 1. Lines of the same words are one class, which its first line stands for.
 2. A prefix of n - ceil(t n) + 1 tokens in any fixed order must meet the prefix of a similar line. With tokens in the order of their
-   hashes this screens out the classes that share no prefix token with another: one aggregation, no pairs.
-3. What is left is joined in full: tokens ordered by rarity, exact counts; prefix, length and positional filters; verified on whole sets.
-   First against the first line of each token's lines, which settles large groups of near copies with one comparison a line and token;
-   lines that this leaves open meet every earlier line that shares a prefix token.
+   hashes this screens out the classes that share no prefix token with another, in one count. The others are compared with the first line
+   of each of their prefix tokens: a large group of near copies is settled by one comparison a line and token.
+3. Lines that this leaves open, with all lines that share a token with them, are joined in full: tokens ordered by rarity, exact
+   counts; prefix, length and positional filters; verified on whole sets.
 """
 
 from __future__ import annotations
@@ -57,35 +57,27 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
     cut = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("at", "line"))
     worded = cut.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc", "th", "at", word_hashes(F.col("line")).alias("w"))
     sets = worded.select("doc", "th", "at", F.xxhash64("w").alias("h"), F.sort_array(tokens(F.col("w"))).alias("t"))
-    lines = stored(sets.select("doc", "th", "at", "h", F.slice("t", F.lit(1), prefix_size(F.size("t"), percent)).alias("prefix")), "lines")
+    lines = stored(sets.select("doc", "th", "at", "h", F.size("t").alias("n"), F.slice("t", F.lit(1), prefix_size(F.size("t"), percent)).alias("prefix")), "lines")
     place = F.struct("doc", "th", "at").alias("place")
 
     # 1. lines of the same words
     same = stored(lines.groupBy("h").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1").select("h", "place"), "lines-same")
-
-    # 2. classes that share a prefix token
-    shared = stored(lines.select("h", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("token"), "lines-shared")
-    n_shared = shared.count()
-    open_ = lines.select("doc", "th", "at", "h", F.explode("prefix").alias("token")).join(_near(n_shared, 3 * most_broadcast, shared), "token").groupBy("h").agg(F.min(place).alias("place"))
-    open_ = stored(open_, "lines-open")
-
-    # 3. the join proper, over the first line of each class that is left
-    wanted = open_.groupBy(F.col("place.doc").alias("doc"), F.col("place.th").alias("th")).agg(F.collect_list(F.struct(F.col("place.at").alias("at"), "h")).alias("of"))
+    known = _near(same.count(), most_broadcast, same.select(F.col("h").alias("_h"), F.col("place").alias("_place")))
+    leads = lines.select("*", place).join(known, F.col("h") == F.col("_h"), "left").where(F.col("_h").isNull() | F.col("place").eqNullSafe(F.col("_place"))).select("h", "n", "place", "prefix")
+
+    # 2. first lines that share a prefix token, in the order of hashes; each against the first line of each of its tokens
+    shared = stored(leads.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "lines-shared")
+    met = leads.select("h", "n", "place", F.posexplode("prefix").alias("pos", "token")).join(_near(shared.count(), 3 * most_broadcast, shared), "token")
+    near = stored(met, "lines-near")
+    wanted = near.groupBy(F.col("place.doc").alias("doc"), F.col("place.th").alias("th")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "h")).alias("of"))
     wanted = stored(wanted, "lines-wanted")
     own = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text")).join(_near(wanted.count(), most_broadcast // 4, wanted), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_th") == F.col("th")))
-    own = own.select("doc", "th", F.split("_text", "\n").alias("l"), F.explode("of").alias("x")).select("doc", "th", F.col("x.at").alias("at"), F.col("x.h").alias("h"), word_hashes(F.get("l", F.col("x.at"))).alias("w"))
-    own = own.select("doc", "th", "at", "h", tokens(F.col("w")).alias("t")).dropDuplicates(["h"])
-    full = stored(own, "lines-full")
-    counts = full.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-    ordered = full.select("h", F.explode("t").alias("token")).join(counts, "token").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("o"))
-    n = F.size("o")
-    ranked = ordered.select("h", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), prefix_size(n, percent))).alias("pos", "x")).where("x.c > 1").select("h", "n", "pos", F.col("x.token").alias("token"))
-    prefixes = stored(ranked.join(full.select("h", place), "h"), "lines-prefixes")
+    own = own.select(F.split("_text", "\n").alias("l"), F.explode("of").alias("x")).select(F.col("x.h").alias("h"), word_hashes(F.get("l", F.col("x.at"))).alias("w"))
+    full = stored(own.select("h", tokens(F.col("w")).alias("t")), "lines-full")  # equal rows of docs give equal sets, which does no harm below
 
     least = F.floor(((F.col("n") + F.col("n2")) * percent + (99 + percent)) / (100 + percent))  # the overlap that the similarity needs
     # no token before a pair's first shared one is shared, so what follows it in the shorter rest must suffice
     fits = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= least)
-    other = F.struct("place", "h", "n", "pos")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """h of the lines that an earlier one matches."""
@@ -93,17 +85,27 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
         met = pairs.select("h", "h2").distinct().join(a, "h").join(b, "h2").withColumn("both", F.size(F.array_intersect("t1", "t2")))
         return met.where(F.col("both") * 100 >= (F.size("t1") + F.size("t2") - F.col("both")) * percent).select("h").distinct()
 
-    first = prefixes.groupBy("token").agg(F.min(other).alias("o")).select("token", F.col("o.h").alias("h2"), F.col("o.n").alias("n2"), F.col("o.pos").alias("pos2"))
-    settled = stored(verified(prefixes.join(first, "token").where((F.col("h") != F.col("h2")) & fits)), "lines-settled")
-    rest = prefixes.join(settled, "h", "left_anti")
+    first = near.groupBy("token").agg(F.min(F.struct("place", "h", "n", "pos")).alias("o")).select("token", F.col("o.h").alias("h2"), F.col("o.n").alias("n2"), F.col("o.pos").alias("pos2"))
+    settled = stored(verified(near.join(first, "token").where((F.col("h") != F.col("h2")) & fits)), "lines-settled")
+
+    # 3. what that leaves open, and the lines it shares tokens with: the join by rarity
+    rest = near.join(settled, "h", "left_anti")
+    mixed = near.groupBy("token").agg(F.min("place").alias("low")).join(rest.groupBy("token").agg(F.max("place").alias("high")), "token").where("high > low").select("token")
+    some = stored(near.join(mixed, "token").select("h", "place").distinct(), "lines-open")
+    some_full = some.join(full.dropDuplicates(["h"]), "h")
+    counts = some_full.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    ordered = some_full.select("h", F.explode("t").alias("token")).join(counts, "token").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("o"))
+    size = F.size("o")
+    ranked = ordered.select("h", size.alias("n"), F.posexplode(F.slice("o", F.lit(1), prefix_size(size, percent))).alias("pos", "x")).where("x.c > 1").select("h", "n", "pos", F.col("x.token").alias("token"))
+    prefixes = stored(ranked.join(some, "h"), "lines-prefixes")
     earlier = prefixes.select("token", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("place").alias("place2"))
-    late = stored(verified(rest.join(earlier, "token").where((F.col("place2") < F.col("place")) & fits)), "lines-late")
+    late = stored(verified(prefixes.join(settled, "h", "left_anti").join(earlier, "token").where((F.col("place2") < F.col("place")) & fits)), "lines-late")
 
     gone = same.unionByName(settled.unionByName(late).select("h", F.lit(None).cast(same.schema["place"].dataType).alias("place")))
     gone = stored(gone.groupBy("h").agg(F.max(F.col("place").isNull()).alias("whole"), F.max("place").alias("first")), "lines-gone")
     hit = lines.select("doc", "th", "at", "h").join(_near(gone.count(), most_broadcast, gone), "h").where(F.col("whole") | ~F.struct("doc", "th", "at").eqNullSafe(F.col("first")))
     out = stored(hit.groupBy("doc", "th").agg(F.sort_array(F.collect_set("at")).alias("gone")), "lines-out")
-    drop_stored(lines, same, shared, open_, wanted, full, prefixes, settled, late, gone)
+    drop_stored(lines, same, shared, near, wanted, full, some, prefixes, settled, late, gone)
     return out
 
 
