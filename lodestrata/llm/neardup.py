@@ -8,7 +8,10 @@ similarity 0.75 together but for a chance below 1e-9 a first level, which is wha
 Work stays linear where a node is large. Equal sets are one class from the start. In every node of the first level each class is compared
 with the node's first class (the pivot): a large group of near copies is linked by as many comparisons as it has members. What remains in a
 node are pairs of different components: nodes with at most REST classes outside their largest component compare these with all
-others exhaustively; larger ones branch again, and what hasn't become small after DEPTH levels is compared exhaustively all the same.
+others exhaustively; larger ones branch again, STEP levels at a time, and what hasn't become small after DEPTH such steps is compared
+exhaustively all the same. Nodes are kept small because texts that are alike but not near enough stay together for many levels: the
+work on n of them follows n, not its square. A pair at similarity 0.75 is still together at level k of a tree with a chance of about
+2 / (0.375 k), so TREES = 20 miss it in a node that needs 14 levels with a chance of 1e-4, and far less above that similarity.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, WORD_RE, WordHashes, drop_stored, mix64, stored, table, window_hashes
 from .graph import components
 
-WIDTH, TREES, REST, DEPTH, GRAM = 64, 12, 64, 10, 5
+WIDTH, TREES, REST, STEP, DEPTH, GRAM = 64, 20, 16, 2, 8, 5
 _A = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Estimates this far below the similarity are sorted out before the confirmation: five standard deviations of WIDTH coordinates.
-SLACK = 0.28
+#: Estimates this far below the similarity are sorted out before the confirmation: 4.6 standard deviations of WIDTH coordinates.
+SLACK = 0.25
 
 
 def shingle_set(text: str | None, cache: WordHashes, gram: int = GRAM) -> np.ndarray:
@@ -108,8 +111,11 @@ def _roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _deeper(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            rows, path = _branch(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _matrix(b.column(2)))
-            yield pa.RecordBatch.from_arrays([_signed(path), pa.array(b.column(1).to_numpy(zero_copy_only=False)[rows])], ["path", "cid"])
+            path, cid, sig = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False), _matrix(b.column(2))
+            for _ in range(STEP):
+                rows, path = _branch(path, sig)
+                cid, sig = cid[rows], sig[rows]
+            yield pa.RecordBatch.from_arrays([_signed(path), pa.array(cid)], ["path", "cid"])
 
 
 def _estimate(least: float):
