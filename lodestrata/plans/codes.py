@@ -124,7 +124,7 @@ def explode_links(spark, d):
 @query("crosstab_level", f"WITH {_SETS}, x AS (SELECT ({_COMMON}) AS k, CASE WHEN len(codes) = 1 THEN 'single' ELSE 'multi' END AS kind FROM cs) SELECT k::INT AS common_level, count(*) FILTER (WHERE kind = 'single') AS single, count(*) FILTER (WHERE kind = 'multi') AS multi FROM x GROUP BY k")
 def crosstab_level(spark, d):
     x = code_sets(spark, d).select(H.common_level(F.col("codes")).alias("common_level"), F.when(F.size("codes") == 1, "single").otherwise("multi").alias("kind"))
-    return x.groupBy("common_level").pivot("kind", ["single", "multi"]).agg(F.count("*")).na.fill(0)
+    return x.groupBy("common_level").pivot("kind", ["single", "multi"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("code_path", f"WITH {CODES} SELECT code, array_to_string([substr(code, 1, n) FOR n IN [1, 3, 4, 5, 7] IF n <= length(code)], ' > ') AS path FROM codes")
@@ -150,7 +150,7 @@ _TIERS = "w AS (SELECT DISTINCT upper(unnest(string_split(p_name, ' '))) AS word
 
 
 def tier_rows(spark, d):
-    w = table(spark, d, "part").select(F.upper(F.explode(F.split("p_name", " "))).alias("key")).distinct()
+    w = table(spark, d, "part").select(F.explode(F.split(F.upper("p_name"), " ")).alias("key")).distinct()
     pad = lambda x: F.lpad((x % 100).cast("string"), 2, "0")
     n, a = F.length("key"), F.ascii("key")
     rules = F.filter(F.array(F.when(n % 3 == 0, F.struct(F.lit(1).alias("tier"), F.concat(F.lit("A"), pad(n * 7)).alias("code"))), F.when(n % 2 == 0, F.struct(F.lit(2).alias("tier"), F.concat(F.lit("B"), pad(a)).alias("code"))), F.when(a % 2 == 0, F.struct(F.lit(3).alias("tier"), F.concat(F.lit("C"), pad(n)).alias("code")))), lambda x: x.isNotNull())

@@ -96,10 +96,10 @@ def paired(spark, d) -> DataFrame:
     return rows.groupBy(*KEYS).agg((F.avg(F.abs(F.col("v") - F.coalesce("last", z))) - F.avg(F.abs(F.col("v") - F.coalesce("back", z)))).alias("delta"), F.count("*").alias("n"))
 
 
-@query("paired_delta", f"WITH {_PAIR} SELECT market, count(*) AS n_series, round(sum(delta * n) / sum(n), 6) AS delta, count(*) FILTER (WHERE delta > 0) AS n_better, count(*) FILTER (WHERE delta < 0) AS n_worse FROM pr GROUP BY market")
+@query("paired_delta", f"WITH {_PAIR} SELECT market, count(*) AS n_series, round(sum(delta * n) / sum(n), 6) + 0.0 AS delta, count(*) FILTER (WHERE delta > 0) AS n_better, count(*) FILTER (WHERE delta < 0) AS n_worse FROM pr GROUP BY market")
 def paired_delta(spark, d):
     x = F.col("delta")
-    return paired(spark, d).groupBy("market").agg(F.count("*").alias("n_series"), F.round(F.sum(x * F.col("n")) / F.sum("n"), 6).alias("delta"), F.count_if(x > 0).alias("n_better"), F.count_if(x < 0).alias("n_worse"))
+    return paired(spark, d).groupBy("market").agg(F.count("*").alias("n_series"), (F.round(F.sum(x * F.col("n")) / F.sum("n"), 6) + 0.0).alias("delta"), F.count_if(x > 0).alias("n_better"), F.count_if(x < 0).alias("n_worse"))
 
 
 @query("holm", f"WITH {_PAIR}, p AS (SELECT market, round(count(*) FILTER (WHERE delta <= 0) / count(*) / 10, 9) AS p FROM pr GROUP BY market), r AS (SELECT *, row_number() OVER (ORDER BY p, market) AS k, count(*) OVER () AS n FROM p) SELECT market, p, round(least(1, max((n - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)), 9) AS p_holm, CASE WHEN least(1, max((n - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) < 0.05 THEN 'significant' ELSE 'not significant' END AS verdict FROM r")

@@ -32,10 +32,10 @@ def _to_first(spark, d, expr):
     """Every vector beside the first one of its label."""
     e = emb(spark, d)
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("w"), F.min("vec_id").alias("other"))
-    return e.join(first, "label").select("vec_id", "other", F.round(expr(F.col("embedding"), F.col("w")), 5).alias("distance"))
+    return e.join(first, "label").select("vec_id", "other", (F.round(expr(F.col("embedding"), F.col("w")), 5) + 0.0).alias("distance"))
 
 
-@query("cosine_pairs", f"WITH {_E}, o AS (SELECT label, min(vec_id) AS other FROM e GROUP BY label) SELECT e.vec_id, other, round({_COS.format(a='e.n', b='b.n', x='e.v', y='b.v')}, 5) AS distance FROM e JOIN o USING (label) JOIN e b ON b.vec_id = other")
+@query("cosine_pairs", f"WITH {_E}, o AS (SELECT label, min(vec_id) AS other FROM e GROUP BY label) SELECT e.vec_id, other, round({_COS.format(a='e.n', b='b.n', x='e.v', y='b.v')}, 5) + 0.0 AS distance FROM e JOIN o USING (label) JOIN e b ON b.vec_id = other")
 def cosine_pairs(spark, d):
     return _to_first(spark, d, V.cosine_distance)
 
@@ -135,7 +135,7 @@ def seed_robustness(spark, d):
     return out.agg(F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("sd"), F.min("rho").alias("least"), F.max("rho").alias("most"), (F.max("rho") - F.min("rho")).alias("spread"))
 
 
-@query("mean_rank_map", f"WITH {_NN}, t AS (SELECT vec_id AS u, vec_id // 10 AS w FROM e WHERE vec_id >= 10 AND vec_id // 10 <> vec_id), ed AS (SELECT u, w FROM t UNION ALL SELECT w, u FROM t), dd AS (SELECT u, w, dist FROM ed JOIN x ON x.vec_id = u AND x.other = w), rk AS (SELECT u, w, 1 + count(*) FILTER (WHERE x.dist <= dd.dist AND x.other <> dd.w AND o.w IS NULL) AS rank FROM dd JOIN x ON x.vec_id = u LEFT JOIN ed o ON o.u = dd.u AND o.w = x.other GROUP BY u, w) SELECT count(*) AS n_edges, round(avg(rank), 4) AS mean_rank, round(avg(1.0 / rank), 5) AS map FROM rk")
+@query("mean_rank_map", f"WITH {_NN}, t AS (SELECT vec_id AS u, vec_id // 10 AS w FROM e WHERE vec_id >= 10 AND vec_id // 10 <> vec_id), ed AS (SELECT u, w FROM t UNION ALL SELECT w, u FROM t), dd AS (SELECT u, w, dist FROM ed JOIN x ON x.vec_id = u AND x.other = w), rk AS (SELECT dd.u, dd.w, 1 + count(*) FILTER (WHERE x.dist <= dd.dist AND x.other <> dd.w AND o.w IS NULL) AS rank FROM dd JOIN x ON x.vec_id = u LEFT JOIN ed o ON o.u = dd.u AND o.w = x.other GROUP BY dd.u, dd.w) SELECT count(*) AS n_edges, round(avg(rank), 4) AS mean_rank, round(avg(1.0 / rank), 5) AS map FROM rk")
 def mean_rank_map(spark, d):
     e = emb(spark, d)
     t = e.where("vec_id >= 10").select(F.col("vec_id").alias("u"), F.floor(F.col("vec_id") / 10).alias("w"))
