@@ -20,8 +20,9 @@ MOST_BROADCAST = 1_000_000
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the rows whose (doc_id, hash of the text) is listed in gone (id, th)."""
     gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    left = docs.withColumn("_th", F.xxhash64("text"))
-    return left.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left_anti").select(*docs.columns)
+    # whatever the columns of docs are called, they travel as one
+    left = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("_th"))
+    return left.join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left_anti").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = told.where("kept").groupBy("doc_id", "component_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
     if not again.limit(1).count():
         return left
-    once = left.join(again, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").unionByName(once)
+    rows = left.select(F.struct(*left.columns).alias("row")).join(again, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_semi")
+    once = rows.select("row", F.col("row.doc_id").alias("id")).dropDuplicates(["id"]).select("row.*")
+    others = left.select(F.struct(*left.columns).alias("row")).join(again, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")
+    return others.unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
