@@ -58,7 +58,7 @@ def test_stages_return_the_columns_of_documents(spark):
         out = stage(spark, extra, SF)
         assert out.columns == extra.columns and dict(out.dtypes) == dict(extra.dtypes), name
         assert stage(spark, extra.limit(0), SF).count() == 0
-        null = spark.createDataFrame([(None, None, None, None, None, None, None, None, None)], extra.schema)
+        null = spark.createDataFrame([(None,) * 9], ", ".join(f"{n} {t}" for n, t in extra.dtypes))
         stage(spark, extra.unionByName(null), SF).count()
     assert corpus_pipeline.STAGES[-1][1](spark, extra.limit(0), SF).count() == 0
     assert decontam and neardup
