@@ -38,6 +38,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what the step shuffled is garbage from here on, but executors keep the files until the driver collects its own
+    spark._jvm.System.gc()
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
