@@ -69,11 +69,10 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
     shared = stored(leads.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "lines-shared")
     met = leads.select("h", "n", "place", F.posexplode("prefix").alias("pos", "token")).join(_near(shared.count(), 3 * most_broadcast, shared), "token")
     near = stored(met, "lines-near")
-    wanted = near.groupBy(F.col("place.doc").alias("doc"), F.col("place.th").alias("th")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "h")).alias("of"))
-    wanted = stored(wanted, "lines-wanted")
+    wanted = stored(near.groupBy(F.col("place.doc").alias("doc"), F.col("place.th").alias("th")).agg(F.collect_set("place.at").alias("ats")), "lines-wanted")
     own = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text")).join(_near(wanted.count(), most_broadcast // 4, wanted), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_th") == F.col("th")))
-    own = own.select(F.split("_text", "\n").alias("l"), F.explode("of").alias("x")).select(F.col("x.h").alias("h"), word_hashes(F.get("l", F.col("x.at"))).alias("w"))
-    full = stored(own.select("h", tokens(F.col("w")).alias("t")), "lines-full")  # equal rows of docs give equal sets, which does no harm below
+    own = own.select("ats", F.posexplode(F.split("_text", "\n")).alias("at", "line")).where(F.array_contains("ats", F.col("at"))).select(word_hashes(F.col("line")).alias("w"))
+    full = stored(own.select(F.xxhash64("w").alias("h"), tokens(F.col("w")).alias("t")), "lines-full")  # equal rows of docs give equal sets, which does no harm below
 
     least = F.floor(((F.col("n") + F.col("n2")) * percent + (99 + percent)) / (100 + percent))  # the overlap that the similarity needs
     # no token before a pair's first shared one is shared, so what follows it in the shorter rest must suffice
