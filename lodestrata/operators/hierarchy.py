@@ -36,8 +36,11 @@ def collapse(codes: Column) -> Column:
 
 def common_level(codes: Column) -> Column:
     """Deepest of levels 4 to 1 whose prefixes all agree, else 0."""
+    def agree(n: int) -> Column:
+        return F.size(F.array_distinct(F.transform(codes, lambda c: F.substring(c, 1, n)))) == 1
+
     out = None
     for k, n in ((4, 5), (3, 4), (2, 3), (1, 1)):
-        same = F.size(F.array_distinct(F.transform(codes, lambda c, n=n: F.substring(c, 1, n)))) == 1
+        same = agree(n)
         out = F.when(same, k) if out is None else out.when(same, k)
     return out.otherwise(0)

@@ -109,4 +109,4 @@ def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], li
                 part = b.slice(i, batch)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(embedder(part.column(1).to_pylist()), pa.list_(pa.float32()))], [key, "embedding"])
 
-    return df.select(key, text).mapInArrow(run, df.select(key).schema.add("embedding", "array<float>"))
+    return df.select(key, text).mapInArrow(run, df.select(key).schema.add("embedding", T.ArrayType(T.FloatType())))
