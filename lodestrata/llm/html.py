@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ SKIPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors banner promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets related recommended share sharing social "
     "comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login search pagination pager copyright legal disclaimer skip".split()
 )
+#: An article called so is none.
+NO_ARTICLE = frozenset("comment comments reply ad ads advert related".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|title|svg|iframe"
@@ -29,7 +32,7 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b[^>]*>.*?(
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
-MOST_STREAM, MOST_PERIOD = 400, 12
+MOST_STREAM, MOST_PERIOD, LEAST_PAGES = 400, 12, 3
 
 
 def host_of(url: str | None) -> str:
@@ -38,18 +41,24 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    """An open element: its name, its signature (name, class and id), whether its text is left out, whether it is or is in an article."""
+    """An open element: its name, its signature (name, class and id), the path of block elements down to it, whether its text is a link's, is left out, is or is in a marked article."""
 
-    __slots__ = ("article", "name", "sign", "skipped")
+    __slots__ = ("article", "block", "link", "name", "sign", "skipped")
 
     def __init__(self, name: str, attributes: str, parent: Node | None):
         found = {k.lower(): (a or b or c).lower() for k, a, b, c in _NAMES.findall(attributes)} if attributes else {}
         words = set(re.findall(r"[a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}")) if found else ()
         self.name = name
         self.sign = name + (f".{found['class']}" if found.get("class") else "") + (f"#{found['id']}" if found.get("id") else "")
-        whole = name in ("html", "body", "main") or name == "article" and not words & {"comment", "comments", "reply", "ad", "ads", "advert", "related"} if words else name in ("html", "body", "main", "article")
-        self.skipped = parent is not None and parent.skipped or name in SKIPPED or (bool(words) and not whole and bool(SKIPPED_WORDS & words))
-        self.article = parent is not None and parent.article or (not self.skipped and (name in ("article", "main") or found.get("role") in ("main", "article")))
+        self.block = parent.block if parent is not None else ""
+        if name in BLOCKS:
+            self.block += ">" + self.sign if self.block else self.sign
+        self.link = name == "a" or parent is not None and parent.link
+        marked = name == "main" or found.get("role") == "main" or name == "article" and not (words and words & NO_ARTICLE)
+        within = parent is not None and parent.article
+        # an outermost marked article is never left out for what its ancestors are called; what is left out of an article stays out
+        self.skipped = parent is not None and parent.skipped and not (marked and not within) or not marked and (name in SKIPPED or (bool(words) and name not in ("html", "body") and bool(SKIPPED_WORDS & words)))
+        self.article = within or marked and not self.skipped
 
 
 def parse(page: str) -> Iterator[tuple[str, str, Node | None]]:
@@ -117,41 +126,78 @@ def fold(stream: list[tuple]) -> list[tuple]:
     return stream
 
 
-def stream_of(page: str) -> tuple[list[tuple], dict[str, tuple[int, int]]]:
-    """The folded token stream of a page (("<", sign), (">", sign), ("t", path, hash of the text)), and per path of a text its words and those in links."""
-    stream, slots, path = [], {}, []
-    links = 0
-    for kind, value, node in parse(page):
+def stream_of(tokens: Iterable[tuple[str, str, Node | None]]) -> list[tuple]:
+    """The folded token stream of a parsed page: ("<", sign), (">", sign), ("t", path, hash of the text)."""
+    stream, path = [], []
+    for kind, value, node in tokens:
         if kind == "text":
-            words = len(value.split())
-            if words:
-                key = ">".join(path)
-                n, linked = slots.get(key, (0, 0))
-                slots[key] = n + words, linked + (words if links else 0)
-                stream.append(("t", key, zlib.crc32(value.encode("utf-8", "surrogatepass"))))
+            if value.strip():
+                stream.append(("t", ">".join(path), _hash(value)))
         elif kind == "open":
             stream.append(("<", value))
             if node.name not in VOID and node.name not in RAW_NAMES:
                 path.append(value)
-                links += node.name == "a"
         elif node is not None:
             stream.append((">", value))
             if path:
                 path.pop()
-                links -= node.name == "a"
-    return fold(stream), slots
+    return fold(stream)
+
+
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def blocks_of(tokens: Iterable[tuple[str, str, Node | None]]) -> list[tuple[str, str, int, bool]]:
+    """The blocks of text of a parsed page, without skipped elements: (path of block elements, text, words in links, whether in a marked article)."""
+    out, held, links, key = [], [], [], ("", False)
+
+    def flush():
+        text = " ".join(html.unescape("".join(held)).split())
+        if text:
+            out.append((key[0], text, sum(links), key[1]))
+        held.clear(), links.clear()
+
+    for kind, value, node in tokens:
+        if kind == "text":
+            if node is not None and node.skipped:
+                continue
+            at = (node.block, node.article) if node is not None else ("", False)
+            if at != key:
+                flush()
+                key = at
+            held.append(value)
+            if node is not None and node.link:
+                links.append(len(value.split()))
+        else:
+            name = node.name if node is not None else value
+            if name in BLOCKS or node is not None and node.skipped:
+                flush()
+            elif name == "br":
+                held.append(" ")
+    flush()
+    return out
 
 
 class Wrapper:
-    """expression: tags, ("t", path, hash) template texts, ("#", path) text slots, ("+", group) repeated, ("?", group) optional; it describes a page's first MOST_STREAM folded tokens, and what comes later is never template. slots: path -> words and linked words over all pages."""
+    """expression: tags, ("t", path, hash) template texts, ("#", path) text slots, ("+", group) repeated, ("?", group) optional; it describes a page's first MOST_STREAM folded tokens. slots: path of a block -> hash of its text (None once two blocks of that path differ, on one page or two), up to LEAST_PAGES different pages that have it, words and linked words over all pages. What is template is decided by the slots."""
 
     def __init__(self, expression: list, slots: dict[str, list], pages: int):
         self.expression, self.slots, self.pages = expression, slots, pages
 
     @classmethod
     def of(cls, page: str) -> Wrapper:
-        stream, slots = stream_of(page)
-        return cls(stream[:MOST_STREAM], {k: list(v) for k, v in slots.items()}, int(bool(stream)))
+        tokens = list(parse(page))
+        stream, blocks = stream_of(tokens), blocks_of(tokens)[:MOST_STREAM]
+        said = xxhash.xxh64_intdigest("\n".join(text for _, text, _, _ in blocks).encode("utf-8", "surrogatepass"))
+        slots: dict[str, list] = {}
+        for path, text, linked, _ in blocks:
+            own = slots.setdefault(path, [_hash(text), [said], 0, 0])
+            if own[0] != _hash(text):
+                own[:2] = None, []
+            own[2] += len(text.split())
+            own[3] += linked
+        return cls(stream[:MOST_STREAM], slots, int(bool(stream)))
 
     def align(self, other: Wrapper) -> None:
         """Take in another wrapper of the same host: tokens that both have stay, texts that differ become slots, everything else turns optional."""
@@ -169,20 +215,19 @@ class Wrapper:
                 else:
                     out += [optional(x) for x in (*a[i1:i2], *b[j1:j2])]
             self.expression = out[:MOST_STREAM]
-        for k, (words, linked) in other.slots.items():
-            own = self.slots.get(k, (0, 0))
-            self.slots[k] = [own[0] + words, own[1] + linked]
+        for k, (said, seen, words, linked) in other.slots.items():
+            own = self.slots.get(k)
+            if own is None:
+                self.slots[k] = [said, seen, words, linked]
+                continue
+            own[:2] = (said, sorted({*own[1], *seen})[:LEAST_PAGES]) if said is not None and said == own[0] else (None, [])
+            own[2] += words
+            own[3] += linked
         self.pages += other.pages
 
     def template(self) -> set[str]:
-        """Paths whose texts are the wrapper's own (after three pages or more), and paths whose text is mostly links."""
-        said, free = set(), set()
-        for x in self.expression:
-            x = x[1][0] if x[0] == "?" else x
-            for y in x[1] if x[0] == "+" else (x,):
-                (said if y[0] == "t" else free).add(y[1]) if y[0] in "t#" else None
-        # where nothing differs the pages are copies of one, which shows nothing about the template
-        return (said - free if self.pages >= 3 and free else set()) | {k for k, (words, linked) in self.slots.items() if 2 * linked > words}
+        """Paths of blocks that say the same wherever they are (on LEAST_PAGES different pages or more; copies of a page show nothing about its template), and, with a ~ before them, paths of blocks whose text is mostly links."""
+        return {k for k, (said, seen, _, _) in self.slots.items() if said is not None and len(seen) >= LEAST_PAGES} | {"~" + k for k, (_, _, words, linked) in self.slots.items() if 2 * linked > words}
 
     def dump(self) -> str:
         return json.dumps([self.expression, self.slots, self.pages])
@@ -195,35 +240,17 @@ class Wrapper:
 
 
 def extract(page: str | None, template: frozenset[str] | set[str] = frozenset()) -> str:
-    """The main text. With an article or main element: what is in it. Without: all but the slots of the host's template. Skipped elements never count."""
+    """The main text, in whole blocks. With an article or main element: what is in it, without the host's template, unless nothing else is in it. Without: all but the host's template and blocks of links. Skipped elements never count."""
     if not page:
         return ""
     tokens = list(parse(page))
-    inside = any(kind == "open" and node.article for kind, _, node in tokens)
-    blocks, held, path = [], [], []
-
-    def flush():
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
-        if text:
-            blocks.append(text)
-
-    for kind, value, node in tokens:
-        if kind == "text":
-            if node is not None and node.skipped or inside and not (node is not None and node.article):
-                continue
-            if inside or ">".join(path) not in template:
-                held.append(value)
-        else:
-            name = node.name if node is not None else value
-            if name in BLOCKS or node is not None and node.skipped:
-                flush()
-            elif name == "br":
-                held.append(" ")
-            if node is not None and name not in VOID and name not in RAW_NAMES:
-                path.append(value) if kind == "open" else path and path.pop()
-    flush()
-    return "\n".join(blocks)
+    blocks = blocks_of(tokens)
+    if any(kind == "open" and node.article for kind, _, node in tokens):
+        blocks = [b for b in blocks if b[3]]
+        blocks = [b for b in blocks if b[0] not in template] or blocks
+    else:
+        blocks = [b for b in blocks if b[0] not in template and "~" + b[0] not in template]
+    return "\n".join(b[1] for b in blocks)
 
 
 def _partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +307,8 @@ def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame, keep: list[str], url: str = "url", page: str = "html", most_broadcast: int = 100_000) -> DataFrame:
     """The columns in keep with text and n_chars.
 
-    Wrappers matter to pages that mark no article themselves; only those hosts' templates with a slot are joined (broadcast up to
-    most_broadcast hosts as counted, shuffled beyond). Defined results: null or empty html gives an empty text; a null or odd url
+    Wrappers decide on all pages, those that mark an article included; only those hosts' templates with a slot are joined (broadcast up to
+    most_broadcast hosts as counted, shuffled beyond). A repeated text that shares its path with texts that differ is not template. Defined results: null or empty html gives an empty text; a null or odd url
     belongs to the host ''; a page alone on its host has no template but links; markup that is cut off ends where the page ends; equal
     pages of a host get equal texts; an empty table gives no rows.
     """

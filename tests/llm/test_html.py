@@ -83,3 +83,19 @@ def test_all_pages_against_another_parser(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in html.op9_html_extraction(spark, sf).collect()}
     assert got == {k: brute(v) for k, v in pages.items()}
+
+
+def test_wrapper_decides_on_pages_with_a_marked_article(spark):
+    page = '<html><body><div class="page has-sidebar"><article><p>Text {0}</p><div class="x1"><p>Read our terms first</p></div><p>and <i>ibid.</i> more {0}</p></article></div></body></html>'
+    rows = [(k, f"http://h.example/{k}", page.format(k)) for k in range(4)] + [(9 + k, "http://copies.example/", page.format("same")) for k in range(4)]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert [got[k] for k in range(4)] == [f"Text {k}\nand ibid. more {k}" for k in range(4)]
+    # copies of one page show no template
+    assert {got[9 + k] for k in range(4)} == {"Text same\nRead our terms first\nand ibid. more same"}
+
+
+def test_a_marked_article_is_never_left_out():
+    assert html.extract('<div class="page has-sidebar"><article><p>x</p></article></div>') == "x"
+    assert html.extract('<form><div role="main" class="with sidebar"><p>x</p></div></form>') == "x"
+    assert html.extract('<article><p>x</p><section class="comments"><article><p>me first</p></article></section></article>') == "x"
+    assert html.extract('<article><p>x</p></article>', {"article>p"}) == "x"
