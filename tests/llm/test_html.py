@@ -99,3 +99,8 @@ def test_a_marked_article_is_never_left_out():
     assert html.extract('<form><div role="main" class="with sidebar"><p>x</p></div></form>') == "x"
     assert html.extract('<article><p>x</p><section class="comments"><article><p>me first</p></article></section></article>') == "x"
     assert html.extract('<article><p>x</p></article>', {"article>p"}) == "x"
+
+
+def test_links_within_a_kept_block_stay():
+    page = "<div><p>See the <a href=x>user <b>manual</b></a> for details</p><ul><li><a href=y>Home</a></li><li><a href=z>News</a> |</li></ul></div>"
+    assert html.extract(page, html.Wrapper.of(page).template()) == "See the user manual for details"
