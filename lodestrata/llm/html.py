@@ -180,7 +180,7 @@ def blocks_of(tokens: Iterable[tuple[str, str, Node | None]]) -> list[tuple[str,
 
 
 class Wrapper:
-    """expression: tags, ("t", path, hash) template texts, ("#", path) text slots, ("+", group) repeated, ("?", group) optional; it describes a page's first MOST_STREAM folded tokens. slots: path of a block -> hash of its text (None once two blocks of that path differ, on one page or two), up to LEAST_PAGES different pages that have it, words and linked words over all pages. What is template is decided by the slots."""
+    """expression: tags, ("t", path, hash) template texts, ("#", path) text slots, ("+", group) repeated, ("?", group) optional; it describes a page's first MOST_STREAM folded tokens and decides nothing. slots, of whole pages: path of a block -> hash of its text (None once two blocks of that path differ, on one page or two), up to LEAST_PAGES different pages that have it, words and linked words over all pages. They decide what is template."""
 
     def __init__(self, expression: list, slots: dict[str, list], pages: int):
         self.expression, self.slots, self.pages = expression, slots, pages
@@ -188,7 +188,7 @@ class Wrapper:
     @classmethod
     def of(cls, page: str) -> Wrapper:
         tokens = list(parse(page))
-        stream, blocks = stream_of(tokens), blocks_of(tokens)[:MOST_STREAM]
+        stream, blocks = stream_of(tokens), blocks_of(tokens)
         said = xxhash.xxh64_intdigest("\n".join(text for _, text, _, _ in blocks).encode("utf-8", "surrogatepass"))
         slots: dict[str, list] = {}
         for path, text, linked, _ in blocks:

@@ -104,3 +104,12 @@ def test_a_marked_article_is_never_left_out():
 def test_links_within_a_kept_block_stay():
     page = "<div><p>See the <a href=x>user <b>manual</b></a> for details</p><ul><li><a href=y>Home</a></li><li><a href=z>News</a> |</li></ul></div>"
     assert html.extract(page, html.Wrapper.of(page).template()) == "See the user manual for details"
+
+
+def test_template_behind_many_tokens():
+    group = "".join(f'<div class="c{j}">{{0}} {j}</div>' for j in range(700))
+    pages = [group.format(k) + '<div class="last">Notice of the site</div>' for k in range(4)]
+    whole = html.Wrapper.of(pages[0])
+    for page in pages[1:]:
+        whole.align(html.Wrapper.of(page))
+    assert html.extract(pages[2], html.Wrapper.load(whole.dump()).template()) == "\n".join(f"2 {j}" for j in range(700))
