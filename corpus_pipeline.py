@@ -42,16 +42,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; of repeated equal rows one."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays (of several linked texts with that id the one with the smallest hash), of rows with equal id and text one. Other rows stay, whatever their ids."""
     told = stored(neardup.near_duplicates(docs.select("doc_id", "text")), "near-dedup")
-    left = _without(docs, told.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).distinct())
-    again = told.where("kept").groupBy("doc_id", "component_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    per = stored(told.where("kept").groupBy("class_id", F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).count(), "near-dedup-kept")
+    first = per.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("th").alias("first"), F.count("*").alias("n")).where("n > 1")
+    linked = per.join(first, "class_id").where("th <> first").select("id", "th")
+    left = _without(docs, told.where(~F.col("kept")).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).distinct().unionByName(linked))
+    again = per.where("count > 1").select("id", "th")
     if not again.limit(1).count():
         return left
-    rows = left.select(F.struct(*left.columns).alias("row")).join(again, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_semi")
-    once = rows.select("row", F.col("row.doc_id").alias("id")).dropDuplicates(["id"]).select("row.*")
-    others = left.select(F.struct(*left.columns).alias("row")).join(again, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")
-    return others.unionByName(once)
+    rows = left.select(F.struct(*left.columns).alias("row"), F.xxhash64("text").alias("_th"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))
+    once = rows.join(again, same, "left_semi").groupBy(F.col("row.doc_id").alias("id"), "_th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return rows.join(again, same, "left_anti").select("row.*").unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ class _Join:
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75, most_broadcast: int = 1_000_000) -> DataFrame:
-    """One row per row of docs: doc (its id), n_shingles, component_id (smallest id reachable by links), kept (it is that one), text_hash (to tell rows of one id apart).
+    """One row per row of docs: doc (its id), n_shingles, component_id (smallest id reachable by links), kept (it is that one), text_hash (to tell rows of one id apart), class_id (the component itself, which ids needn't tell apart; null without shingles).
 
     Defined results: null, empty and blank texts have no shingles and no links; equal texts are linked; rows with a null id have the smallest
     id of their component, which is null if no other is; of repeated ids all rows with the smallest one are kept; an empty table gives
@@ -207,15 +207,15 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
 
     of = classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
     low = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(low, "root").select(F.col("cid").alias("_cid"), "component_id")
+    of = of.join(low, "root").select(F.col("cid").alias("_cid"), "component_id", F.col("root").alias("class_id"))
     slim = told.select(F.col("doc.doc").alias("doc"), F.col("doc.th").alias("text_hash"), "n", "cid")
     met = slim.join(of, F.col("cid") == F.col("_cid"), "left")
     component = F.when(F.col("_cid").isNull(), F.col("doc")).otherwise(F.col("component_id"))
-    return met.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"), "text_hash")
+    return met.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"), "text_hash", "class_id")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash", "class_id")
 
 
 OP3_SQL = r"""

@@ -62,3 +62,12 @@ def test_stages_return_the_columns_of_documents(spark):
         stage(spark, extra.unionByName(null), SF).count()
     assert corpus_pipeline.STAGES[-1][1](spark, extra.limit(0), SF).count() == 0
     assert decontam and neardup
+
+
+def test_near_dedup_keeps_unrelated_texts_of_one_id(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "quite another text of some words", "and a third one that nobody links")
+    rows = [(1, one, "a"), (1, two, "a"), (None, two + " x y z u v w", "a"), (None, three, "a"), (2, "more of it", "a"), (2, "more of it", "b"), (3, one, "a"), (None, None, "a"), (4, " ", "a"), (4, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    want = [(1, one), (1, two), (None, two + " x y z u v w"), (None, three), (2, "more of it"), (None, None), (4, " "), (4, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
