@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import drop_stored, stored, table
 
 DIMS = 4096
 #: Families of common languages by ISO 639-1 code; a language of none of these is a family of its own.
@@ -100,28 +100,42 @@ def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([x.astype(np.float32).tobytes()])], ["lang", "x"])
 
 
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows with one (lang, r) the first of a task."""
+    seen = set()
+    for b in batches:
+        new = [k not in seen and not seen.add(k) for k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield b.filter(pa.array(new, pa.bool_()))
+
+
+def draw(known: DataFrame, per_lang: int) -> list:
+    """(lang, r) of the per_lang different texts (all, if there are fewer) of each language with the smallest hashes r. Copies of a text count once."""
+    texts = stored(known.select("lang", "r").distinct(), "langid-texts")
+    counts = {row[0]: row[1] for row in texts.groupBy("lang").count().collect()}  # one row per language
+    # some more than asked for, so that chance leaves no language short; if it does, twice as many
+    most, found, short = per_lang + 8 * per_lang**0.5 + 20, {}, list(counts)
+    while short:
+        share = F.create_map(*(x for k in short for x in (F.lit(k), F.lit(min(2**63 - 1, int(most / counts[k] * 2**63))))))
+        found |= {k: [] for k in short}
+        for row in texts.where(F.col("lang").isin(short)).where(F.col("r") <= share[F.col("lang")]).collect():
+            found[row[0]].append(row[1])
+        short, most = [k for k in short if len(found[k]) < min(per_lang, counts[k])], 2 * most
+    drop_stored(texts)
+    return [(k, r) for k in sorted(found) for r in sorted(found[k])[:per_lang]]
+
+
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int = 600) -> Model | None:
-    """Learn from a bounded sample of the rows with a language: about per_lang rows of each, those with the smallest hash of the text. None if there is nothing to learn from."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # one row per language
-    if not counts:
+    """Learn from a bounded sample of the rows with a language: per_lang different texts of each, those with the smallest hashes. None if there is nothing to learn from."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(text)), 1).alias("r"), F.col(text).alias("text"))
+    drawn = draw(known, per_lang)
+    if not drawn:
         return None
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, per_lang / n) * (2**31)))))) if counts else None
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), F.col(text)), F.lit(2**31)) < share[F.col(lang)]
-    rows = known.where(drawn).select(F.col(text), F.col(lang)).mapInArrow(_vectors, "lang string, x binary").collect()
-    if not rows:  # few rows may all miss the draw
-        rows = known.select(F.col(text), F.col(lang)).limit(per_lang).mapInArrow(_vectors, "lang string, x binary").collect()
+    sample = F.broadcast(docs.sparkSession.createDataFrame(drawn, "lang string, r long"))  # per_lang rows a language
+    rows = known.join(sample, ["lang", "r"], "left_semi").mapInArrow(_once, known.schema).dropDuplicates(["lang", "r"]).select("text", "lang").mapInArrow(_vectors, "lang string, x binary").collect()
     if not rows:
         return None
     rows = sorted(rows)
-    # copies of one text share its hash, so a large group of them may be drawn together: equal rows are learned from once
-    rows = [r for i, r in enumerate(rows) if not i or r != rows[i - 1]]
-    kept, seen = [], {}
-    for r in sorted(rows, key=lambda r: int(mix64(np.frombuffer(r.x[:8], np.uint64))[0])):
-        if (n := seen.get(r.lang, 0)) < 2 * per_lang:
-            seen[r.lang] = n + 1
-            kept.append(r)
-    return Model(np.stack([np.frombuffer(r.x, np.float32) for r in kept]).astype(float), [r.lang for r in kept])
+    return Model(np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(float), [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

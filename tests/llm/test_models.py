@@ -105,3 +105,17 @@ def test_word_count(spark):
     texts = [None, "", " ", "a", " a", "a ", " a  b\tc\x0b\n", " ", "x" * 50_000, "a " * 30_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", common.word_count(F.col("t")).alias("n"))
     assert [r.n for r in df.orderBy("i").collect()] == [len(common.WORD_RE.findall(t or "")) for t in texts]
+
+
+def test_languages_are_learned_from_different_texts(spark, docs):
+    """Copies of one text leave room for the others, and none is learned from twice."""
+    known = docs.where("lang IN ('en', 'fr')").select("text", "lang").distinct()
+    few = known.where("lang = 'fr'").limit(30)
+    copies = known.where("lang = 'en'").limit(1).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).select("text", "lang")
+    rows = few.unionByName(known.where("lang = 'en'").limit(200)).unionByName(copies).selectExpr("text", "lang", "shiftrightunsigned(xxhash64('langid', text), 1) AS r")
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    drawn = langid.draw(rows, 50)
+    assert [sum(k == s for k, _ in drawn) for s in ("en", "fr")] == [50, 30] and len(set(drawn)) == 80
+    everything = sorted({r.r for r in rows.where("lang = 'en'").collect()})
+    assert [r for k, r in drawn if k == "en"] == everything[:50]
+    assert langid.fit(rows, per_lang=50).langs == ["en", "fr"]
