@@ -130,13 +130,18 @@ def _model_rows(spark, d, cutoff: int, test: bool) -> DataFrame:
 
 
 def _forecast(spark, d, model) -> DataFrame:
+    """Scores of every rolling origin in CUTOFFS (fold), each with a model of its own."""
     from pyspark.ml.feature import StandardScaler
 
-    train, test = _model_rows(spark, d, 8002, False), _model_rows(spark, d, 8002, True)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
-    fitted = model(scaler.transform(train))
-    told = fitted.transform(scaler.transform(test)).withColumn("units_hat", F.signum("prediction") * F.expm1(F.abs("prediction")))
-    return O.score(told, O.in_sample(full_series(spark, d), KEYS, 8002), KEYS, "units", "units_hat")
+    out = None
+    for cutoff in CUTOFFS:
+        train, test = _model_rows(spark, d, cutoff, False), _model_rows(spark, d, cutoff, True)
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
+        fitted = model(scaler.transform(train))
+        told = fitted.transform(scaler.transform(test)).withColumn("units_hat", F.signum("prediction") * F.expm1(F.abs("prediction")))
+        one = O.score(told, O.in_sample(full_series(spark, d), KEYS, cutoff), KEYS, "units", "units_hat").withColumn("fold", F.lit(cutoff))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("ridge_forecast")

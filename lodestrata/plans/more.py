@@ -56,7 +56,7 @@ def negative_samples(spark, d):
 
 @query("hyperbolic_train")
 def hyperbolic_train(spark, d):
-    return T.train_lorentz(T.training_edges(H.closure(codes(spark, d).where(F.length("code") <= 4))), epochs=10)
+    return T.train_lorentz(T.training_edges(H.closure(codes(spark, d))))
 
 
 @query("disk_projection")
