@@ -24,9 +24,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset and all runs in one process (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = _OWN.setdefault(spark.sparkContext.applicationId, "")
         if not folder:
             folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
@@ -58,6 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def others(columns: list[str], own: list[str]) -> list[str]:
+    """The columns that none of an operator's own replaces (names differ in more than case)."""
+    taken = {c.lower() for c in own}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

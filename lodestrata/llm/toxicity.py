@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import others, table
 
-#: Seed words of the named categories. Abuse in other words or languages is what the labelled rows teach; it has a category of its own.
-SEEDS = {"insult": "idiot moron clown stupid loser fool liar", "contempt": "worthless pathetic disgusting scum trash vermin"}
-CATEGORIES = (*SEEDS, "other_abuse", "toxic")
+#: The categories before the last are found in the rows labelled toxic: groups of features that occur together there. The last is the label itself.
+KINDS = 3
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 _LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 FOLDS = 5
@@ -36,8 +36,7 @@ def _sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             words = words_of(text)
             ids = np.unique(np.array([h for w in set(words) for h in word_features(w)], np.uint32))
-            seeds = [int(any(s in found for s in v.split())) for v in SEEDS.values()] if (found := set(words)) else [0] * len(SEEDS)
-            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([len(words)]), pa.array([toxic], pa.int64()), pa.array([seeds])], ["ids", "n", "toxic", "seeds"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([len(words)]), pa.array([toxic], pa.int64())], ["ids", "n", "toxic"])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 150) -> np.ndarray:
@@ -88,12 +87,50 @@ def select_features(ids: list[np.ndarray], toxic: np.ndarray, most: int) -> list
     return [int(h) for h in names[good[np.lexsort((names[good], -low[good]))][:most]]]
 
 
+def kinds_of(x: np.ndarray, kinds: int = KINDS, rounds: int = 30) -> np.ndarray:
+    """A group for each column of x (rows labelled toxic by features): spherical k-means of the columns, so features of the same rows share a group. -1 for a column that no row has. Starts at the most frequent column, then at the one least like those chosen; ties go to the first."""
+    size = np.linalg.norm(x, axis=0)
+    known = np.flatnonzero(size > 0)
+    out = np.full(x.shape[1], -1)
+    if not len(known):
+        return out
+    cols = (x[:, known] / size[known]).T
+    centres = cols[[int(np.argmax(size[known]))]]
+    while len(centres) < min(kinds, len(known)):
+        centres = np.vstack([centres, cols[int(np.argmin((cols @ centres.T).max(1)))]])
+    for _ in range(rounds):
+        group = np.argmax(cols @ centres.T, 1)
+        sums = np.array([cols[group == k].sum(0) if (group == k).any() else centres[k] for k in range(len(centres))])
+        centres = sums / np.maximum(1e-12, np.linalg.norm(sums, axis=1, keepdims=True))
+    out[known] = np.argmax(cols @ centres.T, 1)
+    return out
+
+
+def targets(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """One column for each of CATEGORIES: a toxic row is of a kind if it has a feature of that group; the label comes last."""
+    group = kinds_of(x[toxic > 0])
+    return np.column_stack([*((x[:, group == k] > 0).any(1) & (toxic > 0) for k in range(KINDS)), toxic > 0]).astype(float)
+
+
+def fit_chain(x: np.ndarray, truth: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The chain's models over x (features, and ones in the last column) and the out-of-fold probabilities that the later ones were trained with: a row's come from a model that has seen no row of its fold."""
+    weight = np.column_stack([*((fold != k).astype(float) for k in range(FOLDS)), np.ones(len(x))])
+    models, seen = [], np.empty((len(x), 0), np.float32)
+    for y in truth.T:
+        full = np.hstack([x[:, :-1], seen, x[:, -1:]])
+        w = fit_logistic(full, y, weight)
+        out_of_fold = (1 / (1 + np.exp(-np.clip(full @ w, -30, 30))))[np.arange(len(x)), fold]
+        seen = np.hstack([seen, out_of_fold[:, None].astype(np.float32)])
+        models.append(w[:, -1].astype(float))
+    return models, seen
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 4000, most_features: int = 800) -> Chain | None:
     """Learn from a bounded sample of labelled rows: about most_toxic toxic and most_clean other ones, those with the smallest hash of doc_id.
 
-    docs: doc_id, text; labels: doc_id, toxic. A row's categories: a seed word of the category in a row labelled toxic; other_abuse is a
-    toxic row with no seed; toxic is the label. None if either kind of row is missing. A doc_id labelled twice counts as toxic if any
-    label says so; rows without label or text are left out.
+    docs: doc_id, text; labels: doc_id, toxic. The categories before the last aren't given by any list: targets() finds them in the
+    features of the toxic rows, in whatever language those are. None if either kind of row is missing. A doc_id labelled twice counts as
+    toxic if any label says so; rows without label, id or text are left out; repeated equal rows count once.
     """
     said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     counts = {r[0]: r[1] for r in said.groupBy("_toxic").count().collect()}
@@ -103,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
     drawn = said.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(2**31)) < share * 2**31)
     # the draw is bounded, so texts needn't be shuffled to meet it; a draw that isn't small (a bound set very high) is joined by shuffling
     drawn = F.broadcast(drawn) if drawn.count() <= 200_000 else drawn
-    rows = docs.where("text IS NOT NULL").join(drawn, F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").cast("long").alias("toxic")).mapInArrow(_sample, "ids binary, n long, toxic long, seeds array<long>").collect()
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("_id")).groupBy("doc_id", F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"), F.max("_toxic").cast("long").alias("toxic"))
+    rows = rows.select("text", "toxic").mapInArrow(_sample, "ids binary, n long, toxic long").collect()
     rows = sorted(rows, key=lambda r: (r.n, bytes(r.ids), r.toxic))
     toxic = np.array([r.toxic for r in rows])
     if not len(rows) or toxic.min() == toxic.max():
@@ -114,17 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
     x[:, -1] = 1
     for i, own in enumerate(ids):
         x[i, [k for h in own.tolist() if (k := index.get(h)) is not None]] = 1
-    seeds = np.array([r.seeds for r in rows]) * toxic[:, None]
-    truth = np.column_stack([seeds, toxic * (seeds.sum(1) == 0), toxic]).astype(float)
-    fold = np.arange(len(rows)) % FOLDS  # rows are in the order of their content
-    weight = np.column_stack([*((fold != k).astype(float) for k in range(FOLDS)), np.ones(len(rows))])
-    models, seen = [], np.empty((len(rows), 0), np.float32)
-    for y in truth.T:
-        full = np.hstack([x[:, :-1], seen, x[:, -1:]])
-        w = fit_logistic(full, y, weight)
-        out_of_fold = (1 / (1 + np.exp(-np.clip(full @ w, -30, 30))))[np.arange(len(rows)), fold]
-        seen = np.hstack([seen, out_of_fold[:, None].astype(np.float32)])
-        models.append(w[:, -1].astype(float))
+    models, _ = fit_chain(x, targets(x[:, :-1], toxic), np.arange(len(rows)) % FOLDS)  # rows are in the order of their content
     return Chain(index, models)
 
 
@@ -135,8 +163,9 @@ def score(docs: DataFrame, chain: Chain | None, keep: list[str], text: str = "te
     """The columns in keep with the probability of each category, and toxic where the last reaches `least`, from the whole text.
 
     Defined results: null or empty text is scored as a text without words; without a chain (nothing to learn from) every probability
-    is 0; an empty table gives no rows; equal texts get equal results.
+    is 0; an empty table gives no rows; equal texts get equal results; columns in keep that are called like a result are replaced by it.
     """
+    keep = others(keep, OUT)
     known = docs.sparkSession.sparkContext.broadcast(chain)  # most_features entries at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
