@@ -1,4 +1,13 @@
-"""HTML extraction by union-free wrappers: token streams of one host are aligned; what doesn't match becomes an optional group, a run of equal groups becomes a repeated one, differing texts become slots."""
+"""HTML extraction by union-free wrappers, inferred from all pages of a host.
+
+The token streams of a host's pages are aligned element by element, from the root down: children of one signature under aligned parents
+align. A child that some instance of its parent lacks becomes optional, one that an instance has more than once becomes repeated, and texts
+that differ become slots. So a wrapper is a regular expression of concatenation, optional and repeated groups and text slots, without unions,
+and taking in another page changes counters alone: the result doesn't depend on the order of pages or on how they lie in partitions.
+
+The wrapper tells where the article is: the deepest element under which most of the host's unlinked slot words lie. Within it, texts that
+are the same on LEAST_PAGES different pages, blocks of links, and single generic containers beside the text are left out.
+"""
 
 from __future__ import annotations
 
@@ -7,32 +16,31 @@ import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import others, stored, table
 
-#: Elements and class or id words that hold no article text, elements that break a block, elements without an end.
-SKIPPED = frozenset("head title nav header footer aside form script style noscript template svg iframe button select option textarea input label dialog object canvas audio video math menu".split())
-SKIPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors banner promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets related recommended share sharing social "
-    "comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login search pagination pager copyright legal disclaimer skip".split()
-)
+#: Elements that hold no article text, class or id words of generic containers that hold none, elements that break a block, elements without an end.
+SKIPPED = frozenset("head title nav footer aside form script style noscript template svg iframe button select option textarea input label dialog object canvas audio video menu".split())
+SKIPPED_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs footer sidebar related comment comments commentlist disqus respond cookie cookies consent gdpr notice notices popup modal newsletter pagination".split())
+GENERIC = frozenset("div section ul ol table aside center details dl fieldset".split())
 #: An article called so is none.
 NO_ARTICLE = frozenset("comment comments reply ad ads advert related".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|title|svg|iframe"
 RAW_NAMES = frozenset(RAW.split("|"))
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
-MOST_STREAM, MOST_PERIOD, LEAST_PAGES = 400, 12, 3
+#: A text is template if so many different pages have it; an element holds the article if this share of the host's slot words lies under it.
+LEAST_PAGES, MAIN_SHARE = 3, 0.5
+_NUMBERED = re.compile(r"\S*\d\S*")
 
 
 def host_of(url: str | None) -> str:
@@ -41,7 +49,7 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    """An open element: its name, its signature (name, class and id), the path of block elements down to it, whether its text is a link's, is left out, is or is in a marked article."""
+    """An open element: its name, its signature (name, class and id, less words with digits, which number elements), the path of block elements down to it, whether its text is a link's, is left out, is or is in a marked article."""
 
     __slots__ = ("article", "block", "link", "name", "sign", "skipped")
 
@@ -49,15 +57,16 @@ class Node:
         found = {k.lower(): (a or b or c).lower() for k, a, b, c in _NAMES.findall(attributes)} if attributes else {}
         words = set(re.findall(r"[a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}")) if found else ()
         self.name = name
-        self.sign = name + (f".{found['class']}" if found.get("class") else "") + (f"#{found['id']}" if found.get("id") else "")
+        self.sign = name + "".join(mark + " ".join(x) for mark, key in ((".", "class"), ("#", "id")) if found.get(key) and (x := _NUMBERED.sub(" ", found[key]).replace(">", " ").split()))
         self.block = parent.block if parent is not None else ""
         if name in BLOCKS:
             self.block += ">" + self.sign if self.block else self.sign
         self.link = name == "a" or parent is not None and parent.link
         marked = name == "main" or found.get("role") == "main" or name == "article" and not (words and words & NO_ARTICLE)
         within = parent is not None and parent.article
+        out = name in SKIPPED or name == "header" and not within or name == "article" and not marked or name in GENERIC and bool(words) and bool(SKIPPED_WORDS & words)
         # an outermost marked article is never left out for what its ancestors are called; what is left out of an article stays out
-        self.skipped = parent is not None and parent.skipped and not (marked and not within) or not marked and (name in SKIPPED or (bool(words) and name not in ("html", "body") and bool(SKIPPED_WORDS & words)))
+        self.skipped = parent is not None and parent.skipped and not (marked and not within) or not marked and out
         self.article = within or marked and not self.skipped
 
 
@@ -96,54 +105,16 @@ def parse(page: str) -> Iterator[tuple[str, str, Node | None]]:
                     break
         x = Node(name, m[4], stack[-1] if stack else None)
         yield "open", x.sign, x
-        if name not in VOID and not m[4].rstrip().endswith("/"):
+        if name in VOID:
+            continue
+        if m[4].rstrip().endswith("/"):
+            yield "close", x.sign, x
+        else:
             stack.append(x)
     if at < len(page):
         yield "text", page[at:], stack[-1] if stack else None
 
 
-def slot(token: tuple) -> tuple:
-    """A text without what it says: ("#", path). Other tokens as they are."""
-    return ("#", token[1]) if token[0] == "t" else token
-
-
-def fold(stream: list[tuple]) -> list[tuple]:
-    """Runs of neighbouring groups that are equal but for their texts become one repeated group, ("+", group) with slots for texts. Shorter groups first, so repeats nest."""
-    for period in range(1, MOST_PERIOD + 1):
-        keys = [slot(x) for x in stream]
-        n, out, i = len(keys), [], 0
-        while i < n:
-            if i + period < n and keys[i] == keys[i + period] and (group := keys[i : i + period]) == keys[i + period : i + 2 * period]:
-                k = i + 2 * period
-                while keys[k : k + period] == group:
-                    k += period
-                out.append(group[0] if period == 1 and group[0][0] == "+" else ("+", tuple(group)))
-                i = k
-            else:
-                out.append(stream[i])
-                i += 1
-        stream = out
-    return stream
-
-
-def stream_of(tokens: Iterable[tuple[str, str, Node | None]]) -> list[tuple]:
-    """The folded token stream of a parsed page: ("<", sign), (">", sign), ("t", path, hash of the text)."""
-    stream, path = [], []
-    for kind, value, node in tokens:
-        if kind == "text":
-            if value.strip():
-                stream.append(("t", ">".join(path), _hash(value)))
-        elif kind == "open":
-            stream.append(("<", value))
-            if node.name not in VOID and node.name not in RAW_NAMES:
-                path.append(value)
-        elif node is not None:
-            stream.append((">", value))
-            if path:
-                path.pop()
-    return fold(stream)
-
-
 def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
@@ -179,16 +150,30 @@ def blocks_of(tokens: Iterable[tuple[str, str, Node | None]]) -> list[tuple[str,
     return out
 
 
+def above(path: str) -> str:
+    return path.rpartition(">")[0]
+
+
+def name_of(path: str) -> str:
+    return re.split(r"[.#]", path.rpartition(">")[2], maxsplit=1)[0]
+
+
 class Wrapper:
-    """expression: tags, ("t", path, hash) template texts, ("#", path) text slots, ("+", group) repeated, ("?", group) optional; it describes a page's first MOST_STREAM folded tokens and decides nothing. slots, of whole pages: path of a block -> hash of its text (None once two blocks of that path differ, on one page or two), up to LEAST_PAGES different pages that have it, words and linked words over all pages. They decide what is template."""
+    """What the pages of a host have in common, in counters that add up.
 
-    def __init__(self, expression: list, slots: dict[str, list], pages: int):
-        self.expression, self.slots, self.pages = expression, slots, pages
+    groups: path of a block element -> [its instances, {signature of a child: [instances that have it, most in one instance, sum of its first places]}].
+    slots: path -> [hash of its text (None once two texts of that path differ, on one page or two: a slot), up to LEAST_PAGES different pages
+    that have that text, words, words in links].
+    pages: up to LEAST_PAGES different pages.
+    """
+
+    def __init__(self, groups: dict[str, list], slots: dict[str, list], pages: list[int]):
+        self.groups, self.slots, self.pages = groups, slots, pages
 
     @classmethod
     def of(cls, page: str) -> Wrapper:
         tokens = list(parse(page))
-        stream, blocks = stream_of(tokens), blocks_of(tokens)
+        blocks = blocks_of(tokens)
         said = xxhash.xxh64_intdigest("\n".join(text for _, text, _, _ in blocks).encode("utf-8", "surrogatepass"))
         slots: dict[str, list] = {}
         for path, text, linked, _ in blocks:
@@ -197,24 +182,39 @@ class Wrapper:
                 own[:2] = None, []
             own[2] += len(text.split())
             own[3] += linked
-        return cls(stream[:MOST_STREAM], slots, int(bool(stream)))
+        groups: dict[str, list] = {}
+        open_: list[tuple[str, dict]] = [("", {})]
+
+        def close():
+            path, children = open_.pop()
+            own = groups.setdefault(path, [0, {}])
+            own[0] += 1
+            for sign, (n, at) in children.items():
+                was = own[1].setdefault(sign, [0, 0, 0])
+                was[:] = was[0] + 1, max(was[1], n), was[2] + at
+
+        for kind, _, node in tokens:
+            if kind == "text" or node is None or node.name not in BLOCKS:
+                continue
+            if kind == "open":
+                children = open_[-1][1]
+                children[node.sign] = (1, len(children)) if node.sign not in children else (children[node.sign][0] + 1, children[node.sign][1])
+                if node.name not in VOID and node.name not in RAW_NAMES:
+                    open_.append((node.block, {}))
+            elif len(open_) > 1:
+                close()
+        while open_:
+            close()
+        return cls(groups, slots, [said] if blocks else [])
 
     def align(self, other: Wrapper) -> None:
-        """Take in another wrapper of the same host: tokens that both have stay, texts that differ become slots, everything else turns optional."""
-        if self.expression != other.expression:
-            plain = lambda x: x[1][0] if x[0] == "?" else x
-            optional = lambda x: x if x[0] == "?" else ("?", (x,))
-            a, b = self.expression, other.expression
-            left, right = [slot(plain(x)) for x in a], [slot(plain(x)) for x in b]
-            out: list = []
-            for tag, i1, i2, j1, j2 in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-                if tag == "equal":
-                    for x, y in zip(a[i1:i2], b[j1:j2]):
-                        both = plain(x) if plain(x) == plain(y) else slot(plain(x))
-                        out.append(optional(both) if "?" in (x[0], y[0]) else both)
-                else:
-                    out += [optional(x) for x in (*a[i1:i2], *b[j1:j2])]
-            self.expression = out[:MOST_STREAM]
+        """Take in another wrapper of the same host."""
+        for path, (n, children) in other.groups.items():
+            own = self.groups.setdefault(path, [0, {}])
+            own[0] += n
+            for sign, (have, most, at) in children.items():
+                was = own[1].setdefault(sign, [0, 0, 0])
+                was[:] = was[0] + have, max(was[1], most), was[2] + at
         for k, (said, seen, words, linked) in other.slots.items():
             own = self.slots.get(k)
             if own is None:
@@ -223,34 +223,77 @@ class Wrapper:
             own[:2] = (said, sorted({*own[1], *seen})[:LEAST_PAGES]) if said is not None and said == own[0] else (None, [])
             own[2] += words
             own[3] += linked
-        self.pages += other.pages
+        self.pages = sorted({*self.pages, *other.pages})[:LEAST_PAGES]
+
+    def repeated(self, path: str) -> bool:
+        group = self.groups.get(above(path))
+        found = group and group[1].get(path.rpartition(">")[2])
+        return bool(found) and found[1] > 1
+
+    def expression(self, path: str = "") -> str:
+        """The wrapper below a path: `#` a slot, quotes a text that is always the same, `?` optional, `+` repeated, `*` both."""
+        n, children = self.groups.get(path, [0, {}])
+        out = []
+        if path in self.slots:
+            out.append("#" if self.slots[path][0] is None else '"="')
+        for sign, (have, most, at) in sorted(children.items(), key=lambda x: (x[1][2] / x[1][0], x[0])):
+            below = f"{path}>{sign}" if path else sign
+            mark = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[have < n, most > 1]
+            out.append(f"({sign} {self.expression(below)})".replace(" )", ")") + mark)
+        return " ".join(out)
 
     def template(self) -> set[str]:
         """Paths of blocks that say the same wherever they are (on LEAST_PAGES different pages or more; copies of a page show nothing about its template), and, with a ~ before them, paths of blocks whose text is mostly links."""
         return {k for k, (said, seen, _, _) in self.slots.items() if said is not None and len(seen) >= LEAST_PAGES} | {"~" + k for k, (_, _, words, linked) in self.slots.items() if 2 * linked > words}
 
+    def region(self) -> tuple[str, set[str]] | None:
+        """The path of the element that holds the article, and paths under it that hold none: single generic containers that say little. None where too few different pages have been seen to tell slots from template."""
+        if len(self.pages) < LEAST_PAGES:
+            return None
+        mass = {k: words - linked for k, (said, _, words, linked) in self.slots.items() if said is None and words > linked}
+        under: dict[str, int] = {}
+        for k, words in mass.items():
+            while True:
+                under[k] = under.get(k, 0) + words
+                if not k:
+                    break
+                k = above(k)
+        whole = under.get("", 0)
+        if not whole:
+            return None
+        at = ""
+        while below := [k for k in under if k and above(k) == at and under[k] > MAIN_SHARE * whole and 2 * mass.get(k, 0) <= under[k]]:
+            at = below[0]
+        return at, {k for k in self.slots if k != at and above(k) == at and name_of(k) in GENERIC and not self.repeated(k) and mass.get(k, 0) < under[at] / 5}
+
+    def rules(self) -> list[str]:
+        """What extract() needs: template() with !path for the region and -path for what is left out of it."""
+        found = self.region()
+        return sorted(self.template()) + (["!" + found[0], *sorted("-" + k for k in found[1])] if found else [])
+
     def dump(self) -> str:
-        return json.dumps([self.expression, self.slots, self.pages])
+        return json.dumps([self.groups, self.slots, self.pages], sort_keys=True)
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        expression, slots, pages = json.loads(text)
-        tuples = lambda x: tuple(tuples(y) for y in x) if isinstance(x, list) else x
-        return cls([tuples(x) for x in expression], slots, pages)
+        return cls(*json.loads(text))
 
 
-def extract(page: str | None, template: frozenset[str] | set[str] = frozenset()) -> str:
-    """The main text, in whole blocks. With an article or main element: what is in it, without the host's template, unless nothing else is in it. Without: all but the host's template and blocks of links. Skipped elements never count."""
+def extract(page: str | None, rules: Iterable[str] = ()) -> str:
+    """The main text, in whole blocks: what lies in the region that the host's wrapper names, with the titles (h1) on the way to it, less template, blocks of links and what the wrapper leaves out. A marked article (article, main) that this region meets, or that it misses altogether, is the region. Where the wrapper names none: the marked article, or else all blocks. Skipped elements never count."""
     if not page:
         return ""
-    tokens = list(parse(page))
-    blocks = blocks_of(tokens)
-    if any(kind == "open" and node.article for kind, _, node in tokens):
-        blocks = [b for b in blocks if b[3]]
-        blocks = [b for b in blocks if b[0] not in template] or blocks
-    else:
-        blocks = [b for b in blocks if b[0] not in template and "~" + b[0] not in template]
-    return "\n".join(b[1] for b in blocks)
+    rules = set(rules)
+    region = next((r[1:] for r in rules if r[0] == "!"), None)
+    blocks = blocks_of(parse(page))
+    marked = [b for b in blocks if b[3]]
+    if region is not None:
+        inside = [b for b in blocks if b[0] == region or b[0].startswith(region + ">") or not region or name_of(b[0]) == "h1" and (region + ">").startswith(above(b[0]) + ">")]
+        blocks = inside if any(name_of(b[0]) != "h1" for b in inside) else blocks
+    if marked:
+        blocks = [b for b in blocks if b[3]] or marked
+        return "\n".join(b[1] for b in [b for b in blocks if b[0] not in rules] or blocks)
+    return "\n".join(b[1] for b in blocks if not rules & {b[0], "~" + b[0], "-" + b[0]})
 
 
 def _partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +326,7 @@ def _merge(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 whole = new
             else:
                 whole.align(new)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([whole.dump()]), pa.array([sorted(whole.template())], pa.list_(pa.string()))], ["host", "wrapper", "template"])
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([whole.dump()]), pa.array([whole.rules()], pa.list_(pa.string()))], ["host", "wrapper", "template"])
 
 
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -300,24 +343,27 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         k = b.num_columns
-        texts = [extract(page, set(t or ())) for page, t in zip(b.column(k - 2).to_pylist(), b.column(k - 1).to_pylist())]
+        texts = [extract(page, t or ()) for page, t in zip(b.column(k - 2).to_pylist(), b.column(k - 1).to_pylist())]
         yield pa.RecordBatch.from_arrays([*b.columns[: k - 2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*b.schema.names[: k - 2], "text", "n_chars"])
 
 
 def extract_pages(pages: DataFrame, keep: list[str], url: str = "url", page: str = "html", most_broadcast: int = 100_000) -> DataFrame:
     """The columns in keep with text and n_chars.
 
-    Wrappers decide on all pages, those that mark an article included; only those hosts' templates with a slot are joined (broadcast up to
-    most_broadcast hosts as counted, shuffled beyond). A repeated text that shares its path with texts that differ is not template. Defined results: null or empty html gives an empty text; a null or odd url
-    belongs to the host ''; a page alone on its host has no template but links; markup that is cut off ends where the page ends; equal
-    pages of a host get equal texts; an empty table gives no rows.
+    Wrappers decide on all pages of hosts with LEAST_PAGES different pages. Only the rules of hosts that have any are joined (broadcast up
+    to most_broadcast hosts as counted, shuffled beyond). A repeated text that shares its path with texts that differ is not template.
+    Defined results: null or empty html gives an empty text; a null or odd url belongs to the host ''; a page alone on its host, or with
+    copies of itself alone, has no template and no region, but for links and a marked article; markup that is cut off ends where the page
+    ends; an attribute whose quote never ends, ends with its tag; elements with equal shares can't both hold more than MAIN_SHARE; equal pages
+    of a host get equal texts; an empty table gives no rows; columns in keep that are called text or n_chars are replaced.
     """
+    keep = others(keep, ["text", "n_chars"])
     found = stored(wrappers(pages, url, page).select(F.col("host").alias("_host"), "template").where(F.size("template") > 0), "html-wrappers")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(*keep, F.col(page).alias("_page"), host.alias("_host"))
+    rows = pages.select(F.struct(F.lit(0).alias("_"), *keep).alias("_kept"), F.col(page).alias("_page"), host.alias("_host"))
     if found.count() <= most_broadcast:
         found = F.broadcast(found)
-    rows = rows.join(found, "_host", "left").select(*keep, "_page", "template")
+    rows = rows.join(found, "_host", "left").select(*(F.col("_kept")[c].alias(c) for c in keep), "_page", "template")
     return rows.mapInArrow(_extract, pages.select(*keep).schema.add("text", "string").add("n_chars", "long"))
 
 
