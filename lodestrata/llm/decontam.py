@@ -28,9 +28,14 @@ def words(text: Column) -> Column:
     return F.split(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), ENDS, ""), BREAK)
 
 
+def low(text: Column) -> Column:
+    """Lower case beyond A-Z as well, which is much cheaper than A-Z alone, and the same of a whole text as of its words: the one letter whose lower case depends on what stands beside it has one form here."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def low_words(text: Column) -> Column:
-    """words() in lower case beyond A-Z as well, as many of them: much cheaper to make, and equal wherever words() are."""
-    return F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(SEPARATORS)), BREAK)
+    """words() as low() has them, as many of them, and equal wherever words() are."""
+    return F.split(F.btrim(low(F.coalesce(text, F.lit(""))), F.lit(SEPARATORS)), BREAK)
 
 
 def item_windows(benchmark: DataFrame, size: int = 10, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -48,11 +53,12 @@ def find(docs: DataFrame, windows: DataFrame, doc: str = "doc_id", text: str = "
     without the text. Either finds places in lower case beyond A-Z as well; these go back to their documents, where the exact words are
     compared.
     """
-    each = windows.select("window").distinct().withColumn("low", F.transform("window", F.lower))
+    each = windows.select("window").distinct().withColumn("low", F.transform("window", low))
     small = each.count() <= most_broadcast
     hint = F.broadcast if small else (lambda x: x)
     base = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), low_words(F.col(text)).alias("w"))
-    spread = base.select("doc", "th", "w", F.posexplode("w").alias("at", "word"))
+    # an array of words is never empty; posexplode would have Spark split every text twice, to filter empty ones
+    spread = base.select("doc", "th", "w", F.posexplode_outer("w").alias("at", "word"))
     needed = each.select(F.explode("low").alias("word")).distinct()
     counts = stored(spread.select("word").join(hint(needed), "word").groupBy("word").count(), "decontam-words")
     ranked = each.select("window", "low", F.posexplode("low").alias("offset", "word")).join(counts, "word", "left")
@@ -72,7 +78,9 @@ def find(docs: DataFrame, windows: DataFrame, doc: str = "doc_id", text: str = "
     whole = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left_semi")
     whole = whole.dropDuplicates(["doc", "th"]).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), words(F.col("text")).alias("w"))
     met = places.join(whole, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))
-    return met.where(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("window")).select("doc", "th", "start", "len", "window")
+    found = stored(met.where(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("window")).select("doc", "th", "start", "len", "window"), "decontam-places")
+    drop_stored(counts, places)
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most_broadcast: int = 100_000) -> DataFrame:
@@ -80,17 +88,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc: st
 
     A word is hit if an occurrence of a window covers it; occurrences are merged as intervals within a document. Defined results: null or
     empty texts have no words and no hits; an item of fewer words than size is one window, one of none is nothing; null item ids read as
-    ''; equal rows of docs share one row here; empty tables give no rows.
+    ''; equal rows of docs share one row here; a null doc_id is an id like others; empty tables give no rows; other columns of either table
+    aren't read and can't clash.
     """
     windows = stored(item_windows(benchmark, size, item, item_text), "decontam-windows")
-    places = stored(find(docs, windows, doc, text, most_broadcast), "decontam-places")
+    places = find(docs, windows, doc, text, most_broadcast)
     before = Window.partitionBy("doc", "th").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)  # a document's own places
     stop = F.col("start") + F.col("len")
     spans = places.select("doc", "th", "start", "len").distinct().withColumn("reach", F.max(stop).over(before))
     hit = spans.groupBy("doc", "th").agg(F.sum(F.greatest(F.lit(0), stop - F.greatest("start", F.coalesce("reach", F.lit(0))))).cast("long").alias("n_hit"))
     items = places.select("doc", "th", "window").distinct().join(windows, "window").groupBy("doc", "th").agg(F.sort_array(F.collect_set("item")).alias("items"))
     items = items.withColumnsRenamed({"doc": "_doc", "th": "_th"})
-    return hit.join(items, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("doc", "th", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
+    out = stored(hit.join(items, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).select("doc", "th", "n_hit", F.size("items").cast("long").alias("n_items"), "items"), "decontam")
+    drop_stored(windows, places)
+    return out
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,22 @@ def test_decontam_empty(spark):
     full = spark.createDataFrame([(1, "a b c")], "k long, text string")
     assert decontam.decontaminate(d, full.withColumnRenamed("k", "item_id")).count() == 0
     assert decontam.decontaminate(full.withColumnRenamed("k", "doc_id"), b).count() == 0
+
+
+def test_decontam_beyond_ascii(spark):
+    """Lower-casing A-Z alone, whatever stands beside a letter: sigma before a dot, dotted and dotless i, the Kelvin sign; repeated rows and null ids."""
+    letters = "\u039f\u0394\u039f\u03a3"
+    items = [(1, f"{letters}.\u0391\u0392\u0393 alpha beta gamma delta epsilon zeta eta theta iota"), (2, "\u0130stanbul \u212aelvin I\u0131 one two"), (3, f"{letters.lower()} {letters}"), (3, "x y"), (None, "alone \u03c3\u03c2")]
+    docs = [(1, items[0][1]), (2, items[0][1].replace(".", " ")), (3, "so \u0130STANBUL, \u212aELVIN i\u0131 ONE two."), (4, "istanbul kelvin i\u0131 one two"), (5, f"{letters}' {letters}"), (6, f"{letters.lower()}'{letters}."), (None, "ALONE-\u03c3\u03c2!"), (7, "alone \u03c3\u03c3"), (1, items[0][1])]
+    d = spark.createDataFrame([(*x, 0, 0) for x in docs], "doc_id long, text string, th int, w int")
+    for limit in (100_000, -1):
+        got = {x.doc: (x.n_hit, x["items"]) for x in decontam.decontaminate(d, spark.createDataFrame(items, "item_id long, text string"), most_broadcast=limit).collect()}
+        assert got == brute_decontam(docs, items) and len(got) == 5 and got[1][0] == 11
+
+
+def test_lines_with_clashing_columns(spark):
+    names = "doc_id long, text string, _h int, _doc int, doc int, th int, at int, gone int, row int, own int, hash int, line_count int"
+    df = spark.createDataFrame([(k, "a b c d e f\nx" if k < 2 else f"t{k}", *range(10)) for k in range(3)], names)
+    got = lines.dedup_lines(df)
+    assert got.columns == [*df.columns, "lines_removed"]
+    assert sorted((r.doc_id, r.text, r._h, r._doc, r.hash, r.line_count, r.lines_removed) for r in got.collect()) == [(0, "a b c d e f\nx", 0, 1, 8, 2, 0), (1, "", 0, 1, 8, 2, 2), (2, "t2", 0, 1, 8, 1, 0)]
