@@ -65,8 +65,8 @@ def blank_stats(series: DataFrame, keys: list[str], n_periods: int, time: str =
     )
     span = F.coalesce(F.col("last_q") - F.col("first_q") + 1, F.lit(0))
     return per.select(
-        *keys, "n_observed", span.cast("long").alias("span"), F.coalesce(F.col("first_q") - F.col("_q0"), F.lit(n_periods)).cast("long").alias("leading"),
-        F.when(F.col("n_observed") == 0, 0).otherwise(F.col("_q1") - F.col("last_q")).cast("long").alias("trailing"), (span - F.col("n_observed")).cast("long").alias("internal"), "longest_blank", "volume", "first_q", "last_q",
+        *keys, "n_observed", span.cast("long").alias("span"), F.coalesce(F.col("first_q") - F.col("_q0"), F.lit(n_periods)).cast("long").alias("lead_blanks"),
+        F.when(F.col("n_observed") == 0, 0).otherwise(F.col("_q1") - F.col("last_q")).cast("long").alias("trail_blanks"), (span - F.col("n_observed")).cast("long").alias("internal"), "longest_blank", "volume", "first_q", "last_q",
     )
 
 

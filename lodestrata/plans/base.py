@@ -64,8 +64,8 @@ r AS (SELECT product, market, q, v, blank, count(*) OVER (PARTITION BY product,
 #: the same runs over the full spine, and per-series figures
 STATS = FULL + """, g AS (SELECT *, v IS NULL AS blank, q - row_number() OVER (PARTITION BY product, market, v IS NULL ORDER BY q) AS isl FROM s), r AS (SELECT *, count(*) OVER (PARTITION BY product, market, blank, isl) AS run FROM g),
 z AS (SELECT product, market, count(*) FILTER (WHERE NOT blank) AS n_observed, min(CASE WHEN NOT blank THEN q END) AS first_q, max(CASE WHEN NOT blank THEN q END) AS last_q, min(q) AS q0, max(q) AS q1, coalesce(max(CASE WHEN blank THEN run END), 0)::BIGINT AS longest_blank, coalesce(sum(v), 0) AS volume FROM r GROUP BY ALL),
-st AS (SELECT product, market, n_observed, coalesce(last_q - first_q + 1, 0)::BIGINT AS span, coalesce(first_q - q0, q1 - q0 + 1)::BIGINT AS leading, CASE WHEN n_observed = 0 THEN 0 ELSE q1 - last_q END::BIGINT AS trailing, (coalesce(last_q - first_q + 1, 0) - n_observed)::BIGINT AS internal, longest_blank, volume, first_q, last_q FROM z)"""
-PATTERN = """CASE WHEN n_observed = 0 THEN 'all_blank' WHEN internal > 0 THEN 'internal_gaps' WHEN leading > 0 AND trailing > 0 THEN 'leading_and_trailing' WHEN leading > 0 THEN 'leading_only' WHEN trailing > 0 THEN 'trailing_only' ELSE 'complete' END"""
+st AS (SELECT product, market, n_observed, coalesce(last_q - first_q + 1, 0)::BIGINT AS span, coalesce(first_q - q0, q1 - q0 + 1)::BIGINT AS lead_blanks, CASE WHEN n_observed = 0 THEN 0 ELSE q1 - last_q END::BIGINT AS trail_blanks, (coalesce(last_q - first_q + 1, 0) - n_observed)::BIGINT AS internal, longest_blank, volume, first_q, last_q FROM z)"""
+PATTERN = """CASE WHEN n_observed = 0 THEN 'all_blank' WHEN internal > 0 THEN 'internal_gaps' WHEN lead_blanks > 0 AND trail_blanks > 0 THEN 'leading_and_trailing' WHEN lead_blanks > 0 THEN 'leading_only' WHEN trail_blanks > 0 THEN 'trailing_only' ELSE 'complete' END"""
 CODES = """leaf AS (SELECT upper(substr(p_type, 1, 1)) || lpad(regexp_extract(p_brand, '(\\d+)', 1), 2, '0') || upper(substr(split_part(p_name, ' ', 1), 1, 1)) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || lpad((p_partkey % 100)::VARCHAR, 2, '0') AS c FROM part),
 codes AS (SELECT DISTINCT substr(c, 1, n::INT) AS code FROM leaf, (VALUES (1), (3), (4), (5), (7)) AS t(n)),
 lv AS (SELECT code, CASE length(code) WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE 5 END AS level, CASE length(code) WHEN 3 THEN substr(code, 1, 1) WHEN 4 THEN substr(code, 1, 3) WHEN 5 THEN substr(code, 1, 4) WHEN 7 THEN substr(code, 1, 5) END AS parent FROM codes)"""

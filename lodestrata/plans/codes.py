@@ -71,16 +71,16 @@ def generality(spark, d):
     return spearman(subtree_size(spark, d), "level", "n_descendants").withColumn("rho", F.round("rho", 6))
 
 
-# sets of codes per product: codes of the parts that share a name
-_SETS = CODES.replace("leaf AS (SELECT ", "leaf AS (SELECT p_name, p_partkey, ") + ", cs AS (SELECT p_name AS product, list_sort(list_distinct(list(CASE WHEN p_partkey % 7 = 0 THEN substr(c, 1, 4) ELSE c END))) AS codes FROM leaf WHERE p_partkey % 5 < 2 GROUP BY p_name)"
+# sets of codes per product of a brand and type: codes of all parts that share them
+_SETS = CODES.replace("leaf AS (SELECT ", "leaf AS (SELECT p_name || '/' || p_brand || '/' || p_type AS product, p_partkey, ") + ", cs AS (SELECT product, list_sort(list_distinct(list(CASE WHEN p_partkey % 7 = 0 THEN substr(c, 1, 4) ELSE c END))) AS codes FROM leaf GROUP BY product)"
 
 
 def code_sets(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 5 < 2")
+    p = table(spark, d, "part")
     two = F.split("p_name", " ")
     leaf = F.concat(F.upper(F.substring("p_type", 1, 1)), F.lpad(F.regexp_extract("p_brand", r"(\d+)", 1), 2, "0"), F.upper(F.substring(two[0], 1, 1)), F.upper(F.substring(two[1], 1, 1)), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))
     c = F.when(F.col("p_partkey") % 7 == 0, F.substring(leaf, 1, 4)).otherwise(leaf)
-    return p.groupBy(F.col("p_name").alias("product")).agg(F.array_sort(F.collect_set(c)).alias("codes"))
+    return p.groupBy(F.concat_ws("/", "p_name", "p_brand", "p_type").alias("product")).agg(F.array_sort(F.collect_set(c)).alias("codes"))
 
 
 _COLLAPSED = "list_filter(codes, lambda c: len(list_filter(codes, lambda x: x <> c AND starts_with(x, c))) = 0)"
@@ -138,11 +138,12 @@ def text_scalars(spark, d):
     return table(spark, d, "part").select("p_partkey", X.normalize_key(F.col("p_brand")).alias("key"), F.array_join(F.array_sort(F.array_distinct(F.transform(F.split("p_name", " "), F.upper))), "|").alias("parts"), F.concat_ws(" ", "p_brand", "p_type").alias("label"))
 
 
-@query("code_regex")
+@query("code_regex", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(['A' || lpad((p_partkey % 100)::VARCHAR, 2, '0') || CASE WHEN p_partkey % 2 = 0 THEN 'BC' ELSE 'B' END, 'C01AA05', 'N02'], CASE WHEN p_partkey % 3 = 0 THEN ['B' || lpad((p_size % 100)::VARCHAR, 2, '0') || '12'] ELSE [] END))), '|') AS codes FROM part")
 def code_regex(spark, d):
-    p = table(spark, d, "part")
-    text = F.concat(F.lit("http://example.org/x/"), F.lit("A"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.when(F.col("p_partkey") % 2 == 0, "BC").otherwise("B"), F.lit(" or c01aa05"))
-    return p.select("p_partkey", X.extract_codes(text).alias("codes"))
+    """Codes in addresses ending in atc/..., and bare ones; a bare code after another slash or within a word is none."""
+    n = lambda c: F.lpad((F.col(c) % 100).cast("string"), 2, "0")
+    text = F.concat(F.lit("http://example.org/ATC/a"), n("p_partkey"), F.when(F.col("p_partkey") % 2 == 0, "bc").otherwise("b"), F.lit(" or c01aa05, x/y/g04bd and XA01 but (N02)"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" B"), n("p_size"), F.lit("12"))).otherwise(""))
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.extract_codes(text), "|").alias("codes"))
 
 
 # product mapping: the words of p_name are components; tier tables are rules over the words

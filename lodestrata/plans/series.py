@@ -87,7 +87,7 @@ def _stats(spark, d):
     return S.blank_stats(full_series(spark, d), KEYS, last - first + 1, value="v")
 
 
-_STAT = "product, market, n_observed, span, leading, trailing, internal, longest_blank, volume, first_q, last_q"
+_STAT = "product, market, n_observed, span, lead_blanks, trail_blanks, internal, longest_blank, volume, first_q, last_q"
 
 
 @query("series_blank_stats", f"WITH {STATS} SELECT {_STAT} FROM st")
@@ -97,7 +97,7 @@ def series_blank_stats(spark, d):
 
 @query("blank_patterns", f"WITH {STATS} SELECT {PATTERN} AS pattern, count(*) AS n_series, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM st GROUP BY 1")
 def blank_patterns(spark, d):
-    kind = S.blank_pattern(*map(F.col, ("leading", "trailing", "internal", "n_observed")))
+    kind = S.blank_pattern(*map(F.col, ("lead_blanks", "trail_blanks", "internal", "n_observed")))
     n = _stats(spark, d).groupBy(kind.alias("pattern")).agg(F.count("*").alias("n_series"))
     return n.select("pattern", "n_series", F.round(F.col("n_series") / F.sum("n_series").over(Window.partitionBy(F.lit(1))), 6).alias("share"))
 

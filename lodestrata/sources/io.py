@@ -110,3 +110,51 @@ def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], li
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(embedder(part.column(1).to_pylist()), pa.list_(pa.float32()))], [key, "embedding"])
 
     return df.select(key, text).mapInArrow(run, df.select(key).schema.add("embedding", T.ArrayType(T.FloatType())))
+
+
+def with_default_vector(keys: DataFrame, vectors: DataFrame, key: str, dims: int) -> DataFrame:
+    """keys with the vector of each, and the zero vector where there is none."""
+    kind = vectors.schema["embedding"].dataType.elementType
+    return keys.join(vectors, key, "left").withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast(kind), dims)))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def load_inputs(spark: SparkSession, raw: str, prepared: str, raw_schema: T.StructType | str | None = None, prepared_schema: T.StructType | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The raw and the prepared table; an error that names every one that isn't there before anything is read."""
+    lost = [p for p in (raw, prepared) if not path_exists(spark, p)]
+    if lost:
+        raise FileNotFoundError(f"run the steps before this one: {', '.join(lost)} missing")
+    return read_table(spark, raw, raw_schema), read_table(spark, prepared, prepared_schema)
+
+
+def append_report(df: DataFrame, path: str) -> None:
+    """More rows for a CSV report, written where they lie; every part has the header."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Pairs of codes (ancestor, descendant), one JSON array a row, as read_edges() takes them."""
+    edges.select(F.to_json(F.array("ancestor", "descendant")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(ancestor, descendant) from JSON arrays: one pair a row, or all pairs in one array."""
+    pairs = F.coalesce(F.when(F.col("value").rlike(r"^\s*\[\s*\["), F.from_json("value", "array<array<string>>")), F.array(F.from_json("value", "array<string>")))
+    rows = spark.read.option("wholetext", False).text(path).select(F.explode(pairs).alias("p"))
+    return rows.select(F.col("p")[0].alias("ancestor"), F.col("p")[1].alias("descendant"))
+
+
+def load_code_vectors(spark: SparkSession, path: str, codes: DataFrame | None, kind: str, dims: int | None = None) -> DataFrame:
+    """(code, embedding) as a configuration wants them. euclidean: reduced to dims principal axes where dims is given, then of unit length; hyperbolic: the log map at the origin."""
+    from ..operators import vectors as V
+
+    rows = load_vectors(spark, path, codes)
+    if kind == "hyperbolic":
+        return rows.select("code", V.log_map_origin(F.col("embedding")).alias("embedding"))
+    if dims is not None:
+        rows = V.pca(rows, "embedding", dims, "embedding_").select("code", F.col("embedding_").alias("embedding"))
+    return rows.select("code", V.normalize(F.col("embedding")).alias("embedding"))

@@ -30,8 +30,16 @@ def test_scalars(spark):
     assert [r[0] for r in df.select(X.clean_sales(F.col("s"))).collect()] == [1234.56, 1234.56, 1.234, None, None, 7.0, None, -5.0]
     q = spark.createDataFrame([(x,) for x in ["Q2 2014", "2014-Q2", "2014_05", "Q2 2014_Standard Units", "x", None]], "s string")
     assert [r[0] for r in q.select(X.quarter_label(F.col("s"))).collect()] == ["2014Q2"] * 4 + [None, None]
-    c = spark.createDataFrame([("see http://x/y/c10aa05, A01 and A01b or XA01",)], "s string")
-    assert c.select(X.extract_codes(F.col("s"))).first()[0] == ["A01", "A01B", "C10AA05"]
+    c = spark.createDataFrame([("see http://x/y/c10aa05, A01 and A01b or XA01",), ("http://x/ATC/c10aa05 atc/A01AA9z A0112",), ("",), (None,)], "s string")
+    assert [r[0] for r in c.select(X.extract_codes(F.col("s"))).collect()] == [["A01", "A01B"], ["A0112", "A01AA9", "C10AA05"], [], None]
+    w = spark.createDataFrame([("5\t",), ("\tnan\n",), ("\u00a0x\u2003",), (" ",)], "s string")
+    assert [tuple(r) for r in w.select(X.clean_sales(F.col("s")), X.clean_text(F.col("s"))).collect()] == [(5.0, "5"), (None, None), (None, "x"), (None, None)]
+    v = spark.createDataFrame([(x,) for x in ["2014-05-31", "2014-5", "q3 - 2014", "2014 q4", "5/31/2014", "20140531", "2014-13", "Q2 2014_x", "31 May 2014", None]], "s string")
+    assert [r[0] for r in v.select(X.quarter_value(F.col("s"))).collect()] == ["2014Q2", "2014Q2", "2014Q3", "2014Q4", "2014Q2", "2014Q2", None, None, "2014Q2", None]
+    f = spark.createDataFrame([("to Q2 2014, 2015Q1",), ("2015Q1 Q2 2014",), ("none",), (None,)], "s string")
+    assert [r[0] for r in f.select(X.quarter_search(F.col("s"))).collect()] == ["2014Q2", "2015Q1", None, None]
+    m = spark.createDataFrame([("03.2026",), ("12/2025",), ("2026Q1",), ("13.2026",)], "s string")
+    assert [r[0] for r in m.select(X.last_quarter(F.col("s"))).collect()] == ["2026Q1", "2025Q4", "2026Q1", None]
     t = spark.createDataFrame([("ALL CAPS in ATC",), ("Mixed Case",)], "s string")
     assert [r[0] for r in t.select(X.sentence_case(F.col("s"))).collect()] == ["All caps", "Mixed Case"]
 
@@ -92,3 +100,44 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("counts").select("start", "event_type", "n").collect()) == sorted(batch.select("start", "event_type", "n").collect())
+
+
+def test_prepare(spark):
+    from lodestrata.operators import prepare as P
+
+    names = ", ".join(f"{n} string" for n in [*P.FIXED, *P.QUARTERS])
+    labels = [f"Q{q % 4 + 1} {q // 4}" for q in range(8000, 8048)]
+    rows = [("A", "x", "", None, "M", *["1,000.5"] * 47, ""), ("A", "x", "", None, "M", *["2"] * 47, " "), ("h", "", "", "", "", *labels), ("A", "", "", "", "market", *["1"] * 48), (None, "", "", "", "M", *["Q1 2014"] * 2, *["7"] * 46)]
+    raw = spark.createDataFrame(rows, names)
+    got = P.prepare(raw.coalesce(1)).collect()
+    a = {r.quarter_label: r for r in got if r["product"] == "A"}
+    assert len(got) == 96 and len(a) == 48 and a["2000Q1"].sales_units == 1002.5 and a["2000Q1"].source_rows == 2 and a["2000Q1"].year == 2000
+    assert a["2011Q4"].sales_units is None and a["2011Q4"].missing_sales_rows == 2
+    assert sum(r.sales_units is None for r in got if r["product"] is None) == 2  # two labels are too few to make a row metadata
+    assert P.split_metadata(raw)[1].first().n_removed == 2
+    plain = raw.where("Column1 = 'A' AND Column5 = 'M'")
+    with pytest.raises(ValueError, match="last"):
+        P.prepare(plain)
+    assert P.prepare(plain, "2011Q4").count() == 48
+    with pytest.raises(ValueError, match="missing"):
+        P.prepare(plain.drop("Column53"), "2011Q4")
+
+
+def test_files(spark, tmp_path):
+    edges = spark.createDataFrame([("A", "A01"), ("A01", "A01B")], "ancestor string, descendant string")
+    io.write_edges(edges, f"{tmp_path}/e")
+    assert sorted(map(tuple, io.read_edges(spark, f"{tmp_path}/e").collect())) == [("A", "A01"), ("A01", "A01B")]
+    (tmp_path / "one.json").write_text('[["A", "A01"], ["B", "B01"]]')
+    assert sorted(map(tuple, io.read_edges(spark, f"{tmp_path}/one.json").collect())) == [("A", "A01"), ("B", "B01")]
+    io.append_report(edges, f"{tmp_path}/r.csv")
+    io.append_report(edges, f"{tmp_path}/r.csv")
+    assert io.read_table(spark, f"{tmp_path}/r.csv", "ancestor string, descendant string").count() == 4
+    with pytest.raises(FileNotFoundError, match="nothing"):
+        io.load_inputs(spark, f"{tmp_path}/one.json", f"{tmp_path}/nothing.csv")
+    v = spark.createDataFrame([("A", [3.0, 4.0, 0.0]), ("B", [0.0, 2.0, 1.0]), ("C", [1.0, 0.0, 5.0])], "code string, embedding array<double>")
+    v.write.parquet(f"{tmp_path}/v")
+    codes = v.select("code").where("code < 'C'")
+    assert {r.code: [round(x, 9) for x in r.embedding] for r in io.load_code_vectors(spark, f"{tmp_path}/v", codes, "euclidean").collect()}["A"] == [0.6, 0.8, 0.0]
+    assert {len(r.embedding) for r in io.load_code_vectors(spark, f"{tmp_path}/v", None, "euclidean", 2).collect()} == {2}
+    assert {len(r.embedding) for r in io.load_code_vectors(spark, f"{tmp_path}/v", codes, "hyperbolic").collect()} == {2}
+    assert [tuple(r) for r in io.with_default_vector(spark.createDataFrame([("A",), ("Z",)], "code string"), v, "code", 3).orderBy("code").collect()] == [("A", [3.0, 4.0, 0.0]), ("Z", [0.0, 0.0, 0.0])]
