@@ -102,10 +102,10 @@ def paired_delta(spark, d):
     return paired(spark, d).groupBy("market").agg(F.count("*").alias("n_series"), (F.round(F.sum(x * F.col("n")) / F.sum("n"), 6) + 0.0).alias("delta"), F.count_if(x > 0).alias("n_better"), F.count_if(x < 0).alias("n_worse"))
 
 
-@query("holm", f"WITH {_PAIR}, p AS (SELECT market, round(count(*) FILTER (WHERE delta <= 0) / count(*) / 10, 9) AS p FROM pr GROUP BY market), r AS (SELECT *, row_number() OVER (ORDER BY p, market) AS k, count(*) OVER () AS n FROM p) SELECT market, p, round(least(1, max((n - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)), 9) AS p_holm, CASE WHEN least(1, max((n - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) < 0.05 THEN 'significant' ELSE 'not significant' END AS verdict FROM r")
+@query("holm", f"WITH {_PAIR}, p AS (SELECT market, round(count(*) FILTER (WHERE delta <= 0) / count(*) / 10, 9) AS p, round(sum(delta * n) / sum(n), 9) AS delta FROM pr GROUP BY market), r AS (SELECT *, row_number() OVER (ORDER BY p, market) AS k, count(*) OVER () AS n FROM p) SELECT market, p, round(least(1, max((n - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)), 9) AS p_holm, CASE WHEN least(1, max((n - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) >= 0.05 THEN 'not significant' WHEN delta < 0 THEN 'better' ELSE 'worse' END AS verdict FROM r")
 def holm(spark, d):
-    p = paired(spark, d).groupBy("market").agg(F.round(F.count_if(F.col("delta") <= 0) / F.count("*") / 10, 9).alias("p"))
-    return O.holm(p, "p", "market").select("market", "p", F.round("p_holm", 9).alias("p_holm"), F.when(F.col("p_holm") < 0.05, "significant").otherwise("not significant").alias("verdict"))
+    p = paired(spark, d).groupBy("market").agg(F.round(F.count_if(F.col("delta") <= 0) / F.count("*") / 10, 9).alias("p"), F.round(F.sum(F.col("delta") * F.col("n")) / F.sum("n"), 9).alias("delta"))
+    return O.holm(p, "p", "market").select("market", "p", F.round("p_holm", 9).alias("p_holm"), F.when(F.col("p_holm") >= 0.05, "not significant").when(F.col("delta") < 0, "better").otherwise("worse").alias("verdict"))
 
 
 @query("config_pairs", "WITH c AS (SELECT DISTINCT label AS config FROM embeddings) SELECT a.config AS a, b.config AS b FROM c a JOIN c b ON a.config < b.config")
@@ -120,39 +120,109 @@ def bootstrap_ci(spark, d):
     return O.bootstrap_ratio(rows, KEYS, "num", "n", ["market"])
 
 
-def _model_rows(spark, d, cutoff: int, test: bool) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+_BASE = ["y_anchor", "y_season", "am", "sm", *(f"h{h}" for h in range(1, 5)), *(f"s{k}" for k in range(4))]
+#: Configurations of the run: the base features alone, and with a one-hot of the market, which stands for what a vector of the product's code adds.
+CONFIGS = ("none", "market")
 
+
+def _model_rows(spark, d, cutoff: int, test: bool, config: str = "none") -> tuple[DataFrame, list[str]]:
     rows = O.fold_rows(full_series(spark, d), KEYS, cutoff, test)
-    rows = rows.withColumns({f"h{h}": (F.col("horizon") == h).cast("double") for h in range(1, 5)} | {f"s{k}": (F.col("q") % 4 == k).cast("double") for k in range(4)} | {"am": F.col("anchor_missing").cast("double"), "sm": F.col("season_missing").cast("double")})
-    names = ["y_anchor", "y_season", "am", "sm", *(f"h{h}" for h in range(1, 5)), *(f"s{k}" for k in range(4))]
-    return VectorAssembler(inputCols=names, outputCol="raw").transform(rows)
+    new = {f"h{h}": (F.col("horizon") == h).cast("double") for h in range(1, 5)} | {f"s{k}": (F.col("q") % 4 == k).cast("double") for k in range(4)} | {"am": F.col("anchor_missing").cast("double"), "sm": F.col("season_missing").cast("double")}
+    names = list(_BASE)
+    if config == "market":
+        markets = [r.n_name for r in spark.read.parquet(f"{d}/nation.parquet").select("n_name").orderBy("n_name").collect()]  # a fixed vocabulary of nations
+        new |= {f"m{i}": (F.col("market") == m).cast("double") for i, m in enumerate(markets)}
+        names += [f"m{i}" for i in range(len(markets))]
+    return rows.withColumns(new), names
+
+
+def standardize(rows: DataFrame, names: list[str]) -> tuple[list[float], list[float]]:
+    """Means and population deviations (1 for a constant column) of the training rows, in one aggregate."""
+    r = rows.agg(*(F.avg(n) for n in names), *(F.stddev_pop(n) for n in names)).first()
+    return [float(x or 0) for x in r[: len(names)]], [float(x) if x else 1.0 for x in r[len(names) :]]
+
 
+def assembled(rows: DataFrame, names: list[str], scale: tuple[list[float], list[float]]) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
 
-def _forecast(spark, d, model) -> DataFrame:
-    """Scores of every rolling origin in CUTOFFS (fold), each with a model of its own."""
-    from pyspark.ml.feature import StandardScaler
+    return rows.withColumn("features", array_to_vector(F.array(*((F.col(n) - F.lit(m)) / F.lit(s) for n, m, s in zip(names, *scale)))))
 
+
+def _forecast(spark, d, model, config: str = "none", unseen: DataFrame | None = None) -> DataFrame:
+    """Scores of every rolling origin in CUTOFFS (fold), each with a model of its own, which learns nothing from the products in unseen."""
     out = None
     for cutoff in CUTOFFS:
-        train, test = _model_rows(spark, d, cutoff, False), _model_rows(spark, d, cutoff, True)
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
-        fitted = model(scaler.transform(train))
-        told = fitted.transform(scaler.transform(test)).withColumn("units_hat", F.signum("prediction") * F.expm1(F.abs("prediction")))
+        (train, names), (test, _) = _model_rows(spark, d, cutoff, False, config), _model_rows(spark, d, cutoff, True, config)
+        train = train if unseen is None else train.join(unseen.select("product"), "product", "left_anti")
+        scale = standardize(train, names)
+        fitted = model(assembled(train, names, scale))
+        told = fitted.transform(assembled(test, names, scale)).withColumn("units_hat", F.signum("prediction") * F.expm1(F.abs("prediction")))
         one = O.score(told, O.in_sample(full_series(spark, d), KEYS, cutoff), KEYS, "units", "units_hat").withColumn("fold", F.lit(cutoff))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("ridge_forecast")
-def ridge_forecast(spark, d):
+def _ridge(rows: DataFrame):
     from pyspark.ml.regression import LinearRegression
 
-    def fit(rows):
-        m = rows.agg(F.count("*"), F.stddev_pop("y")).first()
-        return LinearRegression(featuresCol="features", labelCol="y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=10.0 / m[0] * (m[1] or 1.0)).fit(rows)
+    m = rows.agg(F.count("*"), F.stddev_pop("y")).first()
+    return LinearRegression(featuresCol="features", labelCol="y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=10.0 / m[0] * (m[1] or 1.0)).fit(rows)
+
+
+def _floor(spark, d) -> DataFrame:
+    """Scores of the seasonal floor, over the same origins."""
+    out = None
+    for cutoff in CUTOFFS:
+        test = O.fold_rows(full_series(spark, d), KEYS, cutoff, True)
+        told = test.withColumn("units_hat", F.signum("y_season") * F.expm1(F.abs("y_season")))
+        one = O.score(told, O.in_sample(full_series(spark, d), KEYS, cutoff), KEYS, "units", "units_hat").withColumn("fold", F.lit(cutoff))
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
-    return _forecast(spark, d, fit)
+def records(spark, d) -> DataFrame:
+    """The run: a row per model, configuration, fold and series, with mase, volume, history, n and whether the product was held out of the training (unseen)."""
+    unseen = O.holdout(full_series(spark, d), "product", 0.2, "holdout").select("product", F.lit(True).alias("unseen"))
+    out = _floor(spark, d).withColumns({"model": F.lit("floor"), "config": F.lit("none")})
+    for config in CONFIGS:
+        out = out.unionByName(_forecast(spark, d, _ridge, config, unseen).withColumns({"model": F.lit("ridge"), "config": F.lit(config)}))
+    return out.join(unseen, "product", "left").withColumn("unseen", F.coalesce("unseen", F.lit(False)))
+
+
+@query("forecast_run")
+def forecast_run(spark, d):
+    """Folds by configurations by models, summed up for each."""
+    return O.summary(records(spark, d), ["model", "config", "fold"])
+
+
+def _deltas(rows: DataFrame, first: tuple[str, str], second: tuple[str, str], by: list[str] = ()) -> DataFrame:
+    """Paired differences of mase (first less second) over the folds and series that both have, with interval and p."""
+    keys = ["fold", *KEYS]
+    of = lambda m: rows.where((F.col("model") == m[0]) & (F.col("config") == m[1]))
+    met = of(first).join(of(second).select(*keys, F.col("mase").alias("_other")), keys).withColumn("num", F.col("mase") - F.col("_other")).withColumn("den", F.lit(1.0))
+    return O.bootstrap_ratio(met, KEYS, "num", "den", list(by)).withColumns({"first": F.lit("/".join(first)), "second": F.lit("/".join(second))})
+
+
+@query("bootstrap_families")
+def bootstrap_families(spark, d):
+    """The four families of comparisons: each configuration against none, the same apart for unseen products, every pair of configurations, each against the floor."""
+    from itertools import combinations
+
+    rows = records(spark, d).persist()  # read once for each comparison; a lost part is worked out again
+    out = None
+    parts = [("vs_none", ("ridge", c), ("ridge", "none"), []) for c in CONFIGS if c != "none"] + [("by_unseen", ("ridge", c), ("ridge", "none"), ["unseen"]) for c in CONFIGS if c != "none"]
+    parts += [("config_pair", ("ridge", a), ("ridge", b), []) for a, b in combinations(CONFIGS, 2)] + [("vs_floor", ("ridge", c), ("floor", "none"), []) for c in CONFIGS]
+    for family, a, b, by in parts:
+        one = _deltas(rows, a, b, by)
+        one = one if by else one.withColumn("unseen", F.lit(None).cast("boolean"))
+        one = one.select(F.lit(family).alias("family"), "first", "second", "unseen", "n_clusters", "estimate", "low", "high", "p")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("ridge_forecast")
+def ridge_forecast(spark, d):
+    return _forecast(spark, d, _ridge)
 
 
 @query("gbt_forecast")

@@ -11,7 +11,7 @@ from ..operators.ranks import spearman
 from .base import LONG, codes, long_table, table
 from .codes import _CLOSURE, _COMBO, product_map
 from .registry import query
-from .vectors import emb, sampled_pairs
+from .vectors import emb, tree_pairs
 
 
 @query("product_table", f"WITH {_COMBO}, {LONG}, v AS (SELECT product, sum(sales_units) AS volume, count(*) AS n_rows FROM f GROUP BY product) SELECT product, match_type, n_components, coalesce(volume, 0) AS volume, coalesce(n_rows, 0) AS n_rows FROM mp LEFT JOIN v USING (product)")
@@ -69,10 +69,12 @@ def disk_projection(spark, d):
 
 @query("dimension_ablation")
 def dimension_ablation(spark, d):
-    """Isotropy by width of the vectors, beside the rank correlation of the full width."""
-    rho = spearman(sampled_pairs(spark, d), "dist", "tree").first().rho
-    rows = [(k, float(V.isotropy(emb(spark, d).select(F.slice("embedding", 1, k).alias("v")), "v")), rho) for k in (8, 16, 32, 64)]
-    return spark.createDataFrame(rows, "width int, isotropy double, rho_full double")
+    """By width of the vectors: isotropy, and the rank correlation of their distances with the tree's over the same stratified pairs."""
+    rows = []
+    for k in (8, 16, 32, 64):
+        rho = spearman(tree_pairs(spark, d, 0, k), "dist", "tree").first().rho
+        rows.append((k, float(V.isotropy(emb(spark, d).select(F.slice("embedding", 1, k).alias("v")), "v")), rho))
+    return spark.createDataFrame(rows, "width int, isotropy double, rho double")
 
 
 @query("json_props", "SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS n_k FROM events GROUP BY event_type")

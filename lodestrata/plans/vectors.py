@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import vectors as V
-from ..operators.ranks import spearman
+from ..operators.ranks import average_ranks, spearman
 from .base import table
 from .registry import query
 
@@ -126,13 +126,69 @@ def tree_dist_spearman(spark, d):
     return spearman(sampled_pairs(spark, d), "dist", "tree").withColumn("rho", F.round("rho", 5))
 
 
+#: The strata of tree distance, and pairs of each.
+STRATA, PER_STRATUM = ((1, 3), (4, 6), (7, 99)), 20_000
+
+
+def stratified_pairs(spark, d, seed: int = 0):
+    """(stratum, tree, v, w): up to PER_STRATUM distinct pairs of each stratum of tree distance, those with the smallest seeded hash.
+
+    Candidates are 80 partners a vector by a seeded permutation of the ids, so their number is linear; the draw within a stratum is a
+    threshold on the hash from the counted candidates and then a bounded sort.
+    """
+    e = emb(spark, d).select("vec_id", "embedding")
+    n, size = e.agg(F.count("*"), F.max("vec_id") + 1).first()
+    a = e.select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(80))).alias("k")).select(F.col("vec_id").alias("a"), F.pmod(F.xxhash64(F.lit(seed), "vec_id", "k"), F.lit(size)).alias("b")).where("a <> b")
+    a = a.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sa, sb = F.col("a").cast("string"), F.col("b").cast("string")
+    shared = F.aggregate(F.sequence(F.lit(1), F.lit(11)), F.lit(0), lambda s, i: F.when((i <= F.length(sa)) & (i <= F.length(sb)) & (sa.substr(F.lit(1), i) == sb.substr(F.lit(1), i)), i).otherwise(s))
+    t = a.withColumn("tree", F.length(sa) + F.length(sb) - 2 * shared)
+    k = F.lit(None).cast("string")
+    for low, high in STRATA:
+        k = F.when(F.col("tree").between(low, high), f"{low}-{high}").otherwise(k)
+    t = t.withColumn("stratum", k).where("stratum IS NOT NULL").withColumn("h", F.pmod(F.xxhash64(F.lit(seed), F.lit("pair"), "a", "b"), F.lit(1 << 40)))
+    counts = {r[0]: r[1] for r in t.groupBy("stratum").count().collect()}
+    most = F.create_map(*(x for s, c in (counts or {"": 1}).items() for x in (F.lit(s), F.lit(int(min(1.0, 1.1 * PER_STRATUM / c + 0.001) * (1 << 40))))))
+    t = t.where(F.col("h") < most[F.col("stratum")])  # some more than PER_STRATUM rows a stratum
+    t = t.withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", "a", "b"))).where(F.col("r") <= PER_STRATUM)
+    met = t.join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("v")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("w")), "b")
+    return met.select("stratum", "tree", "v", "w")
+
+
+def _distance(width: int | None = None):
+    v, w = (F.slice(c, 1, width) if width else F.col(c) for c in ("v", "w"))
+    return F.round(V.cosine_distance(v, w), 9)
+
+
+def tree_pairs(spark, d, seed: int = 0, width: int | None = None):
+    """(stratum, dist, tree) of stratified_pairs(), by the first `width` components or all."""
+    return stratified_pairs(spark, d, seed).select("stratum", _distance(width).alias("dist"), "tree")
+
+
+@query("stratified_spearman")
+def stratified_spearman(spark, d):
+    """Rank correlation of vector and tree distance within each stratum, and over the strata's pairs together."""
+    pairs = tree_pairs(spark, d)
+    out = spearman(pairs, "dist", "tree").withColumn("stratum", F.lit("all"))
+    for low, high in STRATA:
+        out = out.unionByName(spearman(pairs.where(F.col("stratum") == f"{low}-{high}"), "dist", "tree").withColumn("stratum", F.lit(f"{low}-{high}")))
+    return out.select("stratum", F.coalesce("n", F.lit(0)).alias("n"), F.round("rho", 6).alias("rho"))
+
+
 @query("seed_robustness")
 def seed_robustness(spark, d):
+    """The stratified correlation over ten seeds for two configurations (the full vectors and their first half): mean, deviation, ends, spread, and the least gap between the configurations at one seed."""
     out = None
-    for seed in range(5):
-        r = spearman(sampled_pairs(spark, d, seed, 10), "dist", "tree").withColumn("seed", F.lit(seed))
+    for seed in range(10):
+        r = stratified_pairs(spark, d, seed).select(F.lit(seed).alias("seed"), "tree", F.explode(F.array(F.struct(F.lit("full").alias("config"), _distance().alias("dist")), F.struct(F.lit("half").alias("config"), _distance(32).alias("dist")))).alias("x"))
         out = r if out is None else out.unionByName(r)
-    return out.agg(F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("sd"), F.min("rho").alias("least"), F.max("rho").alias("most"), (F.max("rho") - F.min("rho")).alias("spread"))
+    rows = out.select("seed", "x.config", "x.dist", "tree")
+    one = ["config", "seed"]  # three strata of PER_STRATUM pairs at most, so a window holds a bounded number of rows
+    rank = lambda c: F.rank().over(Window.partitionBy(*one).orderBy(c)) + (F.count("*").over(Window.partitionBy(*one, c)) - 1) / 2
+    rows = rows.select(*one, rank("dist").alias("ra"), rank("tree").alias("rb")).groupBy(*one).agg(F.corr("ra", "rb").alias("rho"))
+    rows = spark.createDataFrame([tuple(r) for r in rows.collect()], "config string, seed int, rho double")  # one row for each seed and configuration
+    gap = rows.groupBy("seed").agg((F.max("rho") - F.min("rho")).alias("g")).agg(F.min("g").alias("least_gap"))
+    return rows.groupBy("config").agg(F.count("*").alias("n_seeds"), F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("sd"), F.min("rho").alias("least"), F.max("rho").alias("most"), (F.max("rho") - F.min("rho")).alias("spread")).crossJoin(F.broadcast(gap))  # one row
 
 
 @query("mean_rank_map", f"WITH {_NN}, t AS (SELECT vec_id AS u, vec_id // 10 AS w FROM e WHERE vec_id >= 10 AND vec_id // 10 <> vec_id), ed AS (SELECT u, w FROM t UNION ALL SELECT w, u FROM t), dd AS (SELECT u, w, dist FROM ed JOIN x ON x.vec_id = u AND x.other = w), rk AS (SELECT dd.u, dd.w, 1 + count(*) FILTER (WHERE x.dist <= dd.dist AND x.other <> dd.w AND o.w IS NULL) AS rank FROM dd JOIN x ON x.vec_id = u LEFT JOIN ed o ON o.u = dd.u AND o.w = x.other GROUP BY dd.u, dd.w) SELECT count(*) AS n_edges, round(avg(rank), 4) AS mean_rank, round(avg(1.0 / rank), 5) AS map FROM rk")
@@ -173,17 +229,23 @@ def pca(spark, d):
 
 @query("probe_f1")
 def probe_f1(spark, d):
-    """Macro-F1 of an elastic-net probe, the mean over five stratified folds by hash order within the label."""
+    """Macro-F1 of an elastic-net probe, the mean over five stratified folds by hash order within the label, and the same with the vectors dealt to other rows (the baseline), on the same folds."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     e = emb(spark, d)
     fold = F.pmod(F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id"))), F.lit(5))
-    rows = e.select(F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), fold.alias("fold"))
-    scores = None
-    for k in range(5):
-        train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
-        model = LogisticRegression(elasticNetParam=0.5, regParam=1.0 / max(1, train.count()), standardization=False, family="multinomial", maxIter=50).fit(train)
-        one = P.macro_f1(model.transform(test))
-        scores = one if scores is None else scores.unionByName(one)
-    return scores.agg(F.avg("macro_f1").alias("macro_f1"))
+    rows = e.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), fold.alias("fold"))
+    # a permutation without one long sort: ranks by range partitions of two seeded hashes
+    first = average_ranks(e.select(F.xxhash64(F.lit("from"), "vec_id").alias("h")), "h", "rank").join(e.select("vec_id", F.xxhash64(F.lit("from"), "vec_id").alias("h")), "h").select("vec_id", "rank")
+    second = average_ranks(e.select(F.xxhash64(F.lit("to"), "vec_id").alias("h")), "h", "rank").join(e.select(F.col("vec_id").alias("other"), F.xxhash64(F.lit("to"), "vec_id").alias("h")), "h").select("other", "rank")
+    dealt = first.join(second, "rank").select("vec_id", "other")
+    mixed = rows.drop("features").join(dealt, "vec_id").join(rows.select(F.col("vec_id").alias("other"), "features"), "other").drop("other")
+    out = None
+    for kind, table_ in (("macro_f1", rows), ("shuffled_f1", mixed)):
+        for k in range(5):
+            train, test = table_.where(F.col("fold") != k), table_.where(F.col("fold") == k)
+            model = LogisticRegression(elasticNetParam=0.5, regParam=1.0 / max(1, train.count()), standardization=False, family="multinomial", maxIter=50).fit(train)
+            one = P.macro_f1(model.transform(test)).withColumn("kind", F.lit(kind))
+            out = one if out is None else out.unionByName(one)
+    return out.agg(F.avg(F.when(F.col("kind") == "macro_f1", F.col("macro_f1"))).alias("macro_f1"), F.avg(F.when(F.col("kind") == "shuffled_f1", F.col("macro_f1"))).alias("shuffled_f1"))
