@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, table
+from .common import drop_stored, others, stored, table
 
 DIMS = 4096
 #: Families of common languages by ISO 639-1 code; a language of none of these is a family of its own.
@@ -29,8 +29,8 @@ def family(lang: str) -> str:
     return _FAMILY.get(re.split(r"[-_]", lang.lower())[0], "only:" + lang)
 
 
-def features(text: str | None) -> np.ndarray | None:
-    """Hashed byte 1- to 4-grams of the whole lower-cased text with all but letters as one space: root frequencies, unit length. None where there is no letter."""
+def grams(text: str | None) -> np.ndarray | None:
+    """Counts of hashed byte 1- to 4-grams of the whole lower-cased text with all but letters as one space. None where there is no letter."""
     if not text or not _LETTER.search(text):
         return None
     b = np.frombuffer(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
@@ -42,6 +42,11 @@ def features(text: str | None) -> np.ndarray | None:
                 break
             code = (code[:-1] << np.uint32(8)) | b[n - 1 :]
         total += np.bincount(((code ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(20), minlength=DIMS)
+    return total
+
+
+def features(total: np.ndarray) -> np.ndarray:
+    """Root frequencies, of unit length."""
     out = np.sqrt(total)
     return out / np.linalg.norm(out)
 
@@ -58,26 +63,38 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 200) ->
     return v
 
 
+#: The likeness of a language to its own texts is measured by this share of them, and a text may fall short of theirs by TIMES as much; from FULL grams on a text's length makes it no surer.
+SHARE, TIMES, FULL = 0.98, 2.0, 2000
+
+
 class Model:
-    """families: names; top: one machine per family against the rest; pairs: {(a, b): machine}, positive for a."""
+    """families: names; top: one machine per family against the rest; pairs: {(a, b): machine}, positive for a; typical: per language the logarithm of each gram's share, the mean of it over a gram of the language's texts, and how far these stray."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        x = np.hstack([x, np.ones((len(x), 1))])
+    def __init__(self, counts: np.ndarray, langs: list[str]):
+        total = counts.sum(1)
+        x = np.hstack([np.sqrt(counts / total[:, None]), np.ones((len(counts), 1))])
         self.langs = sorted(set(langs))
         self.families = sorted({family(s) for s in self.langs})
         of = np.array([self.families.index(family(s)) for s in langs])
         self.top = np.array([fit_svm(x, np.where(of == i, 1.0, -1.0)) for i in range(len(self.families))]) if len(self.families) > 1 else None
         self.within = {f: [s for s in self.langs if family(s) == f] for f in self.families}
         langs = np.array(langs)
-        self.pairs = {}
+        self.pairs, self.typical = {}, {}
         for members in self.within.values():
             for a, b in itertools.combinations(members, 2):
                 rows = (langs == a) | (langs == b)
                 self.pairs[a, b] = fit_svm(x[rows], np.where(langs[rows] == a, 1.0, -1.0))
-
-    def predict(self, x: np.ndarray) -> tuple[str, float]:
-        """Language and score: the share of the family's margin, times the mean share of the winner's duels."""
-        x, sure, best = np.append(x, 1.0), 1.0, 0
+        for s in self.langs:
+            own, n = counts[langs == s], total[langs == s]
+            share = (own / n[:, None]).mean(0) + 0.1 / DIMS
+            log = np.log(share / share.sum())
+            each = own @ log / n
+            mean = float(each.mean())
+            self.typical[s] = log, mean, TIMES * float(np.quantile(np.maximum(0, mean - each) * np.sqrt(np.minimum(n, FULL)), SHARE))
+
+    def predict(self, counts: np.ndarray) -> tuple[str, float, float]:
+        """Language, score and likeness. Score: the share of the family's margin, times the mean share of the winner's duels. Likeness: how far the text's grams are above the least that the language's own texts of that length reach; below 0 the text isn't in that language, nor in any other that was learned."""
+        x, sure, best = np.append(features(counts), 1.0), 1.0, 0
         if self.top is not None:
             margins = self.top @ x
             best = int(margins.argmax())
@@ -90,13 +107,16 @@ class Model:
             won[a] += p
             won[b] += 1 - p
         lang = max(members, key=lambda s: (won[s], s))
-        return lang, min(1.0, max(0.0, sure * (won[lang] / (len(members) - 1) if len(members) > 1 else 1.0)))
+        log, mean, stray = self.typical[lang]
+        n = counts.sum()
+        like = float(counts @ log / n - mean + stray / np.sqrt(min(n, FULL)))
+        return lang, min(1.0, max(0.0, sure * (won[lang] / (len(members) - 1) if len(members) > 1 else 1.0))), like
 
 
 def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if (x := features(text)) is not None:
+            if (x := grams(text)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([x.astype(np.float32).tobytes()])], ["lang", "x"])
 
 
@@ -138,26 +158,31 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int =
     return Model(np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(float), [r.lang for r in rows])
 
 
+OUT = ["lang_pred", "score", "likeness"]
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (the columns in keep, or all) with lang_pred and score, from the whole text.
+    """docs (the columns in keep, or all) with lang_pred, score (0 to 1) and likeness (below 0: not like the texts of that language), from the whole text.
 
-    Defined results: null text, text without a letter, and everything where nothing could be learned: `und`, score 0. Equal texts get
-    equal results; an empty table gives no rows; input columns called lang_pred or score are replaced.
+    Defined results: null text, text without a letter, and everything where nothing could be learned: `und`, score 0, likeness 0. Equal
+    texts get equal results; languages with equal scores: the last by name; an empty table gives no rows; input columns called like a
+    result are replaced.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats for each family and pair of related languages
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
+    known = docs.sparkSession.sparkContext.broadcast(model)  # DIMS floats for each language, family and pair of related languages
+    names = others(keep if keep is not None else docs.columns, OUT)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for b in batches:
             found = []
             for t in b.column(b.num_columns - 1).to_pylist():
-                x = features(t) if m else None
-                found.append(("und", 0.0) if x is None else m.predict(x))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+                x = grams(t) if m else None
+                found.append(("und", 0.0, 0.0) if x is None else m.predict(x))
+            kinds = (pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], [*names, *OUT])
 
     rows = docs.select(*names, F.col(text).alias("_text"))
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("likeness", "double")
     return rows.mapInArrow(run, schema)
 
 

@@ -32,6 +32,13 @@ def test_language_cases(spark, docs):
     assert got[4].lang_pred == "en" and got[5][1:] == got[6][1:]
     assert langid.identify(df.limit(0), model).count() == 0
     assert {r.lang_pred for r in langid.identify(df, langid.fit(docs.limit(0))).collect()} == {"und"}
+    assert langid.identify(df.withColumn("Lang_Pred", F.lit(1)), model).columns == ["doc_id", "text", "lang_pred", "score", "likeness"]
+    # equal duels: the last by name
+    even = langid.Model.__new__(langid.Model)
+    even.families, even.top, even.within, even.pairs = ["germanic"], None, {"germanic": ["de", "en"]}, {("de", "en"): [0.0] * (langid.DIMS + 1)}
+    even.typical = dict.fromkeys(("de", "en"), ([0.0] * langid.DIMS, 0.0, 0.0))
+    even.pairs = {k: __import__("numpy").array(v) for k, v in even.pairs.items()}
+    assert even.predict(langid.grams("abc"))[:2] == ("en", 0.5)
 
 
 def test_toxicity(spark, docs):
@@ -49,6 +56,46 @@ def test_toxicity(spark, docs):
     assert not any(r.toxic for r in toxicity.score(rows, toxicity.fit(docs.limit(0), labels), ["doc_id"]).collect())
 
 
+def test_chain_is_trained_out_of_fold():
+    """What a link hands on for a row must not depend on that row's fold, and every link but the first reads what those before it handed on."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    toxic = (np.arange(120) % 3 == 0).astype(int)
+    x = (r.random((120, 12)) < 0.1).astype(np.float32)
+    x[toxic > 0, :3] = r.random((40, 3)) < 0.6
+    x[np.flatnonzero(toxic)[:20], 3:6] = 1
+    x = np.hstack([x, np.ones((120, 1), np.float32)])
+    fold = np.arange(120) % toxicity.FOLDS
+    truth = toxicity.targets(x[:, :-1], toxic)
+    assert truth.shape == (120, len(toxicity.CATEGORIES)) and (truth[:, -1] == toxic).all()
+    assert (truth[toxic == 0] == 0).all() and all(0 < truth[:, k].sum() < toxic.sum() for k in range(2))
+    models, handed = toxicity.fit_chain(x, truth, fold)
+    assert [len(m) for m in models] == [x.shape[1] + k for k in range(len(models))]
+    for k in range(toxicity.FOLDS):
+        other = truth.copy()
+        other[fold == k, 0] = 1 - other[fold == k, 0]  # labels of the fold itself
+        assert np.allclose(toxicity.fit_chain(x, other, fold)[1][fold == k, 0], handed[fold == k, 0], atol=0.08)
+    # brute force of the first link: a model of its own for each fold, without its rows
+    for k in range(toxicity.FOLDS):
+        w = toxicity.fit_logistic(x, truth[:, 0], (fold != k).astype(float)[:, None])
+        assert np.allclose(1 / (1 + np.exp(-(x[fold == k] @ w)[:, 0])), handed[fold == k, 0], atol=1e-4)
+    # of the second: the same with the first link's probabilities
+    full = np.hstack([x[:, :-1], handed[:, :1], x[:, -1:]])
+    for k in range(toxicity.FOLDS):
+        w = toxicity.fit_logistic(full, truth[:, 1], (fold != k).astype(float)[:, None])
+        assert np.allclose(1 / (1 + np.exp(-(full[fold == k] @ w)[:, 0])), handed[fold == k, 1], atol=1e-4)
+
+
+def test_toxicity_cases(spark):
+    text = lambda k, bad: " ".join(f"w{(k * 7 + i * 3) % 50}" for i in range(12)) + (" vrzl qumpf" if bad else "")
+    docs = spark.createDataFrame([(k, text(k, k % 3 == 0), "z") for k in range(90)] * 2 + [(None, "vrzl qumpf", "z"), (200, None, "z")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)] + [(None, 1), (200, 1), (5, None), (6, 0)], "doc_id long, toxic long")
+    got = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id", "toxic"]).collect()  # a column of the input is called like a result
+    assert len(got) == 182 and {r.doc_id: r.toxic for r in got if r.doc_id is not None and r.doc_id < 90} == {k: k % 3 == 0 for k in range(90)}
+    assert all(r.toxic for r in got if r.doc_id is None) and not any(r.toxic for r in got if r.doc_id == 200)
+
+
 def brute_base(text):
     """The base counts, straight from their words."""
     text = text or ""
@@ -87,6 +134,56 @@ def test_quality_verdict(spark, docs):
     assert quality.judge(docs.limit(0), refs, ["doc_id"]).count() == 0
 
 
+def brute_distance(p, q):
+    from math import log2, sqrt
+
+    kl = lambda a, b: sum(x * log2(x / y) for x, y in zip(a, b) if x > 0)
+    m = [(x + y) / 2 for x, y in zip(p, q)]
+    return sqrt(max(0.0, (kl(p, m) + kl(q, m)) / 2))
+
+
+def test_quality_verdict_against_brute_force(spark):
+    """Both distances and the verdict from plain counts over a small table, nulls, a very long text and a clashing column included."""
+    import collections
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    long = spark.createDataFrame([(10**7, "der the und of " * 30_000, None), (10**7 + 1, None, "en")], "doc_id long, text string, lang string")
+    docs = table.unionByName(long).withColumn("kept", F.lit("x"))
+    rows = docs.collect()
+    classes, words = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+
+    def kind(c):
+        for i, own in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r\x0b\x0c", ".,;:!?'\"()-")):
+            if c in own:
+                return i
+        return 6 if ord(c) < 128 else 7
+
+    for r in rows:
+        if r.lang is not None and r.text is not None:
+            classes[r.lang].update(map(kind, r.text))
+            words[r.lang].update(w for w in common.WORD_RE.findall(r.text.lower()))
+    share = {s: {w: n / sum(c.values()) for w, n in c.items() if n >= sum(c.values()) * quality.COMMON} for s, c in words.items()}
+    vocabulary = sorted({w for s in share.values() for w in s})
+    ref_words = {s: [v.get(w, 0) for w in vocabulary] for s, v in share.items()}
+    ref_words = {s: [*v, max(0.0, 1 - sum(v))] for s, v in ref_words.items()}
+    ref_classes = {s: [c[k] / sum(c.values()) for k in range(8)] for s, c in classes.items()}
+    for got in quality.judge(docs, quality.references(docs), ["doc_id", "kept"]).collect():
+        text = next(r.text for r in rows if r.doc_id == got.doc_id) or ""
+        own = common.WORD_RE.findall(text)
+        if not own:
+            assert got.base_failed and not got.kept and got.class_distance is None
+            continue
+        c, w = collections.Counter(map(kind, text)), collections.Counter(x.lower() for x in own)
+        p = [c[k] / len(text) for k in range(8)]
+        q = [w[x] for x in vocabulary]
+        q = [x / len(own) for x in (*q, len(own) - sum(q))]
+        far, near = min(brute_distance(p, v) for v in ref_classes.values()), min(brute_distance(q, v) for v in ref_words.values())
+        assert abs(far - got.class_distance) < 1e-9 and abs(near - got.word_distance) < 1e-6
+        if min(abs(far - 0.25), abs(near - 0.57)) > 1e-6:
+            assert got.kept == (not got.base_failed and not (len(text) >= 200 and far > 0.25) and not (len(own) >= 60 and near > 0.57))
+
+
 def test_js_distance():
     import numpy as np
 
