@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import drop_stored, stored, table, word_count
+from .common import drop_stored, others, stored, table, word_count
 
 BUCKETS = 4096
 
@@ -87,13 +87,16 @@ def mix(docs: DataFrame, size: Column, sources: Column, weights=None, total: flo
     epochs, then documents in the order of a seeded hash of doc_id and text; the one document on the border gives the words that are
     still missing (repeated equal rows on the border share them evenly, so the result doesn't depend on the order of rows).
 
-    Defined results: null or blank text has size 0 and is taken 0 times; empty tables give empty tables; columns of the input keep
-    their names (the operator's own start with `mix_`).
+    Where every document has one source, as in the query below, each pattern is one source, and the flow gives it its target.
+
+    Defined results: null or blank text has size 0 and is taken 0 times; empty tables give empty tables; equal hashes share the border;
+    columns of the input keep their names, but those called mix_in, mix_size or mix_taken are replaced.
     """
     spark = docs.sparkSession
-    own = docs.withColumns({
-        "mix_size": size.cast("long"),
-        "mix_in": F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string")))), lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0)),
+    kept = others(docs.columns, ["mix_in", "mix_size", "mix_taken"])
+    # the columns of docs travel as one, so none of their names can clash
+    own = docs.select(F.struct(*docs.columns).alias("mix_row"), "doc_id", "text", size.cast("long").alias("mix_size"), sources.alias("mix_of")).withColumns({
+        "mix_in": F.array_sort(F.array_distinct(F.coalesce("mix_of", F.array(F.lit(None).cast("string")))), lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), 1).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0)),
         "mix_hash": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
     })
     slim = stored(own.select("mix_in", "mix_size", "mix_hash"), "mix")
@@ -118,7 +121,7 @@ def mix(docs: DataFrame, size: Column, sources: Column, weights=None, total: flo
         cuts = F.broadcast(cuts)
     taken = own.join(cuts, "mix_in", "left").withColumn("mix_taken", F.coalesce(F.col("mix_whole") * F.col("mix_size") + part, F.lit(0).cast("long")))
     report = spark.createDataFrame([(s, sizes[s], target[s]) for s in order], "source string, source_size long, target double")
-    return taken.select(*docs.columns, "mix_in", "mix_size", "mix_taken"), report
+    return taken.select(*(F.col("mix_row")[c].alias(c) for c in kept), "mix_in", "mix_size", "mix_taken"), report
 
 
 def _borders(slim: DataFrame, plan: DataFrame) -> DataFrame:

@@ -21,14 +21,28 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*runs), BASE32_FROM, BASE32_TO)
 
 
+def escape(url: Column) -> Column:
+    """A url on one line, reversibly: a backslash is doubled, line ends become \\r and \\n."""
+    return F.replace(F.replace(F.replace(url, F.lit("\\"), F.lit("\\\\")), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape(line: Column) -> Column:
+    parts = F.split(line, r"\\\\")  # doubled backslashes
+    return F.array_join(F.transform(parts, lambda x: F.replace(F.replace(x, F.lit("\\r"), F.lit("\r")), F.lit("\\n"), F.lit("\n"))), "\\")
+
+
+def record_id(page: Column, url: Column, sha256: Column, copy: Column) -> Column:
+    """Records of one page_id differ in url or payload, or in their number among equal ones."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), F.lower(F.hex(F.xxhash64(url, sha256))), F.lit(":"), copy.cast("string"), F.lit(">"))
+
+
 def headers(kind: Column, own: Column, url: Column, date: str, digest: Column, refers: Column, length: Column) -> Column:
     """The exact bytes of a record's header block, as text; the block ends with an empty line."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))).otherwise("")
-    safe = F.regexp_replace(url, r"[\r\n]+", " ")
     return F.concat(
-        F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind), line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(own.cast("string"), F.lit("none")), F.lit(">"))),
-        line("WARC-Target-URI", safe), line("WARC-Date", F.lit(date)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-        line("WARC-Refers-To", F.when(refers.isNotNull(), F.concat(F.lit("<urn:page:"), refers.cast("string"), F.lit(">")))),
+        F.lit("WARC/1.1" + CRLF), line("WARC-Type", kind), line("WARC-Record-ID", own),
+        line("WARC-Target-URI", escape(url)), line("WARC-Date", F.lit(date)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        line("WARC-Refers-To", refers),
         F.when(kind == "revisit", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF).otherwise(""),
         line("Content-Type", F.lit("text/html")), line("Content-Length", length), F.lit(CRLF),
     )
@@ -53,9 +67,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     each = dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     small = F.col("n") < min_bytes
     kind = F.when(small | (F.col("first") & (F.col("copy") == 1)), "response").otherwise("revisit")
-    refers = F.when(kind == "revisit", F.col("top.page_id"))
+    refers = F.when(kind == "revisit", record_id(F.col("top.page_id"), F.col("top.url"), F.col("sha256"), F.lit(1)))
+    own = record_id(F.col("page_id"), F.col("url"), F.col("sha256"), F.col("copy"))
     length = F.when(kind == "revisit", 0).otherwise(F.col("n"))
-    each.select("page_id", "sha256", headers(kind, F.col("page_id"), F.col("url"), date, F.col("sha1"), refers, length).alias("header")).write.parquet(f"{path}/records")
+    each.select("page_id", "sha256", headers(kind, own, F.col("url"), date, F.col("sha1"), refers, length).alias("header")).write.parquet(f"{path}/records")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -71,11 +86,11 @@ def parse_header(header: Column, name: str) -> Column:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record as its header says: page_id, url, record_type, refers_to, sha1, length, sha256, header."""
-    number = lambda name: F.regexp_extract(parse_header(F.col("header"), name), r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    """One row per record as its header says: page_id, url, record_type, refers_to (the page_id there), sha1, length, sha256, header."""
+    number = lambda name: F.regexp_extract(parse_header(F.col("header"), name), r"<urn:page:(-?\d+):", 1).try_cast("long")
     rows = spark.read.schema("page_id long, sha256 binary, header string").parquet(f"{path}/records")
     return rows.select(
-        number("WARC-Record-ID").alias("page_id"), parse_header(F.col("header"), "WARC-Target-URI").alias("url"), parse_header(F.col("header"), "WARC-Type").alias("record_type"),
+        number("WARC-Record-ID").alias("page_id"), unescape(parse_header(F.col("header"), "WARC-Target-URI")).alias("url"), parse_header(F.col("header"), "WARC-Type").alias("record_type"),
         number("WARC-Refers-To").alias("refers_to"), F.substring(parse_header(F.col("header"), "WARC-Payload-Digest"), 6, 100).alias("sha1"),
         parse_header(F.col("header"), "Content-Length").cast("long").alias("length"), "sha256", "header",
     )
@@ -91,9 +106,12 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages"), path)
-    # what the query needs of a payload, worked out from the stored bytes once for each payload and not for each record
-    facts = read_payloads(spark, path).select(F.col("sha256"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    return read_records(spark, path).join(facts, "sha256").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # what is compared with a record's header, worked out from the stored bytes once for each payload and not for each record
+    facts = read_payloads(spark, path).select(F.col("sha256"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("stored_sha1"))
+    records = read_records(spark, path).join(facts, "sha256")
+    right = (F.col("sha1") == F.col("stored_sha1")) & (F.col("length") == F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes")))
+    digest = F.when(right, F.col("sha1")).otherwise(F.raise_error(F.lit("a record's header doesn't fit its payload")))
+    return records.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 OP6_SQL = """

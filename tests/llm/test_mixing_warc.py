@@ -89,11 +89,16 @@ def archive(spark, rows, tmp_path, **how):
 
 
 def test_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/1", "<p>é</p>", "x"), (2, "http://a/2\r\nX: y", "<p>é</p>", "x"), (3, None, None, "x"), (4, "u", "", "x"), (None, "v", "", "x"), (7, "w", "z" * 300_000, "x"), (9, "w", "q", "x"), (9, "w", "q", "x")]
+    rows = [(1, "http://a/1", "<p>é</p>", "x"), (2, "http://a/2\r\nX: y", "<p>é</p>", "x"), (3, None, None, "x"), (4, "u\\r\\\\n\\\r", "", "x"), (None, "v", "", "x"), (7, "w", "z" * 300_000, "x"), (9, "w", "q", "x"), (9, "w", "q", "x")]
     path = archive(spark, rows, tmp_path)
     assert warc.read_payloads(spark, path).count() == 4
     got = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_records(spark, path).collect()}
     assert got == {(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (None, "revisit", 4), (7, "response", None), (9, "response", None), (9, "revisit", 9)}
+    read = warc.read_records(spark, path).collect()
+    assert sorted(str(r.url) for r in read) == sorted(str(u) for _, u, _, _ in rows)  # exact bytes, line ends included
+    ids = [next(x for x in r.header.split("\r\n") if x.startswith("WARC-Record-ID")) for r in read]
+    assert len(set(ids)) == len(ids)
+    assert {x.split(": ", 1)[1] for r in read for x in r.header.split("\r\n") if x.startswith("WARC-Refers-To:")} <= {x.split(": ", 1)[1] for x in ids}
     built = warc.reconstruct(spark, path).collect()
     assert len(built) == len(rows)
     for r in built:
