@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm import decontam, langid, lines, mixing, neardup
 from lodestrata.llm.common import stored, table, word_count
 
-#: A document is rejected without letters, or if no language is at least this likely; clean documents of a learned language score 0.3 and more.
-LEAST_SCORE = 0.2
+#: A document is rejected without letters, or if it is less like the language found than this: natural texts of a learned language are above -0.4, of others below -0.8.
+LEAST_LIKENESS = -0.6
 #: Up to so many rows (16 bytes each) a list of documents to drop is broadcast; a longer one is shuffled.
 MOST_BROADCAST = 1_000_000
 
@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     told = langid.identify(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text"), model, keep=["id", "th"])
-    return _without(docs, told.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("id", "th"))
+    return _without(docs, told.where((F.col("lang_pred") == "und") | (F.col("likeness") < LEAST_LIKENESS)).select("id", "th"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
