@@ -8,13 +8,39 @@ from pyspark.sql import functions as F
 from .profile import pearson
 
 
-def average_ranks(df: DataFrame, column: str, out: str, partitions: int = 64) -> DataFrame:
-    """(column, out): each distinct value with its average rank. Values are range-partitioned; ranks before a partition come from the partitions' totals."""
+def running_counts(df: DataFrame, column: str, partitions: int = 64) -> DataFrame:
+    """(column, _n, _u): each distinct value with its rows, and the rows up to and with it in ascending order. Values are range-partitioned; what lies before a partition comes from the partitions' totals."""
     counts = df.groupBy(column).agg(F.count("*").alias("_n")).repartitionByRange(partitions, column).withColumn("_p", F.spark_partition_id())
     totals = counts.groupBy("_p").agg(F.sum("_n").alias("_t"))
     before = totals.withColumn("_b", F.sum("_t").over(Window.partitionBy(F.lit(1)).orderBy("_p")) - F.col("_t")).select("_p", "_b")  # one row per partition
     upto = F.sum("_n").over(Window.partitionBy("_p").orderBy(column))
-    return counts.withColumn("_u", upto).join(F.broadcast(before), "_p").select(column, (F.col("_b") + F.col("_u") - (F.col("_n") - 1) / 2).alias(out))
+    return counts.withColumn("_u", upto).join(F.broadcast(before), "_p").select(column, "_n", (F.col("_b") + F.col("_u")).alias("_u"))
+
+
+def average_ranks(df: DataFrame, column: str, out: str, partitions: int = 64) -> DataFrame:
+    """(column, out): each distinct value with its average rank."""
+    return running_counts(df, column, partitions).select(column, (F.col("_u") - (F.col("_n") - 1) / 2).alias(out))
+
+
+def quantiles(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
+    """One row with q0, q1, ...: linear quantiles of the present values, whatever their number; no reducer holds them all."""
+    run = running_counts(df.where(F.col(column).isNotNull()).select(column), column)
+    total = run.agg(F.max("_u").alias("_all"))
+    rows = run.crossJoin(F.broadcast(total))  # one row
+    at = lambda pos: F.max(F.when((F.col("_u") - F.col("_n") <= pos) & (pos < F.col("_u")), F.col(column)))  # noqa: E731  value at a position from 0
+    places = [(F.col("_all") - 1) * F.lit(c) for c in cuts]
+    both = rows.agg(F.max("_all").alias("_all"), *(at(F.floor(x)).alias(f"_l{i}") for i, x in enumerate(places)), *(at(F.ceil(x)).alias(f"_h{i}") for i, x in enumerate(places)))
+    return both.select(*((F.col(f"_l{i}") + (x - F.floor(x)) * (F.col(f"_h{i}") - F.col(f"_l{i}"))).alias(f"q{i}") for i, x in enumerate(places)))
+
+
+def top_shares(df: DataFrame, column: str, percents: list[int]) -> DataFrame:
+    """(pct, share): what the largest max(1, half-even round(pct % of the rows)) values hold of the sum. Ties hold the same, so their order doesn't matter."""
+    run = running_counts(df.select((-F.col(column)).alias("_v")), "_v")
+    total = run.agg(F.max("_u").alias("_all"), F.sum(-F.col("_v") * F.col("_n")).alias("_sum"))
+    rows = run.crossJoin(F.broadcast(total)).withColumn("pct", F.explode(F.array(*map(F.lit, percents))))  # one row
+    k = F.greatest(F.lit(1), F.bround(F.col("pct") / 100 * F.col("_all"), 0))
+    taken = F.greatest(F.lit(0), F.least(F.col("_n"), k - (F.col("_u") - F.col("_n"))))
+    return rows.groupBy("pct").agg((F.sum(-F.col("_v") * taken) / F.max("_sum")).alias("share"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -28,4 +54,4 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.select("n", F.when((vx > 0) & (vy > 0), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)).alias("rho"))
 
 
-__all__ = ["average_ranks", "pearson", "spearman"]
+__all__ = ["average_ranks", "pearson", "quantiles", "running_counts", "spearman", "top_shares"]

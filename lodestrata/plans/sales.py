@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import profile as P
+from ..operators.ranks import quantiles
 from .base import DIMS, FULL, LONG, PREPARED, full_series, long_table, period_bounds, prepared, table
 from .registry import query
 
@@ -77,8 +78,9 @@ _CUTS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.95, 0.99)
 @query("sales_distribution", f"WITH {PREPARED}, x AS (SELECT count(*) FILTER (WHERE sales_units IS NULL) AS blank, count(*) FILTER (WHERE sales_units = 0) AS zero, count(*) FILTER (WHERE sales_units > 0) AS positive, count(*) FILTER (WHERE sales_units < 0) AS negative, round(avg(sales_units), 6) AS mean, round(stddev_samp(sales_units), 6) AS std, " + ", ".join(f"round(quantile_cont(sales_units, {c}), 6) AS p{int(100 * c)}" for c in _CUTS) + " FROM a) SELECT unnest(['blank', 'zero', 'positive', 'negative', 'mean', 'std', " + ", ".join(f"'p{int(100 * c)}'" for c in _CUTS) + "]) AS metric, unnest([blank, zero, positive, negative, mean, std, " + ", ".join(f"p{int(100 * c)}" for c in _CUTS) + "]::DOUBLE[]) AS value FROM x")
 def sales_distribution(spark, d):
     u = F.col("sales_units")
-    row = prepared(spark, d).agg(F.count_if(u.isNull()).alias("blank"), F.count_if(u == 0).alias("zero"), F.count_if(u > 0).alias("positive"), F.count_if(u < 0).alias("negative"), F.round(F.avg(u), 6).alias("mean"), F.round(F.stddev_samp(u), 6).alias("std"), F.percentile(u, F.array(*map(F.lit, _CUTS))).alias("p"))
-    row = row.select("*", *(F.round(F.col("p")[i], 6).alias(f"p{int(100 * c)}") for i, c in enumerate(_CUTS)))
+    row = prepared(spark, d).agg(F.count_if(u.isNull()).alias("blank"), F.count_if(u == 0).alias("zero"), F.count_if(u > 0).alias("positive"), F.count_if(u < 0).alias("negative"), F.round(F.avg(u), 6).alias("mean"), F.round(F.stddev_samp(u), 6).alias("std"))
+    cuts = quantiles(prepared(spark, d), "sales_units", list(_CUTS)).select(*(F.round(f"q{i}", 6).alias(f"p{int(100 * c)}") for i, c in enumerate(_CUTS)))
+    row = row.crossJoin(F.broadcast(cuts))  # one row each
     return P.metric_table(row, ["blank", "zero", "positive", "negative", "mean", "std", *(f"p{int(100 * c)}" for c in _CUTS)])
 
 
@@ -126,11 +128,11 @@ def filtered_brand_scan(spark, d):
     return table(spark, d, "part").where(F.upper("p_brand").isin("BRAND#12", "BRAND#13")).groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 6).alias("mean_price"))
 
 
-@query("set_operations", f"WITH {LONG}, x AS (SELECT DISTINCT product FROM f WHERE market < 'I'), y AS (SELECT DISTINCT product FROM f WHERE market >= 'I' AND q < 1995 * 4 + 1) SELECT 'both' AS kind, product FROM x INTERSECT SELECT 'both', product FROM y UNION ALL (SELECT 'first', product FROM x EXCEPT SELECT 'first', product FROM y)")
+@query("set_operations", f"WITH {LONG}, x AS (SELECT DISTINCT product || '/' || brand AS item FROM f WHERE market = 'NATION_1'), y AS (SELECT DISTINCT product || '/' || brand AS item FROM f WHERE market = 'NATION_2') (SELECT 'both' AS kind, item FROM x INTERSECT SELECT 'both', item FROM y) UNION ALL (SELECT 'first', item FROM x EXCEPT SELECT 'first', item FROM y)")
 def set_operations(spark, d):
-    f = long_table(spark, d)
-    x, y = f.where("market < 'I'").select("product").distinct(), f.where((F.col("market") >= "I") & (F.col("q") < 1995 * 4 + 1)).select("product").distinct()
-    return x.join(y, "product", "left_semi").select(F.lit("both").alias("kind"), "product").unionByName(x.join(y, "product", "left_anti").select(F.lit("first").alias("kind"), "product"))
+    f = long_table(spark, d).select(F.concat_ws("/", "product", "brand").alias("item"), "market")
+    x, y = (f.where(F.col("market") == m).select("item").distinct() for m in ("NATION_1", "NATION_2"))
+    return x.join(y, "item", "left_semi").select(F.lit("both").alias("kind"), "item").unionByName(x.join(y, "item", "left_anti").select(F.lit("first").alias("kind"), "item"))
 
 
 @query("clean_scalars", r"""WITH x AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN ' 1,234.56 ' WHEN 1 THEN '1.234,56' WHEN 2 THEN 'abc' WHEN 3 THEN '' WHEN 4 THEN '-12' WHEN 5 THEN '1.234' WHEN 6 THEN 'nan' ELSE '7.5' END AS s, CASE p_partkey % 5 WHEN 0 THEN 'Q2 2014' WHEN 1 THEN '2014-Q3' WHEN 2 THEN '2014_05' WHEN 3 THEN 'Q4 2014_Standard Units' ELSE 'none' END AS l FROM part)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import profile as P
 from ..operators import series as S
+from ..operators.ranks import quantiles, top_shares
 from .base import FULL, KEYS, LONG, PATTERN, SPAN, STATS, full_series, long_table, period_bounds, prepared
 from .registry import query
 
@@ -141,7 +142,8 @@ def gap_levels(spark, d):
     ok = (F.col("v") > 0) & (F.col("v1") > 0)
     x = o.select(F.when(ok, F.col("v1") / F.col("v")).alias("ratio"), ok.alias("ok"))
     n = F.count_if("ok")
-    return x.agg(F.count("*").alias("n_gaps"), n.alias("n_positive"), F.round(F.median("ratio"), 6).alias("median_ratio"), F.round(F.count_if(F.col("ratio").between(0.5, 2)) / F.nullif(n, F.lit(0)), 6).alias("similar_share"))
+    one = x.agg(F.count("*").alias("n_gaps"), n.alias("n_positive"), F.round(F.count_if(F.col("ratio").between(0.5, 2)) / F.nullif(n, F.lit(0)), 6).alias("similar_share"))
+    return one.crossJoin(F.broadcast(quantiles(x, "ratio", [0.5]).select(F.round("q0", 6).alias("median_ratio"))))  # one row each
 
 
 @query("longest_blank", f"WITH {STATS} SELECT round(avg(longest_blank), 6) AS mean, count(*) FILTER (WHERE longest_blank = 0) AS n_none, count(*) FILTER (WHERE longest_blank >= 4) AS n_year, round(quantile_cont(longest_blank, 0.5), 6) AS p50, round(quantile_cont(longest_blank, 0.9), 6) AS p90, max(longest_blank) AS most FROM st")
@@ -180,11 +182,7 @@ _acf(4)
 @query("concentration", f"WITH {LONG}, t AS (SELECT product, greatest(sum(sales_units), 0) AS v FROM f GROUP BY product), o AS (SELECT v, row_number() OVER (ORDER BY v DESC, product) AS i, count(*) OVER () AS n, sum(v) OVER () AS total FROM t) SELECT pct, round(sum(CASE WHEN i <= greatest(1, round_even(pct / 100.0 * n, 0)) THEN v END) / max(total), 6) AS share FROM o, (SELECT unnest([1, 5, 10, 20, 50]) AS pct) GROUP BY pct")
 def concentration(spark, d):
     t = long_table(spark, d).groupBy("product").agg(F.greatest(F.sum("sales_units"), F.lit(0.0)).alias("v"))
-    o = t.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("v"), "product")))  # one row per product, after aggregation
-    w = Window.partitionBy(F.lit(1))
-    o = o.withColumn("n", F.count("*").over(w)).withColumn("total", F.sum("v").over(w)).withColumn("pct", F.explode(F.array(*map(F.lit, (1, 5, 10, 20, 50)))))
-    k = F.greatest(F.lit(1), F.bround(F.col("pct") / 100 * F.col("n"), 0))
-    return o.groupBy("pct").agg(F.round(F.sum(F.when(F.col("i") <= k, F.col("v"))) / F.max("total"), 6).alias("share"))
+    return top_shares(t, "v", [1, 5, 10, 20, 50]).select("pct", F.round("share", 6).alias("share"))
 
 
 @query("gini_by_market", f"WITH {STATS}, x AS (SELECT market, greatest(volume, 0) AS x, row_number() OVER (PARTITION BY market ORDER BY greatest(volume, 0)) AS i FROM st) SELECT market, round(CASE WHEN sum(x) > 0 THEN 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*) ELSE 0 END, 6) AS gini FROM x GROUP BY market")
