@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontam, langid, lines, mixing, neardup
-from lodestrata.llm.common import stored, table, word_count
+from lodestrata.llm.common import drop_stored, stored, table, word_count
 
 #: A document is rejected without letters, or if it is less like the language found than this: natural texts of a learned language are above -0.4, of others below -0.8.
 LEAST_LIKENESS = -0.6
@@ -26,7 +26,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised stay; those without letters, or like no learned language, go. With no labelled row nothing can be learned, and all documents with a letter stay."""
+    """Documents whose language is recognised stay; those without letters, or like no learned language, go. Null texts go, an empty table stays empty, equal rows share their fate, columns of any name stay. With no labelled row nothing can be learned, and all documents with a letter stay."""
     model = langid.fit(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later near-copies of a line go from the texts; a document that loses its last word goes. n_chars follows the text."""
+    """Later near-copies of a line go from the texts; a document that loses its last word goes. n_chars follows the text. Null texts stay null; ties in doc_id go by the hash of the text; columns of any name stay."""
     out = lines.dedup_lines(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
     fields = [F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns]
     return out.where((F.col("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*fields)
@@ -43,7 +43,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays (of several linked texts with that id the one with the smallest hash), of rows with equal id and text one. Other rows stay, whatever their ids."""
-    told = stored(neardup.near_duplicates(docs.select("doc_id", "text")), "near-dedup")
+    told = neardup.near_duplicates(docs.select("doc_id", "text"))  # a table
     per = stored(told.where("kept").groupBy("class_id", F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).count(), "near-dedup-kept")
     first = per.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("th").alias("first"), F.count("*").alias("n")).where("n > 1")
     linked = per.join(first, "class_id").where("th <> first").select("id", "th")
@@ -58,13 +58,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none and stay, equal rows share their fate, a null doc_id is an id like others."""
     found = decontam.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return _without(docs, found.select(F.col("doc").alias("id"), "th"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is mixed to the target weights; documents of which no word is taken go. mix_taken counts words, repeats included."""
+    """What is left is mixed to the target weights; documents of which no word is taken go. mix_taken counts words, repeats included. Null and empty texts have none, and go; columns called mix_size or mix_taken are replaced."""
     mixed, _ = mixing.mix(docs, word_count(F.col("text")), F.array("source"))
     return mixed.where("mix_taken > 0").drop("mix_in")
 
@@ -78,5 +78,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
+        drop_stored(before)  # nothing for the documents themselves
     return docs
