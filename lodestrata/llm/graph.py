@@ -9,7 +9,7 @@ from .common import drop_stored, stored
 
 
 def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
-    """(node, root) for every node of links (a long, b long): root is the smallest node reachable. Nothing of the graph reaches the driver but a count and a checksum per step."""
+    """(node, root) for every node of links (a long, b long): root is the smallest node reachable; a table that drop_stored() deletes. Nothing of the graph reaches the driver but a count and a checksum per step."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     seal = _seal(edges)
     for _ in range(most_steps if seal[0] else 0):
@@ -28,7 +28,9 @@ def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
         if seal[0]:
             raise RuntimeError("the components haven't settled")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = stored(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    drop_stored(edges)
+    return out
 
 
 def _seal(edges: DataFrame) -> tuple:

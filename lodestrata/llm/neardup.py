@@ -8,10 +8,10 @@ similarity 0.75 together but for a chance below 1e-9 a first level, which is wha
 Work stays linear where a node is large. Equal sets are one class from the start. In every node of the first level each class is compared
 with the node's first class (the pivot): a large group of near copies is linked by as many comparisons as it has members. What remains in a
 node are pairs of different components: nodes with at most REST classes outside their largest component compare these with all
-others exhaustively; larger ones branch again, STEP levels at a time, and what hasn't become small after DEPTH such steps is compared
-exhaustively all the same. Nodes are kept small because texts that are alike but not near enough stay together for many levels: the
-work on n of them follows n, not its square. A pair at similarity 0.75 is still together at level k of a tree with a chance of about
-2 / (0.375 k), so TREES = 20 miss it in a node that needs 14 levels with a chance of 1e-4, and far less above that similarity.
+others exhaustively; larger ones branch again, STEP levels at a time, until none is left; from the fifth step on the bound doubles at every
+step, as what is still together by then resembles each other closely. A pair at similarity 0.75 is still together at level k of a tree with
+a chance of about 2 / (0.375 k), so TREES = 20 miss it in a node that needs 14 levels with a chance of 1e-4, and far less above that
+similarity. A group of n texts that resemble each other without being near copies costs up to REST n comparisons a node.
 """
 
 from __future__ import annotations
@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, WORD_RE, WordHashes, drop_stored, mix64, stored, table, window_hashes
 from .graph import components
 
-WIDTH, TREES, REST, STEP, DEPTH, GRAM = 64, 20, 16, 2, 8, 5
+WIDTH, TREES, REST, STEP, GRAM = 64, 20, 16, 2, 5
+#: Unlike classes part at every level; a node that is still large after so many steps is a fault, and raises an error.
+MOST_STEPS = 60
 _A = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Estimates this far below the similarity are sorted out before the confirmation: 4.6 standard deviations of WIDTH coordinates.
+#: Estimates this far below the similarity are sorted out before the confirmation: 4.6 standard deviations of WIDTH coordinates, a chance of 2e-6 to lose a
+#: pair at the very threshold. 1 turns this off: every candidate is confirmed on full sets.
 SLACK = 0.25
 
 
@@ -45,11 +48,11 @@ def shingle_set(text: str | None, cache: WordHashes, gram: int = GRAM) -> np.nda
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """WIDTH minwise hashes of a non-empty set."""
+    """WIDTH minwise hashes of a non-empty set, folded to 16 bits: unlike ones agree by a chance of 1 in 65,536."""
     low = np.full(WIDTH, 0xFFFFFFFF, np.uint64)
     for i in range(0, len(s), 2048):
         low = np.minimum(low, ((s[i : i + 2048, None] * _A) >> np.uint64(32)).min(0))
-    return low.astype(np.uint32)
+    return (low ^ (low >> np.uint64(16))).astype(np.uint16)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -71,13 +74,19 @@ def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for b in batches:
+        cids, sets, size = [], [], 0
         for cid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            s = shingle_set(t, cache)
-            yield pa.RecordBatch.from_arrays([pa.array([cid], pa.int64()), pa.array([s.tobytes()])], ["cid", "elements"])
+            cids.append(cid)
+            sets.append(shingle_set(t, cache).tobytes())
+            size += len(sets[-1])
+            if size > 1 << 23:
+                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "elements"])
+                cids, sets, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "elements"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, WIDTH)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, WIDTH)
 
 
 def _branch(path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +151,8 @@ def _confirm(percent: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, most_broadcast: int):
-        self.docs, self.classes, self.percent, self.most = docs, classes, percent, most_broadcast
+    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, slack: float, most_broadcast: int):
+        self.docs, self.classes, self.percent, self.slack, self.most = docs, classes, percent, slack, most_broadcast
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose full sets are similar, each once, confirmed."""
@@ -152,14 +161,15 @@ class _Join:
         two = self.classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         met = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p)
-        near = stored(met.select("a", "b", "siga", "sigb").mapInArrow(_estimate(p / 100 - SLACK), "a long, b long"), "neardup-near")
+        near = stored(met.select("a", "b", "siga", "sigb").mapInArrow(_estimate(p / 100 - self.slack), "a long, b long"), "neardup-near")
         ids = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct().join(self.classes.select("cid", "first_hash"), "cid")
         ids = stored(ids, "neardup-ids")
         n = ids.count()
         if not n:
+            drop_stored(ids)
             return near
-        ids = F.broadcast(ids) if n <= self.most else ids  # two longs a row
-        texts = self.docs.withColumn("first_hash", F.xxhash64("text")).join(ids, "first_hash").select("cid", "text").dropDuplicates(["cid"])
+        ids_ = F.broadcast(ids) if n <= self.most else ids  # two longs a row
+        texts = self.docs.withColumn("first_hash", F.xxhash64("text")).join(ids_, "first_hash").select("cid", "text").dropDuplicates(["cid"])
         sets = stored(texts.mapInArrow(_sets, "cid long, elements binary"), "neardup-sets")
         full = near.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("y")), "b")
         found = stored(full.select("a", "b", "x", "y").mapInArrow(_confirm(p), "a long, b long"), "neardup-links")
@@ -167,43 +177,52 @@ class _Join:
         return found
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75, most_broadcast: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 75, slack: float = SLACK, most_broadcast: int = 1_000_000) -> DataFrame:
     """One row per row of docs: doc (its id), n_shingles, component_id (smallest id reachable by links), kept (it is that one), text_hash (to tell rows of one id apart), class_id (the component itself, which ids needn't tell apart; null without shingles).
 
     Defined results: null, empty and blank texts have no shingles and no links; equal texts are linked; rows with a null id have the smallest
     id of their component, which is null if no other is; of repeated ids all rows with the smallest one are kept; an empty table gives
-    no rows. Shingles and classes go by 64-bit hashes.
+    no rows; columns of docs other than doc and text aren't read and can't clash. Shingles and classes go by 64-bit hashes.
     """
     own = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     told = stored(own.select(F.struct("doc", F.xxhash64("text").alias("th")).alias("doc"), "text").mapInArrow(_describe, f"doc struct<doc: {own.schema['doc'].dataType.simpleString()}, th: long>, n long, cid long, sig binary"), "neardup-docs")
     rows = told.select(F.col("doc.doc").alias("doc"), F.col("doc.th").alias("th"), "n", "cid", "sig")
     classes = stored(rows.where("n > 0").groupBy("cid").agg(F.min("doc").alias("first"), F.max("n").alias("n"), F.min("th").alias("first_hash"), F.first("sig").alias("sig")), "neardup-classes")
-    join = _Join(own.select("text"), classes, percent, most_broadcast)
+    join = _Join(own.select("text"), classes, percent, slack, most_broadcast)
 
     level = stored(classes.select("cid", "sig").mapInArrow(_roots, "path long, cid long"), "neardup-paths")
     nodes = level.groupBy("path").agg(F.min("cid").alias("pivot"), F.max("cid").alias("other")).where("pivot <> other").select("path", "pivot")
     shared = stored(level.join(nodes, "path"), "neardup-shared")
+    drop_stored(level)
     links = join.links(shared.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-    roots = stored(components(links), "neardup-roots")
+    roots = components(links)
 
-    level = shared.select("path", "cid")
-    more = None
-    for depth in range(1, DEPTH + 1):
+    level, held, found = shared.select("path", "cid"), [shared], []
+    for step in range(MOST_STEPS):
         labelled = level.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("path", "cid", F.coalesce("root", "cid").alias("root"))
         groups = labelled.groupBy("path", "root").agg(F.count("*").alias("m")).groupBy("path").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top"))
         groups = groups.select("path", F.col("top.root").alias("top"), (F.col("all") - F.col("top.m")).alias("rest")).where("rest > 0")
-        mixed = stored(labelled.join(groups, "path"), f"neardup-level{depth}")  # nodes that hold more than one component
-        done = mixed if depth == DEPTH else mixed.where(F.col("rest") <= REST)
+        mixed = stored(labelled.join(groups, "path"), f"neardup-level{step}")  # nodes that hold more than one component
+        drop_stored(*held)
+        most = REST * 2 ** max(0, step - 4)
+        done, large = mixed.where(F.col("rest") <= most), mixed.where(F.col("rest") > most)
         few = done.where("root <> top").select("path", F.col("cid").alias("a"), F.col("root").alias("ra"))
         met = few.join(done.select("path", F.col("cid").alias("b"), F.col("root").alias("rb"), "top"), "path").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b"))))
-        pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"neardup-pairs{depth}")
-        more = pairs if more is None else more.unionByName(pairs)
-        large = mixed.where(F.col("rest") > REST)
-        if depth == DEPTH or not large.limit(1).count():
+        found.append(stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"neardup-pairs{step}"))
+        if not large.limit(1).count():
+            drop_stored(mixed)
             break
-        level = stored(large.select("path", "cid").join(classes.select("cid", "sig"), "cid").select("path", "cid", "sig").mapInArrow(_deeper, "path long, cid long").distinct(), f"neardup-path{depth}")
-    links = links.unionByName(join.links(more))
-    roots = components(links)
+        level = stored(large.select("path", "cid").join(classes.select("cid", "sig"), "cid").select("path", "cid", "sig").mapInArrow(_deeper, "path long, cid long").distinct(), f"neardup-path{step}")
+        drop_stored(mixed)
+        held = [level]
+    else:
+        raise RuntimeError("unlike documents haven't parted")
+    more = found[0]
+    for part in found[1:]:
+        more = more.unionByName(part)
+    late = join.links(more)
+    before, roots = roots, components(links.unionByName(late))
+    drop_stored(before, links, late, *found)
 
     of = classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
     low = of.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -211,7 +230,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     slim = told.select(F.col("doc.doc").alias("doc"), F.col("doc.th").alias("text_hash"), "n", "cid")
     met = slim.join(of, F.col("cid") == F.col("_cid"), "left")
     component = F.when(F.col("_cid").isNull(), F.col("doc")).otherwise(F.col("component_id"))
-    return met.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"), "text_hash", "class_id")
+    out = stored(met.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"), "text_hash", "class_id"), "neardup")
+    drop_stored(told, classes, roots)
+    return out
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     model = langid.fit(docs)
-    text = {k: r.text for k, r in rows.items() if (x := langid.features(r.text)) is not None and model.predict(x)[1] >= corpus_pipeline.LEAST_SCORE}
+    text = {k: r.text for k, r in rows.items() if (x := langid.grams(r.text)) is not None and model.predict(x)[2] >= corpus_pipeline.LEAST_LIKENESS}
+    assert len(text) >= 0.97 * len(rows)
     left = brute_lines(list(text.items()))
     text = {k: t for k, t in left.items() if t == text[k] or WORD_RE.search(t)}
     near = brute_near(sorted(text.items()))
@@ -71,3 +72,43 @@ def test_near_dedup_keeps_unrelated_texts_of_one_id(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
     want = [(1, one), (1, two), (None, two + " x y z u v w"), (None, three), (2, "more of it"), (None, None), (4, " "), (4, "")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "xqzv jkwq zzxk qwpl vbnm xcvq " * 5, "12345 --", None,
+    ]
+    known = {r.doc_id for r in docs.select("doc_id").collect()}
+    # clean texts that nothing was learned from
+    other = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").where("n_chars BETWEEN 300 AND 3000").join(spark.read.parquet(SF.replace("0.001", "0.01") + "/labels.parquet").where("quality = 1 AND toxic = 0"), "doc_id")
+    fine = [r.text for r in other.orderBy("doc_id").collect() if r.doc_id not in known][:30]
+    assert len(fine) >= 20
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    more = spark.createDataFrame([(10**9 + k, t, None, "x", 1) for k, t in enumerate(odd + fine)], schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more), SF).collect()}
+    assert {k for k in kept if k >= 10**9} == {10**9 + len(odd) + k for k in range(len(fine))}
+
+
+def test_last_stage_and_op5_with_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50).selectExpr("*", "1 AS mix_size", "2 AS mix_row", "3 AS MIX_TAKEN", "4 AS b")
+    out = corpus_pipeline.mixing_sources(spark, docs, SF)
+    assert [c.lower() for c in out.columns] == [*(c for c in docs.columns if not c.lower().startswith("mix_") or c == "mix_row"), "mix_size", "mix_taken"]
+    assert out.count() > 0 and out.select("mix_row", "b").distinct().collect() == [(2, 4)]
+
+
+def test_op5_query_against_brute_force(spark):
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = catalog.QUERIES["op5_mix_sources"](spark, SF).collect()
+    size = {k: len(WORD_RE.findall(r.text or "")) for k, r in rows.items()}
+    sizes = {}
+    for k, r in rows.items():
+        sizes[r.source] = sizes.get(r.source, 0) + size[k]
+    target = brute_targets(sizes, {s: i % 3 + 1 for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))})
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    for r in got:
+        s = rows[r.doc_id].source
+        assert (r.size, r.source_size) == (size[r.doc_id], sizes[s]) and 0 <= r.taken <= 3 * r.size and abs(r.target - target[s]) <= 1e-3 * (1 + target[s])
+    for s in sizes:
+        assert abs(sum(r.taken for r in got if rows[r.doc_id].source == s) - target[s]) <= 2

@@ -61,11 +61,28 @@ def test_against_brute_force(spark, seed):
 
 
 def test_recursion_and_shuffled_texts(spark, monkeypatch):
-    """With small nodes alone counting as done, and no broadcast, the deeper levels give the same."""
-    monkeypatch.setattr(neardup, "REST", 0)
-    monkeypatch.setattr(neardup, "DEPTH", 3)
+    """With no node of several classes outside its largest component counting as small at first, no estimates and no broadcast, the deeper levels give the same."""
+    monkeypatch.setattr(neardup, "REST", 1)
     rows = corpus(3)
-    assert told(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), most_broadcast=-1)) == brute(rows)
+    assert told(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), slack=1.0, most_broadcast=-1)) == brute(rows)
+
+
+def test_recall_at_the_threshold(spark):
+    """Ten thousand pairs of similarity 0.75 to 0.8, in the company of others that share most of their minwise tokens: at least 0.99 are linked."""
+    r = random.Random(11)
+    rows, want = [], 0
+    for k in range(10_000):
+        w = [f"{r.randrange(10**6)}" for _ in range(64)]
+        x = list(w)
+        # one changed word in the middle costs five shingles of 60: 55 / 65 are shared; the second is at the end and costs one to three
+        x[r.randrange(10, 50)] = "x"
+        x[-1 - r.randrange(3)] = "y"
+        a, b = shingles(" ".join(w)), shingles(" ".join(x))
+        if 75 * len(a | b) <= 100 * len(a & b) <= 85 * len(a | b):
+            want += 1
+            rows += [(2 * k, " ".join(w), "x"), (2 * k + 1, " ".join(x), "x")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).where("doc_id % 2 = 1 AND component_id = doc_id - 1").count()
+    assert want > 5_000 and got >= 0.99 * want
 
 
 def test_cases(spark):
