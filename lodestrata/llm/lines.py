@@ -85,7 +85,7 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
 
     # 2. the screen
     shared = stored(leads.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "lines-shared")
-    near = leads.select("h", "n", F.explode("prefix").alias("token")).join(_near(shared.count(), most_broadcast, shared), "token", "left_semi")
+    near = leads.select("h", "n", F.explode("prefix").alias("token")).join(_near(shared.count(), most_broadcast // 8, shared), "token", "left_semi")
     near = stored(near.groupBy("h", "n").count().where(F.col("count") >= shared_at_least(F.col("n"), percent)).select("h"), "lines-near")  # repeated rows of docs count more than once, which loses nothing
     drop_stored(shared)
     wanted = leads.select("doc", "th", "at", "h").join(_near(near.count(), most_broadcast, near), "h", "left_semi")
