@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontam, html, langid, lines, mixing, neardup, quality, toxicity, warc
+from . import align, chat, decontam, html, langid, lines, mixing, neardup, quality, toxicity, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,5 +18,6 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_decontamination": decontam.op10_decontamination,
+    "op13_tokenizer_alignment": align.op13_tokenizer_alignment,
 }
 ORACLES = {"op1_chat_formatting": chat.OP1_SQL, "op3_minhash_near_dedup": neardup.OP3_SQL, "op6_warc_archive": warc.OP6_SQL, "op7_line_dedup": lines.OP7_SQL, "op10_decontamination": decontam.OP10_SQL}
