@@ -40,10 +40,10 @@ def clean_sales(c: Column) -> Column:
 
 
 def sales_or_blank(c: Column) -> tuple[Column, Column]:
-    """(value, is blank): all but digits, commas and minus signs goes, then the commas; NULL where that is no number. Blank: NULL or white space."""
+    """(value, is blank): the number that stands in the text, whatever unit stands with it, by the rules of clean_sales; NULL where none does. Blank: NULL or white space."""
     t = strip(c)
     blank = t.isNull() | (t == "")
-    return F.when(~blank, F.regexp_replace(F.regexp_replace(t, r"[^\d,\-]", ""), ",", "").try_cast("double")), blank
+    return F.when(~blank, clean_sales(F.regexp_replace(t, r"[^\d,.\-]", ""))), blank
 
 
 def _label(year: Column, quarter: Column) -> Column:

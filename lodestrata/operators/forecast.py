@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import signed_log
+from .ranks import smallest
+from .tables import stored
 
 #: Horizons and season of the direct multi-horizon forecast.
 HORIZON, SEASON = 4, 4
@@ -89,4 +91,4 @@ def holdout(df: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
     keys = df.select(key).distinct()
     n = keys.count()
     k = round(n * fraction)
-    return keys.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(k)
+    return smallest(keys, [key], F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), k)

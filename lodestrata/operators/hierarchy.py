@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PREFIXES, level, parent
+from .tables import stored
 
 
 def edges(codes: DataFrame, code: str = "code") -> DataFrame:
@@ -20,6 +21,40 @@ def closure(codes: DataFrame, code: str = "code") -> DataFrame:
     return pre.join(codes.select(F.col(code).alias("ancestor")), "ancestor", "left_semi").select("ancestor", "descendant")
 
 
+def paths(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
+    """(ancestor, descendant, shortest, longest): every pair that a path of the edges links, with the lengths of its shortest and longest paths; a table.
+
+    Paths of up to 2, 4, 8, ... edges are made by joining those found so far with those that the last step found or bettered, so a graph
+    takes as many steps as its longest path has doublings. Edges need not be prefixes of each other, nor a tree: a descendant may have
+    several parents. Repeated edges are one, those with a null end go; a cycle is an error, as it has no longest path.
+    """
+    known = edges.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant")).distinct()
+    known = stored(known.withColumns({"shortest": F.lit(1).cast("long"), "longest": F.lit(1).cast("long"), "new": F.lit(True)}), "paths")
+    while True:
+        state = known.agg(F.count_if("new"), F.count_if(F.col("ancestor") == F.col("descendant"))).first()
+        if state[1]:
+            raise ValueError("the edges have a cycle")
+        if not state[0]:
+            return known.drop("new")
+        first = known.select("ancestor", F.col("descendant").alias("via"), F.col("shortest").alias("s1"), F.col("longest").alias("l1"), F.col("new").alias("n1"))
+        second = known.select(F.col("ancestor").alias("via"), "descendant", F.col("shortest").alias("s2"), F.col("longest").alias("l2"), F.col("new").alias("n2"))
+        longer = first.join(second, "via").where("n1 OR n2").select("ancestor", "descendant", (F.col("s1") + F.col("s2")).alias("shortest"), (F.col("l1") + F.col("l2")).alias("longest"))
+        longer = longer.groupBy("ancestor", "descendant").agg(F.min("shortest").alias("s"), F.max("longest").alias("l"))
+        met = known.drop("new").join(longer, ["ancestor", "descendant"], "full")
+        shortest, longest = F.least("shortest", "s"), F.greatest("longest", "l")
+        known = stored(met.select("ancestor", "descendant", shortest.alias("shortest"), longest.alias("longest"), (F.col("shortest").isNull() | (shortest < F.col("shortest")) | (longest > F.col("longest"))).alias("new")), "paths")
+
+
+def ranks(codes: DataFrame, edges: DataFrame, code: str = "code") -> DataFrame:
+    """(code, sp, lp, rank): the shortest path from a virtual root above all codes without a parent, the longest path down to a leaf, and sp / (sp + lp)."""
+    found = paths(edges)
+    tops = codes.select(code).join(edges.select(F.col("child").alias(code)), code, "left_anti").select(F.col(code).alias("ancestor"))
+    down = found.groupBy(F.col("ancestor").alias(code)).agg(F.max("longest").alias("lp"))
+    up = found.join(tops, "ancestor").groupBy(F.col("descendant").alias(code)).agg((F.min("shortest") + 1).alias("sp"))
+    out = codes.select(code).join(up, code, "left").join(down, code, "left").select(code, F.coalesce("sp", F.lit(1)).alias("sp"), F.coalesce("lp", F.lit(0)).alias("lp"))
+    return out.withColumn("rank", F.col("sp") / (F.col("sp") + F.col("lp")))
+
+
 def tree_distance(a: Column, b: Column) -> Column:
     """level(a) + level(b) - 2 * deepest shared level; NULL for a code of no level."""
     la, lb = level(a), level(b)

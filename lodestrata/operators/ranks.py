@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .profile import pearson
+from .tables import running
 
 
-def running_counts(df: DataFrame, column: str, partitions: int = 64) -> DataFrame:
-    """(column, _n, _u): each distinct value with its rows, and the rows up to and with it in ascending order. Values are range-partitioned; what lies before a partition comes from the partitions' totals."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n")).repartitionByRange(partitions, column).withColumn("_p", F.spark_partition_id())
-    totals = counts.groupBy("_p").agg(F.sum("_n").alias("_t"))
-    before = totals.withColumn("_b", F.sum("_t").over(Window.partitionBy(F.lit(1)).orderBy("_p")) - F.col("_t")).select("_p", "_b")  # one row per partition
-    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy(column))
-    return counts.withColumn("_u", upto).join(F.broadcast(before), "_p").select(column, "_n", (F.col("_b") + F.col("_u")).alias("_u"))
+def running_counts(df: DataFrame, column: str) -> DataFrame:
+    """(column, _n, _u): each distinct value with its rows, and the rows up to and with it in ascending order (null first)."""
+    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
+    return running(counts, [column], {"_u": "_n"}, "counts").select(column, "_n", "_u")
 
 
-def average_ranks(df: DataFrame, column: str, out: str, partitions: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """(column, out): each distinct value with its average rank."""
-    return running_counts(df, column, partitions).select(column, (F.col("_u") - (F.col("_n") - 1) / 2).alias(out))
+    return running_counts(df, column).select(column, (F.col("_u") - (F.col("_n") - 1) / 2).alias(out))
+
+
+def smallest(df: DataFrame, columns: list[str], key: Column, k: int) -> DataFrame:
+    """The k rows of df (distinct in columns) with the smallest key, ties by columns: a threshold on running counts, so a k that is a share of all rows costs no task more than its range."""
+    rows = df.select(*columns, key.alias("_key")).withColumn("_one", F.lit(1))
+    return running(rows, ["_key", *columns], {"_u": "_one"}, "smallest").where(F.col("_u") <= k).select(*columns)
 
 
 def quantiles(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
@@ -54,4 +58,4 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.select("n", F.when((vx > 0) & (vy > 0), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)).alias("rho"))
 
 
-__all__ = ["average_ranks", "pearson", "quantiles", "running_counts", "spearman", "top_shares"]
+__all__ = ["average_ranks", "pearson", "quantiles", "running_counts", "smallest", "spearman", "top_shares"]

@@ -13,8 +13,12 @@ def merge_to_series(long: DataFrame, keys: list[str], time: str = "q", value: st
 
 def with_spine(series: DataFrame, keys: list[str], first: int, last: int, time: str = "q", value: str = "sales_units") -> DataFrame:
     """Every period from first to last for every key, NULL where nothing was observed."""
-    spine = series.select(*keys).distinct().withColumn(time, F.explode(F.sequence(F.lit(first), F.lit(last))))
-    return spine.join(series, [*keys, time], "left")
+    spine = series.select(*keys).distinct().withColumn(time, F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+    there = series.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(time).alias("_time"), *(c for c in series.columns if c not in (*keys, time)))
+    same = F.col(time) == F.col("_time")
+    for k in keys:  # a null key is a key
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return spine.join(there, same, "left").drop(*(f"_{k}" for k in keys), "_time")
 
 
 def within_span(series: DataFrame, keys: list[str], time: str = "q", value: str = "sales_units") -> DataFrame:

@@ -41,8 +41,7 @@ def full_series(spark: SparkSession, d: str, keys: list[str] = KEYS) -> DataFram
     """keys, q, v on the full spine; v is NULL where nothing was sold."""
     first, last = period_bounds(spark, d)
     merged = S.merge_to_series(long_table(spark, d), keys).withColumnRenamed("sales_units", "v")
-    spine = merged.select(*keys).distinct().withColumn("q", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
-    return spine.join(merged, [*keys, "q"], "left")
+    return S.with_spine(merged, keys, first, last, value="v")
 
 
 def codes(spark: SparkSession, d: str) -> DataFrame:

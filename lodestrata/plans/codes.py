@@ -32,7 +32,16 @@ def root_edges(spark, d):
 
 @query("closure", f"WITH {_CLOSURE} SELECT * FROM cl")
 def closure(spark, d):
-    return H.closure(codes(spark, d))
+    return H.paths(H.edges(codes(spark, d))).select("ancestor", "descendant")
+
+
+@query("grafted_paths", f"WITH RECURSIVE {CODES}, ed AS (SELECT parent, code AS child FROM lv WHERE parent IS NOT NULL AND level <> 3 UNION SELECT substr(code, 1, 1), code FROM lv WHERE level = 3 UNION SELECT substr(code, 1, 1), code FROM lv WHERE level = 5 AND code LIKE '%7'), r AS (SELECT parent AS a, child AS d, 1 AS l FROM ed UNION ALL SELECT a, child, l + 1 FROM r JOIN ed ON parent = d) SELECT a AS ancestor, d AS descendant, min(l)::BIGINT AS shortest, max(l)::BIGINT AS longest FROM r GROUP BY ALL")
+def grafted_paths(spark, d):
+    """Paths over parent edges that are no prefixes' ones: the third level hangs from the first, and leaves ending in 7 have a second parent there."""
+    c = codes(spark, d)
+    k, top = X.level(F.col("code")), F.substring("code", 1, 1).alias("parent")
+    e = H.edges(c).where(X.level(F.col("child")) != 3).unionByName(c.where(k == 3).select(top, F.col("code").alias("child"))).unionByName(c.where((k == 5) & F.col("code").endswith("7")).select(top, F.col("code").alias("child")))
+    return H.paths(e)
 
 
 @query("tree_distance", f"WITH {CODES}, a AS (SELECT * FROM lv WHERE level <= 2), b AS (SELECT * FROM lv WHERE level = 3) SELECT a.code AS a, b.code AS b, (a.level + b.level - 2 * CASE WHEN a.level >= 2 AND substr(a.code, 1, 3) = substr(b.code, 1, 3) THEN 2 WHEN substr(a.code, 1, 1) = substr(b.code, 1, 1) THEN 1 ELSE 0 END)::INT AS distance FROM a, b WHERE substr(a.code, 1, 1) <= substr(b.code, 1, 1)")
@@ -46,9 +55,7 @@ def tree_distance(spark, d):
 @query("norm_rank", f"WITH {_CLOSURE}, h AS (SELECT ancestor, max(level) AS deep FROM cl JOIN lv ON descendant = code GROUP BY ancestor) SELECT code, level::INT AS sp, (coalesce(deep, level) - level)::INT AS lp, round(level / (level + coalesce(deep, level) - level), 6) AS rank FROM lv LEFT JOIN h ON ancestor = code")
 def norm_rank(spark, d):
     c = codes(spark, d)
-    deep = H.closure(c).groupBy(F.col("ancestor").alias("code")).agg(F.max(X.level(F.col("descendant"))).alias("deep"))
-    k = X.level(F.col("code"))
-    return c.join(deep, "code", "left").select("code", k.alias("sp"), (F.coalesce("deep", k) - k).alias("lp"), F.round(k / F.coalesce("deep", k), 6).alias("rank"))
+    return H.ranks(c, H.edges(c)).select("code", F.col("sp").cast("int").alias("sp"), F.col("lp").cast("int").alias("lp"), F.round("rank", 6).alias("rank"))
 
 
 @query("subtree_size", f"WITH {_CLOSURE}, n AS (SELECT ancestor, count(*) AS n FROM cl GROUP BY 1) SELECT code, level::INT AS level, coalesce(n, 0) AS n_descendants FROM lv LEFT JOIN n ON ancestor = code")

@@ -48,7 +48,15 @@ def training_edges(spark, d):
     return T.training_edges(H.closure(codes(spark, d))).groupBy("u").agg(F.count("*").alias("n_neighbours"), F.min("v").alias("first"))
 
 
-@query("negative_samples")
+_NEGATIVES = _CLOSURE + """, un AS (SELECT ancestor AS u, descendant AS v FROM cl UNION SELECT descendant, ancestor FROM cl UNION SELECT code, code FROM codes),
+ca AS (SELECT a.code AS u, b.code AS v, row_number() OVER (PARTITION BY a.code ORDER BY b.code) - 1 AS t, count(*) OVER (PARTITION BY a.code) AS c FROM codes a JOIN codes b ON NOT EXISTS (SELECT 1 FROM un WHERE un.u = a.code AND un.v = b.code)),
+fr AS (SELECT DISTINCT u, c FROM ca), hs AS (SELECT u, c, k, CASE WHEN c >= 10 THEN c - 10 + k ELSE k END AS i FROM fr, range(0, 10) AS r(k)),
+hv AS (SELECT u, c, k, i, ('0x' || substr(md5('negatives:' || u || ':' || i), 1, 12))::BIGINT AS h FROM hs),
+ar AS (SELECT u, any_value(c) AS c, list({'i': i, 'h': h} ORDER BY k) AS hl FROM hv GROUP BY u),
+fd AS (SELECT u, unnest(CASE WHEN c >= 10 THEN list_reduce(list_transform(hl, lambda x: [x.i, x.h]), lambda s, x: s || [CASE WHEN list_contains(s, x[2] % (x[1] + 1)) THEN x[1] ELSE x[2] % (x[1] + 1) END], []::BIGINT[]) ELSE list_transform(hl, lambda x: x.h % c) END) AS t, unnest(range(0, 10))::INT AS j FROM ar)"""
+
+
+@query("negative_samples", f"WITH {_NEGATIVES} SELECT fd.u, j, v AS negative FROM fd JOIN ca ON ca.u = fd.u AND ca.t = fd.t")
 def negative_samples(spark, d):
     c = codes(spark, d)
     return T.negative_samples(c, T.training_edges(H.closure(c)))

@@ -57,7 +57,7 @@ def export_rename(spark, d):
     return named.select(X.clean_text(F.col("product")).alias("product"), "market", F.size(held).cast("long").alias("n_sold"), F.array_min(F.transform(held, lambda x: X.ordinal(x["label"]))).alias("first_q"))
 
 
-@query("sales_keep_blank", r"""WITH x AS (SELECT p_partkey, p_size, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '1,' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || ' units' WHEN 3 THEN '-' || p_size WHEN 4 THEN chr(9) || ' ' ELSE p_size || '.5' END AS s FROM part) SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN 1000 + p_partkey % 1000 WHEN 3 THEN -p_size WHEN 5 THEN p_size * 10 + 5 END::DOUBLE AS value, p_partkey % 6 IN (0, 4) AS is_blank FROM x""")
+@query("sales_keep_blank", r"""WITH x AS (SELECT p_partkey, p_size, CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '1,' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || ' units' WHEN 3 THEN '-' || p_size WHEN 4 THEN chr(9) || ' ' ELSE p_size || '.5' END AS s FROM part) SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN 1000 + p_partkey % 1000 WHEN 3 THEN -p_size WHEN 5 THEN p_size + 0.5 END::DOUBLE AS value, p_partkey % 6 IN (0, 4) AS is_blank FROM x""")
 def sales_keep_blank(spark, d):
     k, n = F.col("p_partkey"), F.col("p_size").cast("string")
     s = F.when(k % 6 == 0, "").when(k % 6 == 1, "n/a").when(k % 6 == 2, F.concat(F.lit("1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" units"))).when(k % 6 == 3, F.concat(F.lit("-"), n)).when(k % 6 == 4, "\t ").otherwise(F.concat(n, F.lit(".5")))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import profile as P
 from ..operators import vectors as V
 from ..operators.ranks import average_ranks, spearman
+from ..operators.strata import stratified_pairs as draw_pairs
+from ..operators.tables import stored
 from .base import table
 from .registry import query
 
@@ -131,28 +133,12 @@ STRATA, PER_STRATUM = ((1, 3), (4, 6), (7, 99)), 20_000
 
 
 def stratified_pairs(spark, d, seed: int = 0):
-    """(stratum, tree, v, w): up to PER_STRATUM distinct pairs of each stratum of tree distance, those with the smallest seeded hash.
-
-    Candidates are 80 partners a vector by a seeded permutation of the ids, so their number is linear; the draw within a stratum is a
-    threshold on the hash from the counted candidates and then a bounded sort.
-    """
+    """(stratum, tree, a, b, v, w): PER_STRATUM different pairs of each stratum of tree distance, or all it has; a vector's code is its number, digit by digit."""
     e = emb(spark, d).select("vec_id", "embedding")
-    n, size = e.agg(F.count("*"), F.max("vec_id") + 1).first()
-    a = e.select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(80))).alias("k")).select(F.col("vec_id").alias("a"), F.pmod(F.xxhash64(F.lit(seed), "vec_id", "k"), F.lit(size)).alias("b")).where("a <> b")
-    a = a.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sa, sb = F.col("a").cast("string"), F.col("b").cast("string")
-    shared = F.aggregate(F.sequence(F.lit(1), F.lit(11)), F.lit(0), lambda s, i: F.when((i <= F.length(sa)) & (i <= F.length(sb)) & (sa.substr(F.lit(1), i) == sb.substr(F.lit(1), i)), i).otherwise(s))
-    t = a.withColumn("tree", F.length(sa) + F.length(sb) - 2 * shared)
-    k = F.lit(None).cast("string")
-    for low, high in STRATA:
-        k = F.when(F.col("tree").between(low, high), f"{low}-{high}").otherwise(k)
-    t = t.withColumn("stratum", k).where("stratum IS NOT NULL").withColumn("h", F.pmod(F.xxhash64(F.lit(seed), F.lit("pair"), "a", "b"), F.lit(1 << 40)))
-    counts = {r[0]: r[1] for r in t.groupBy("stratum").count().collect()}
-    most = F.create_map(*(x for s, c in (counts or {"": 1}).items() for x in (F.lit(s), F.lit(int(min(1.0, 1.1 * PER_STRATUM / c + 0.001) * (1 << 40))))))
-    t = t.where(F.col("h") < most[F.col("stratum")])  # some more than PER_STRATUM rows a stratum
-    t = t.withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("h", "a", "b"))).where(F.col("r") <= PER_STRATUM)
-    met = t.join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("v")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("w")), "b")
-    return met.select("stratum", "tree", "v", "w")
+    code = F.col("vec_id").cast("string")
+    items = e.select(F.col("vec_id").alias("id"), F.transform(F.sequence(F.lit(1), F.length(code)), lambda i: code.substr(F.lit(1), i)).alias("path"))
+    t = draw_pairs(items, list(STRATA), PER_STRATUM, str(seed))
+    return t.join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("v")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("w")), "b").select("stratum", "tree", "a", "b", "v", "w")
 
 
 def _distance(width: int | None = None):
@@ -165,14 +151,29 @@ def tree_pairs(spark, d, seed: int = 0, width: int | None = None):
     return stratified_pairs(spark, d, seed).select("stratum", _distance(width).alias("dist"), "tree")
 
 
-@query("stratified_spearman")
+#: all pairs, in the order in which the operator numbers those of a stratum without making them
+_DRAWN = _E + """, u AS (SELECT vec_id, vec_id::VARCHAR AS c, length(vec_id::VARCHAR) AS l, v, n FROM e),
+ap AS (SELECT a.vec_id AS a, b.vec_id AS b, a.c AS ca, b.c AS cb, a.l AS la, b.l AS lb, list_max([0] || [i FOR i IN range(1, 12) IF i <= a.l AND i <= b.l AND substr(a.c, 1, i::INT) = substr(b.c, 1, i::INT)]) AS k, {cos} AS dist FROM u a JOIN u b ON a.l < b.l OR (a.l = b.l AND a.c < b.c)),
+st AS (SELECT *, (la + lb - 2 * k)::INT AS tree, CASE WHEN la + lb - 2 * k <= 3 THEN '1-3' WHEN la + lb - 2 * k <= 6 THEN '4-6' ELSE '7-99' END AS stratum, substr(ca, 1, k::INT) AS x, CASE WHEN la > k THEN substr(ca, 1, k::INT + 1) ELSE '' END AS y FROM ap),
+nu AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY x, y, la, lb, ca, cb) - 1 AS t, count(*) OVER (PARTITION BY stratum) AS total FROM st),
+ks AS (SELECT stratum, total, least(20000, total) AS kk FROM nu GROUP BY ALL), js AS (SELECT stratum, total, kk, unnest(range(0, kk)) AS j FROM ks),
+ts AS (SELECT stratum, (j * total // kk + ('0x' || substr(md5('0:' || stratum || ':' || j), 1, 12))::BIGINT % ((j + 1) * total // kk - j * total // kk) + ('0x' || substr(md5('0:' || stratum), 1, 12))::BIGINT) % total AS t FROM js),
+dr AS (SELECT stratum, a, b, tree, round(dist, 9) AS dist FROM nu JOIN ts USING (stratum, t))""".format(cos=_COS.format(a="a.n", b="b.n", x="a.v", y="b.v"))
+
+
+@query("drawn_pairs", f"WITH {_DRAWN} SELECT stratum, tree, a, b FROM dr")
+def drawn_pairs(spark, d):
+    return stratified_pairs(spark, d).select("stratum", "tree", "a", "b")
+
+
+@query("stratified_spearman", f"WITH {_DRAWN}, al AS (SELECT stratum, tree, dist FROM dr UNION ALL SELECT 'all', tree, dist FROM dr), r AS (SELECT stratum, rank() OVER (PARTITION BY stratum ORDER BY dist) + (count(*) OVER (PARTITION BY stratum, dist) - 1) / 2 AS ra, rank() OVER (PARTITION BY stratum ORDER BY tree) + (count(*) OVER (PARTITION BY stratum, tree) - 1) / 2 AS rb FROM al), g AS (SELECT stratum, count(*) AS n, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN round(corr(ra, rb), 5) END AS rho FROM r GROUP BY stratum) SELECT s AS stratum, coalesce(n, 0) AS n, rho FROM (VALUES ('all'), ('1-3'), ('4-6'), ('7-99')) AS z(s) LEFT JOIN g ON s = stratum")
 def stratified_spearman(spark, d):
     """Rank correlation of vector and tree distance within each stratum, and over the strata's pairs together."""
-    pairs = tree_pairs(spark, d)
+    pairs = stored(tree_pairs(spark, d), "pairs")
     out = spearman(pairs, "dist", "tree").withColumn("stratum", F.lit("all"))
     for low, high in STRATA:
         out = out.unionByName(spearman(pairs.where(F.col("stratum") == f"{low}-{high}"), "dist", "tree").withColumn("stratum", F.lit(f"{low}-{high}")))
-    return out.select("stratum", F.coalesce("n", F.lit(0)).alias("n"), F.round("rho", 6).alias("rho"))
+    return out.select("stratum", F.coalesce("n", F.lit(0)).alias("n"), F.round("rho", 5).alias("rho"))
 
 
 @query("seed_robustness")
