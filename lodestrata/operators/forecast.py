@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import signed_log
 from .ranks import smallest
-from .tables import stored
+from .tables import running, stored
 
 #: Horizons and season of the direct multi-horizon forecast.
 HORIZON, SEASON = 4, 4
@@ -49,38 +53,55 @@ def summary(scores: DataFrame, by: list[str]) -> DataFrame:
     return scores.groupBy(*by).agg(F.count("*").alias("n_series"), F.avg(m).alias("mean_mase"), F.median(m).alias("median_mase"), F.when(F.sum(w) > 0, F.sum(w * m) / F.sum(w)).otherwise(F.avg(m)).alias("weighted_mase"))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count from a uniform number."""
-    out, cum, p = F.lit(0), 0.0, 0.36787944117144233
-    cuts = []
-    for k in range(8):
-        cum += p
-        cuts.append((cum, k))
-        p /= k + 1
-    out = F.lit(8)
-    for c, k in reversed(cuts):
-        out = F.when(u < c, k).otherwise(out)
-    return out
+#: So many clusters are drawn among at once by one generator.
+LEAF = 512
+
+
+def drawn_in(n: int, leaf: int, replicates: int, seed: list[int], size: int = LEAF) -> np.ndarray:
+    """How often each cluster of a leaf (numbers leaf * size on, of n in all) is drawn in each replicate of n draws from n.
+
+    The leaves are halved again and again; how many of a node's draws fall in its first half is binomial, from a generator that the node's
+    place seeds. So every leaf finds the same way down for itself, draws of all leaves add up to n in every replicate, and reruns agree.
+    """
+    low, high, count = 0, -(-n // size), np.full(replicates, n, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        first = np.random.default_rng([*seed, low, high]).binomial(count, (mid - low) * size / (min(high * size, n) - low * size))
+        low, high, count = (low, mid, first) if leaf < mid else (mid, high, count - first)
+    here = min(size, n - low * size)
+    return np.random.default_rng([*seed, low, high]).multinomial(count, np.full(here, 1 / here))
 
 
-def bootstrap_ratio(rows: DataFrame, cluster: list[str], num: str, den: str, by: list[str] = (), replicates: int = 200, seed: int = 7) -> DataFrame:
-    """Σnum / Σden with a percentile interval and a two-sided p, clusters drawn anew.
+def bootstrap_ratio(rows: DataFrame, cluster: list[str], num: str, den: str, by: list[str] = (), replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """Σnum / Σden with a percentile interval and a two-sided p; a replicate draws as many clusters as there are, anew and with repeats.
 
-    Clusters are summed first; each has a Poisson(1) weight per replicate from a hash of its key and the replicate's number, so every
-    replicate is one distributed sum (in place of a multinomial draw on one node) and reruns agree. Groups with Σden <= 0 go.
+    Clusters are summed first and numbered within their group; a task has LEAF of them at a time and finds their draws by itself, and a
+    replicate is the sum over leaves. Groups with Σden <= 0 go; n_rows counts the rows, null sums count as 0.
     """
-    per = rows.groupBy(*by, *cluster).agg(F.sum(num).alias("_n"), F.sum(den).alias("_d"))
-    u = F.pmod(F.xxhash64(F.lit(seed), *cluster, F.col("_r")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = per.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson_weight(u))
-    boot = drawn.groupBy(*by, "_r").agg((F.sum(F.col("_w") * F.col("_n")) / F.nullif(F.sum(F.col("_w") * F.col("_d")), F.lit(0.0))).alias("_s"))
-    ci = boot.groupBy(*by).agg(F.percentile("_s", 0.025).alias("low"), F.percentile("_s", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("_s") >= 0).cast("int")), F.avg((F.col("_s") <= 0).cast("int")))).alias("p"))
-    whole = per.groupBy(*by).agg(F.sum("_n").alias("_n"), F.sum("_d").alias("_d"), F.count("*").alias("n_clusters")).where("_d > 0").withColumn("estimate", F.col("_n") / F.col("_d")).drop("_n", "_d")
-    return whole.join(ci, list(by)) if by else whole.crossJoin(F.broadcast(ci))  # one row each
-
-
-def holm(df: DataFrame, p: str, key: str) -> DataFrame:
-    """Adds p_holm: running maximum of (n - rank) p, capped at 1. A family is a report of a few rows."""
-    every = Window.partitionBy(F.lit(1))
+    by = list(by)
+    cluster = [c for c in cluster if c not in by]
+    per = rows.groupBy(*by, *cluster).agg(F.coalesce(F.sum(num), F.lit(0.0)).cast("double").alias("_n"), F.coalesce(F.sum(den), F.lit(0.0)).cast("double").alias("_d"), F.count("*").alias("_rows")).withColumn("_one", F.lit(1))
+    per = stored(running(per, [*by, *cluster], {"_at": "_one"}, "clusters"), "clusters")
+    whole = per.groupBy(*by).agg(F.min("_at").alias("_first"), F.count("*").alias("n_clusters"), F.sum("_rows").alias("n_rows"), F.sum("_n").alias("_sn"), F.sum("_d").alias("_sd")).where("_sd > 0")
+    group = F.concat_ws("\x1f", *(F.coalesce(F.col(b).cast("string"), F.lit("\x00")) for b in by)) if by else F.lit("")
+    whole = stored(whole.withColumn("_g", group), "groups")
+    tagged = per.withColumn("_g", group).join(whole.select("_g", "_first", "n_clusters"), "_g").withColumn("_i", F.col("_at") - F.col("_first"))
+    tagged = tagged.select("_g", F.floor(F.col("_i") / LEAF).alias("_leaf"), "_i", "_n", "_d", F.col("n_clusters").alias("_all"))
+
+    def draw(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_i")
+        g, leaf, n = part.column("_g")[0].as_py(), part.column("_leaf")[0].as_py(), part.column("_all")[0].as_py()
+        times = drawn_in(n, leaf, replicates, [seed, zlib.crc32(g.encode())])
+        return pa.table({"_g": [g] * replicates, "_r": np.arange(replicates), "_bn": times @ part.column("_n").to_numpy(), "_bd": times @ part.column("_d").to_numpy()})
+
+    boot = tagged.groupBy("_g", "_leaf").applyInArrow(draw, "_g string, _r long, _bn double, _bd double").groupBy("_g", "_r").agg((F.sum("_bn") / F.nullif(F.sum("_bd"), F.lit(0.0))).alias("_s"))
+    ci = boot.groupBy("_g").agg(F.percentile("_s", 0.025).alias("low"), F.percentile("_s", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("_s") >= 0).cast("int")), F.avg((F.col("_s") <= 0).cast("int")))).alias("p"))
+    return whole.join(ci, "_g").select(*by, "n_clusters", "n_rows", (F.col("_sn") / F.col("_sd")).alias("estimate"), "low", "high", "p")
+
+
+def holm(df: DataFrame, p: str, key: str, by: list[str] = ()) -> DataFrame:
+    """Adds p_holm: running maximum of (n - rank) p, capped at 1, within each family (rows equal in by). A family is a report of a few rows."""
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     w = every.orderBy(p, key)
     step = (F.count("*").over(every) - F.row_number().over(w) + 1) * F.col(p)
     return df.withColumn("_s", step).withColumn("p_holm", F.least(F.lit(1.0), F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import forecast as O
+from ..operators import grid as G
 from ..operators import series as S
+from ..operators import vectors as V
+from ..operators.tables import running, stored
 from .base import FULL, KEYS, LONG, full_series, long_table
 from .registry import query
 
@@ -117,22 +120,14 @@ def config_pairs(spark, d):
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
     rows = paired(spark, d).withColumn("num", F.col("delta") * F.col("n"))
-    return O.bootstrap_ratio(rows, KEYS, "num", "n", ["market"])
+    return O.bootstrap_ratio(rows, KEYS, "num", "n", ["market"]).drop("n_rows")
 
 
 _BASE = ["y_anchor", "y_season", "am", "sm", *(f"h{h}" for h in range(1, 5)), *(f"s{k}" for k in range(4))]
-#: Configurations of the run: the base features alone, and with a one-hot of the market, which stands for what a vector of the product's code adds.
-CONFIGS = ("none", "market")
-
-
-def _model_rows(spark, d, cutoff: int, test: bool, config: str = "none") -> tuple[DataFrame, list[str]]:
+def _model_rows(spark, d, cutoff: int, test: bool) -> tuple[DataFrame, list[str]]:
     rows = O.fold_rows(full_series(spark, d), KEYS, cutoff, test)
     new = {f"h{h}": (F.col("horizon") == h).cast("double") for h in range(1, 5)} | {f"s{k}": (F.col("q") % 4 == k).cast("double") for k in range(4)} | {"am": F.col("anchor_missing").cast("double"), "sm": F.col("season_missing").cast("double")}
     names = list(_BASE)
-    if config == "market":
-        markets = [r.n_name for r in spark.read.parquet(f"{d}/nation.parquet").select("n_name").orderBy("n_name").collect()]  # a fixed vocabulary of nations
-        new |= {f"m{i}": (F.col("market") == m).cast("double") for i, m in enumerate(markets)}
-        names += [f"m{i}" for i in range(len(markets))]
     return rows.withColumns(new), names
 
 
@@ -148,12 +143,11 @@ def assembled(rows: DataFrame, names: list[str], scale: tuple[list[float], list[
     return rows.withColumn("features", array_to_vector(F.array(*((F.col(n) - F.lit(m)) / F.lit(s) for n, m, s in zip(names, *scale)))))
 
 
-def _forecast(spark, d, model, config: str = "none", unseen: DataFrame | None = None) -> DataFrame:
-    """Scores of every rolling origin in CUTOFFS (fold), each with a model of its own, which learns nothing from the products in unseen."""
+def _forecast(spark, d, model) -> DataFrame:
+    """Scores of every rolling origin in CUTOFFS (fold), each with a model of its own."""
     out = None
     for cutoff in CUTOFFS:
-        (train, names), (test, _) = _model_rows(spark, d, cutoff, False, config), _model_rows(spark, d, cutoff, True, config)
-        train = train if unseen is None else train.join(unseen.select("product"), "product", "left_anti")
+        (train, names), (test, _) = _model_rows(spark, d, cutoff, False), _model_rows(spark, d, cutoff, True)
         scale = standardize(train, names)
         fitted = model(assembled(train, names, scale))
         told = fitted.transform(assembled(test, names, scale)).withColumn("units_hat", F.signum("prediction") * F.expm1(F.abs("prediction")))
@@ -169,55 +163,80 @@ def _ridge(rows: DataFrame):
     return LinearRegression(featuresCol="features", labelCol="y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=10.0 / m[0] * (m[1] or 1.0)).fit(rows)
 
 
-def _floor(spark, d) -> DataFrame:
-    """Scores of the seasonal floor, over the same origins."""
-    out = None
-    for cutoff in CUTOFFS:
-        test = O.fold_rows(full_series(spark, d), KEYS, cutoff, True)
-        told = test.withColumn("units_hat", F.signum("y_season") * F.expm1(F.abs("y_season")))
-        one = O.score(told, O.in_sample(full_series(spark, d), KEYS, cutoff), KEYS, "units", "units_hat").withColumn("fold", F.lit(cutoff))
-        out = one if out is None else out.unionByName(one)
-    return out
+#: Configurations of the run, by the width of the vector that a product's code adds: none, the whole vector, its principal axes, its first half, tangent vectors of the hyperboloid's points.
+CONFIGS = {"none": 0, "full": 64, "pca16": 16, "head32": 32, "lorentz10": 10}
+
+
+def product_vectors(spark, d) -> DataFrame:
+    """(config, code, v): a product's vector in each configuration. Products take the vectors in the order of their names, and begin anew where there are more products than vectors."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    names = running(long_table(spark, d).select("product").distinct().withColumn("one", F.lit(1)), ["product"], {"at": "one"}, "products").select(F.col("product").alias("code"), "at")
+    places = running(e.select("vec_id").withColumn("one", F.lit(1)), ["vec_id"], {"at": "one"}, "vectors").select("vec_id", F.col("at").alias("place"))
+    flat = V.pca(e, "e", CONFIGS["pca16"], "p").join(places, "vec_id")
+    met = names.withColumn("place", (F.col("at") - 1) % places.count() + 1).join(flat, "place")
+    lifted = V.log_map_origin(V.lift(F.slice("e", 1, CONFIGS["lorentz10"])))
+    made = {"full": F.col("e"), "pca16": F.col("p"), "head32": F.slice("e", 1, CONFIGS["head32"]), "lorentz10": lifted}
+    rows = met.select("code", F.explode(F.array(*(F.struct(F.lit(c).alias("config"), v.alias("v")) for c, v in made.items()))).alias("x"))
+    return stored(rows.select("x.config", "code", "x.v"), "vectors")
 
 
 def records(spark, d) -> DataFrame:
-    """The run: a row per model, configuration, fold and series, with mase, volume, history, n and whether the product was held out of the training (unseen)."""
-    unseen = O.holdout(full_series(spark, d), "product", 0.2, "holdout").select("product", F.lit(True).alias("unseen"))
-    out = _floor(spark, d).withColumns({"model": F.lit("floor"), "config": F.lit("none")})
-    for config in CONFIGS:
-        out = out.unionByName(_forecast(spark, d, _ridge, config, unseen).withColumns({"model": F.lit("ridge"), "config": F.lit(config)}))
-    return out.join(unseen, "product", "left").withColumn("unseen", F.coalesce("unseen", F.lit(False)))
+    """The run: a row per model, configuration, fold and series, with mase, volume, history, n and whether the product was held out of the fits (unseen); a table."""
+    series = full_series(spark, d)
+    unseen = O.holdout(series, "product", 0.2, "holdout").select("product", F.lit(True).alias("unseen"))
+    out = G.records(series, KEYS, "product", product_vectors(spark, d), CONFIGS, list(CUTOFFS), unseen)
+    return stored(out.join(unseen, "product", "left").withColumn("unseen", F.coalesce("unseen", F.lit(False))), "records")
 
 
 @query("forecast_run")
 def forecast_run(spark, d):
-    """Folds by configurations by models, summed up for each."""
+    """Models by configurations by folds, summed up for each."""
     return O.summary(records(spark, d), ["model", "config", "fold"])
 
 
-def _deltas(rows: DataFrame, first: tuple[str, str], second: tuple[str, str], by: list[str] = ()) -> DataFrame:
-    """Paired differences of mase (first less second) over the folds and series that both have, with interval and p."""
+def _against_none(summed: DataFrame, by: list[str]) -> DataFrame:
+    """Adds delta_vs_none: the mean less that of the same model without vectors, among rows equal in by."""
+    none = summed.where("config = 'none'").select("model", *by, F.col("mean_mase").alias("_none"))
+    return summed.join(none, ["model", *by], "left").withColumn("delta_vs_none", F.col("mean_mase") - F.col("_none")).drop("_none")  # a row a configuration
+
+
+@query("forecast_summaries")
+def forecast_summaries(spark, d):
+    """Over all folds: all series, cold and mature ones, products in and out of the fits, each with its difference to the model without vectors."""
+    rows = records(spark, d).withColumn("cold", F.when(F.col("history") <= 8, "cold").otherwise("mature")).withColumn("held", F.when(F.col("unseen"), "unseen").otherwise("seen"))
+    parts = rows.withColumn("part", F.explode(F.array(F.lit("all"), F.col("cold"), F.col("held"))))
+    return _against_none(O.summary(parts, ["model", "config", "part"]), ["part"])
+
+
+def _deltas(rows: DataFrame, first: tuple[str, str], second: tuple[str, str], weight: str | None) -> DataFrame:
+    """Paired differences of mase (first less second) over the folds and series that both have."""
     keys = ["fold", *KEYS]
     of = lambda m: rows.where((F.col("model") == m[0]) & (F.col("config") == m[1]))
-    met = of(first).join(of(second).select(*keys, F.col("mase").alias("_other")), keys).withColumn("num", F.col("mase") - F.col("_other")).withColumn("den", F.lit(1.0))
-    return O.bootstrap_ratio(met, KEYS, "num", "den", list(by)).withColumns({"first": F.lit("/".join(first)), "second": F.lit("/".join(second))})
+    w = F.lit(1.0) if weight is None else F.greatest(F.col(weight), F.lit(0.0))
+    met = of(first).join(of(second).select(*keys, F.col("mase").alias("_other")), keys)
+    return met.select(*KEYS, "unseen", F.lit("/".join(first)).alias("first"), F.lit("/".join(second)).alias("second"), (w * (F.col("mase") - F.col("_other"))).alias("num"), w.alias("den"))
 
 
 @query("bootstrap_families")
 def bootstrap_families(spark, d):
-    """The four families of comparisons: each configuration against none, the same apart for unseen products, every pair of configurations, each against the floor."""
+    """The families of comparisons, by series and weighted by volume: each configuration against none, the same for products in and out of the fits, every pair of configurations, each against the floor. Holm's correction runs within a family."""
     from itertools import combinations
 
-    rows = records(spark, d).persist()  # read once for each comparison; a lost part is worked out again
-    out = None
-    parts = [("vs_none", ("ridge", c), ("ridge", "none"), []) for c in CONFIGS if c != "none"] + [("by_unseen", ("ridge", c), ("ridge", "none"), ["unseen"]) for c in CONFIGS if c != "none"]
-    parts += [("config_pair", ("ridge", a), ("ridge", b), []) for a, b in combinations(CONFIGS, 2)] + [("vs_floor", ("ridge", c), ("floor", "none"), []) for c in CONFIGS]
-    for family, a, b, by in parts:
-        one = _deltas(rows, a, b, by)
-        one = one if by else one.withColumn("unseen", F.lit(None).cast("boolean"))
-        one = one.select(F.lit(family).alias("family"), "first", "second", "unseen", "n_clusters", "estimate", "low", "high", "p")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = records(spark, d)
+    some = [c for c in CONFIGS if c != "none"]
+    parts = [("vs_none", ("ridge", c), ("ridge", "none")) for c in some] + [("config_pair", ("ridge", a), ("ridge", b)) for a, b in combinations(some, 2)] + [("vs_floor", ("ridge", c), ("floor", "none")) for c in CONFIGS]
+    met = None
+    for weight in (None, "volume"):
+        for family, a, b in parts:
+            one = _deltas(rows, a, b, weight).withColumn("family", F.lit(family + ("" if weight is None else "_weighted")))
+            more = [one] + ([one.withColumn("family", F.concat("family", F.when(F.col("unseen"), "_unseen").otherwise("_seen")))] if family == "vs_none" else [])
+            for x in more:
+                met = x if met is None else met.unionByName(x)
+    ci = stored(O.bootstrap_ratio(met, KEYS, "num", "den", ["family", "first", "second"]), "families")
+    adjusted = O.holm(ci.withColumn("key", F.concat("first", F.lit(" "), "second")), "p", "key", ["family"]).drop("key")
+    clear = (F.col("low") > 0) | (F.col("high") < 0)
+    firm = clear & (F.col("p_holm") < 0.05)
+    return adjusted.withColumns({"significant": clear, "significant_holm": firm, "verdict": F.when(~firm, "not significant").when(F.col("estimate") < 0, "better").otherwise("worse")})
 
 
 @query("ridge_forecast")

@@ -27,10 +27,10 @@ def test_all_codes_are_trained(spark):
 
 def test_run_has_every_fold_configuration_and_model(spark):
     rows = forecast.records(spark, SF).groupBy("model", "config", "fold").agg(F.count("*").alias("n"), F.count_if("unseen").alias("u")).collect()
-    assert {(r.model, r.config, r.fold) for r in rows} == {(m, c, f) for m, c in (("floor", "none"), ("ridge", "none"), ("ridge", "market")) for f in forecast.CUTOFFS}
-    assert all(0 < r.u < r.n for r in rows)
+    assert {(r.model, r.config, r.fold) for r in rows} == {(m, c, f) for m, c in [("floor", "none"), *(("ridge", c) for c in forecast.CONFIGS)] for f in forecast.CUTOFFS}
+    assert all(0 < r.u < r.n for r in rows) and len(forecast.CONFIGS) == 5
     families = {r.family for r in catalog.QUERIES["bootstrap_families"](spark, SF).select("family").distinct().collect()}
-    assert families == {"vs_none", "by_unseen", "config_pair", "vs_floor"}
+    assert families == {f + w for w in ("", "_weighted") for f in ("vs_none", "vs_none_seen", "vs_none_unseen", "config_pair", "vs_floor")}
 
 
 def test_population_deviation(spark):
