@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import forecast as O
 from ..operators import grid as G
 from ..operators import series as S
@@ -246,6 +247,20 @@ def ridge_forecast(spark, d):
 
 @query("gbt_forecast")
 def gbt_forecast(spark, d):
-    from pyspark.ml.regression import GBTRegressor
-
-    return _forecast(spark, d, lambda rows: GBTRegressor(featuresCol="features", labelCol="y", maxIter=10, stepSize=0.1, maxDepth=5, subsamplingRate=0.8, minInstancesPerNode=50, seed=7).fit(rows))
+    """Leaf-wise boosted trees on every origin: all rows are binned and summed up in one pass, the origins' models are grown side by side, and all test rows are told in one pass."""
+    rows = G.lagged(full_series(spark, d), KEYS)
+    folds = rows.withColumn("fold", F.explode(F.array(*map(F.lit, CUTOFFS))))
+    train = folds.where((F.col("q") <= F.col("fold")) & F.col("y").isNotNull()).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(O.HORIZON)))).where(F.get("lags", F.col("h") - 1)["there"].isNotNull())
+    test = folds.where(F.col("q").between(F.col("fold") + 1, F.col("fold") + O.HORIZON) & F.col("v").isNotNull()).withColumn("h", (F.col("q") - F.col("fold")).cast("int"))
+    named = lambda x: x.withColumns({n: f for n, f in zip(G.FEATURES, G.features(F.col("h")))})
+    smooth = G.FEATURES[:2]
+    train, test = named(train), named(test)
+    ends = B.edges(train, "fold", smooth)
+    bins = lambda x: x.withColumns({n: B.binned(n, F.col("fold"), ends) if n in smooth else F.col(n).cast("int") for n in G.FEATURES})
+    tag = F.pmod(F.xxhash64(*KEYS, "q", "h"), F.lit(B.BAGS))
+    models = B.fit(B.cells(bins(train), "fold", G.FEATURES, "y", tag), "fold", G.FEATURES)
+    told = B.predicted(bins(test), "fold", G.FEATURES, models, ["fold", *KEYS, "v"])
+    err = told.groupBy("fold", *KEYS).agg(F.avg(F.abs(F.col("v") - F.signum("prediction") * F.expm1(F.abs("prediction")))).alias("e"), F.count("*").alias("n"))
+    inside = F.col("q") <= F.col("fold")
+    scale = folds.groupBy("fold", *KEYS).agg(F.avg(F.when(inside, F.abs(F.col("v") - F.col("back")))).alias("scale"), F.coalesce(F.sum(F.when(inside, F.col("v"))), F.lit(0.0)).alias("volume"), F.count(F.when(inside, F.col("v"))).alias("history"))
+    return err.join(scale.where("scale > 0"), ["fold", *KEYS]).select(*KEYS, (F.col("e") / F.col("scale")).alias("mase"), "volume", "history", "n", "fold")
