@@ -6,7 +6,9 @@ that differ become slots. So a wrapper is a regular expression of concatenation,
 and taking in another page changes counters alone: the result doesn't depend on the order of pages or on how they lie in partitions.
 
 The wrapper tells where the article is: the deepest element under which most of the host's unlinked slot words lie. Within it, texts that
-are the same on LEAST_PAGES different pages, blocks of links, and single generic containers beside the text are left out.
+are the same on LEAST_PAGES different pages, blocks of links, and single generic containers after the text are left out; headings and labels
+that are the same everywhere stay where slots stand on both sides. The blocks of all pages' articles are also aligned from both ends: what they
+all begin or end with is template, even where other texts share its path.
 """
 
 from __future__ import annotations
@@ -26,7 +28,13 @@ from .common import others, stored, table
 
 #: Elements that hold no article text, class or id words of generic containers that hold none, elements that break a block, elements without an end.
 SKIPPED = frozenset("head title nav footer aside form script style noscript template svg iframe button select option textarea input label dialog object canvas audio video menu".split())
-SKIPPED_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs footer sidebar related comment comments commentlist disqus respond cookie cookies consent gdpr notice notices popup modal newsletter pagination".split())
+SKIPPED_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs footer sidebar related comment comments commentlist disqus respond cookie cookies consent gdpr notice notices popup modal newsletter pagination responses replies".split())
+#: Words that may stand beside one of these in a name; a name with any other word ("notice-of-motion") says something else.
+BESIDE = frozenset("area banner bar block bottom box bottomline button container content entry footer global group header holder inner item items left link links list main menu module outer page panel post posts primary right row secondary section sections side site slot text thread top unit user reader wrap wrapper widget widgets js ui the".split())
+#: Names of a reader's words only if they say so.
+READERS = frozenset({"reviews", "opinions"})
+#: A text of these that is the same on all pages may belong to the article.
+LABELS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption".split())
 GENERIC = frozenset("div section ul ol table aside center details dl fieldset".split())
 #: An article called so is none.
 NO_ARTICLE = frozenset("comment comments reply ad ads advert related".split())
@@ -48,12 +56,22 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def names_no_article(names: str) -> bool:
+    """Whether a class or id says that what it names is no article: one of its names is made of SKIPPED_WORDS, and at most words that mean nothing beside them."""
+    for name in names.split():
+        words = re.findall(r"[a-z]+", name)
+        telling = [w for w in words if w in SKIPPED_WORDS]
+        if telling and all(w in SKIPPED_WORDS or w in BESIDE for w in words) or READERS & set(words) and {"user", "reader"} & set(words):
+            return True
+    return False
+
+
 class Node:
     """An open element: its name, its signature (name, class and id, less words with digits, which number elements), the path of block elements down to it, whether its text is a link's, is left out, is or is in a marked article."""
 
     __slots__ = ("article", "block", "link", "name", "sign", "skipped")
 
-    def __init__(self, name: str, attributes: str, parent: Node | None):
+    def __init__(self, name: str, attributes: str, parent: Node | None, skipped: frozenset[str] = SKIPPED):
         found = {k.lower(): (a or b or c).lower() for k, a, b, c in _NAMES.findall(attributes)} if attributes else {}
         words = set(re.findall(r"[a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}")) if found else ()
         self.name = name
@@ -64,14 +82,14 @@ class Node:
         self.link = name == "a" or parent is not None and parent.link
         marked = name == "main" or found.get("role") == "main" or name == "article" and not (words and words & NO_ARTICLE)
         within = parent is not None and parent.article
-        out = name in SKIPPED or name == "header" and not within or name == "article" and not marked or name in GENERIC and bool(words) and bool(SKIPPED_WORDS & words)
+        out = name in skipped or name == "header" and not within or name == "article" and not marked or name in GENERIC and bool(words) and names_no_article(f"{found.get('class', '')} {found.get('id', '')}")
         # an outermost marked article is never left out for what its ancestors are called; what is left out of an article stays out
         self.skipped = parent is not None and parent.skipped and not (marked and not within) or not marked and out
         self.article = within or marked and not self.skipped
 
 
-def parse(page: str) -> Iterator[tuple[str, str, Node | None]]:
-    """Tokens of a page: ("text", raw text, innermost element), ("open", sign, element), ("close", sign, element); unclosed elements end where their parent does."""
+def parse(page: str, skipped: frozenset[str] = SKIPPED) -> Iterator[tuple[str, str, Node | None]]:
+    """Tokens of a page (elements named in skipped hold no article): ("text", raw text, innermost element), ("open", sign, element), ("close", sign, element); unclosed elements end where their parent does."""
     stack: list[Node] = []
     at = 0
     for m in _TOKEN.finditer(page):
@@ -81,7 +99,7 @@ def parse(page: str) -> Iterator[tuple[str, str, Node | None]]:
         name = (m[3] or "").lower()
         if not name:
             if m[1]:  # an element whose text is no markup
-                yield "open", m[1].lower(), Node(m[1].lower(), "", stack[-1] if stack else None)
+                yield "open", m[1].lower(), Node(m[1].lower(), "", stack[-1] if stack else None, skipped)
             continue
         if m[2]:
             if any(x.name == name for x in stack):
@@ -103,7 +121,7 @@ def parse(page: str) -> Iterator[tuple[str, str, Node | None]]:
                     break
                 if stack[i].name in BLOCKS:
                     break
-        x = Node(name, m[4], stack[-1] if stack else None)
+        x = Node(name, m[4], stack[-1] if stack else None, skipped)
         yield "open", x.sign, x
         if name in VOID:
             continue
@@ -142,7 +160,7 @@ def blocks_of(tokens: Iterable[tuple[str, str, Node | None]]) -> list[tuple[str,
                 links.append(len(value.split()))
         else:
             name = node.name if node is not None else value
-            if name in BLOCKS or node is not None and node.skipped:
+            if name in BLOCKS:  # what is left out within a line doesn't part it
                 flush()
             elif name == "br":
                 held.append(" ")
@@ -150,6 +168,26 @@ def blocks_of(tokens: Iterable[tuple[str, str, Node | None]]) -> list[tuple[str,
     return out
 
 
+def read(page: str) -> tuple[list, list[tuple[str, str, int, bool]]]:
+    """The tokens and blocks of a page. A page that lies in one form altogether is read as if there were no form."""
+    tokens = list(parse(page))
+    blocks = blocks_of(tokens)
+    if not blocks and "<form" in page.lower():
+        tokens = list(parse(page, SKIPPED - {"form"}))
+        blocks = blocks_of(tokens)
+    return tokens, blocks
+
+
+def article_of(blocks: list[tuple[str, str, int, bool]]) -> list[tuple[str, str, int, bool]]:
+    """The blocks of marked articles, or all."""
+    return [b for b in blocks if b[3]] or blocks
+
+
+def _common(a: list[int], b: list[int]) -> list[int]:
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[:n]
+
+
 def above(path: str) -> str:
     return path.rpartition(">")[0]
 
@@ -165,15 +203,15 @@ class Wrapper:
     slots: path -> [hash of its text (None once two texts of that path differ, on one page or two: a slot), up to LEAST_PAGES different pages
     that have that text, words, words in links].
     pages: up to LEAST_PAGES different pages.
+    ends: the blocks (hashes of path and text) that all pages' articles begin with, and, from the last on, those that they end with.
     """
 
-    def __init__(self, groups: dict[str, list], slots: dict[str, list], pages: list[int]):
-        self.groups, self.slots, self.pages = groups, slots, pages
+    def __init__(self, groups: dict[str, list], slots: dict[str, list], pages: list[int], ends: list[list[int]] | None = None):
+        self.groups, self.slots, self.pages, self.ends = groups, slots, pages, ends
 
     @classmethod
     def of(cls, page: str) -> Wrapper:
-        tokens = list(parse(page))
-        blocks = blocks_of(tokens)
+        tokens, blocks = read(page)
         said = xxhash.xxh64_intdigest("\n".join(text for _, text, _, _ in blocks).encode("utf-8", "surrogatepass"))
         slots: dict[str, list] = {}
         for path, text, linked, _ in blocks:
@@ -205,7 +243,8 @@ class Wrapper:
                 close()
         while open_:
             close()
-        return cls(groups, slots, [said] if blocks else [])
+        line = [_hash(f"{path} {text}") for path, text, _, _ in article_of(blocks)]
+        return cls(groups, slots, [said] if blocks else [], [line, line[::-1]] if blocks else None)
 
     def align(self, other: Wrapper) -> None:
         """Take in another wrapper of the same host."""
@@ -224,6 +263,10 @@ class Wrapper:
             own[2] += words
             own[3] += linked
         self.pages = sorted({*self.pages, *other.pages})[:LEAST_PAGES]
+        if self.ends is None or other.ends is None:  # a page without text has no ends
+            self.ends = self.ends or other.ends
+        else:
+            self.ends = [_common(a, b) for a, b in zip(self.ends, other.ends)]
 
     def repeated(self, path: str) -> bool:
         group = self.groups.get(above(path))
@@ -267,12 +310,14 @@ class Wrapper:
         return at, {k for k in self.slots if k != at and above(k) == at and name_of(k) in GENERIC and not self.repeated(k) and mass.get(k, 0) < under[at] / 5}
 
     def rules(self) -> list[str]:
-        """What extract() needs: template() with !path for the region and -path for what is left out of it."""
-        found = self.region()
-        return sorted(self.template()) + (["!" + found[0], *sorted("-" + k for k in found[1])] if found else [])
+        """What extract() needs: template() with !path for the region, -path for what is left out after its text, and ^n and $n for the number of blocks that all articles begin and end with."""
+        found, ends = self.region(), []
+        if self.ends and len(self.pages) >= LEAST_PAGES:
+            ends = [f"{mark}{len(x)}" for mark, x in zip("^$", self.ends) if x]
+        return sorted(self.template()) + (["!" + found[0], *sorted("-" + k for k in found[1])] if found else []) + ends
 
     def dump(self) -> str:
-        return json.dumps([self.groups, self.slots, self.pages], sort_keys=True)
+        return json.dumps([self.groups, self.slots, self.pages, self.ends], sort_keys=True)
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
@@ -285,15 +330,32 @@ def extract(page: str | None, rules: Iterable[str] = ()) -> str:
         return ""
     rules = set(rules)
     region = next((r[1:] for r in rules if r[0] == "!"), None)
-    blocks = blocks_of(parse(page))
+    blocks = read(page)[1]
+    line = article_of(blocks)
+    head, tail = (next((int(r[1:]) for r in rules if re.fullmatch(rf"{re.escape(mark)}\d+", r)), 0) for mark in "^$")
+    ends: set[int] = set()
+    if head + tail < len(line):
+        ends = {id(b) for b in line[:head] if name_of(b[0]) not in LABELS} | {id(b) for b in line[len(line) - tail :]}
     marked = [b for b in blocks if b[3]]
     if region is not None:
         inside = [b for b in blocks if b[0] == region or b[0].startswith(region + ">") or not region or name_of(b[0]) == "h1" and (region + ">").startswith(above(b[0]) + ">")]
         blocks = inside if any(name_of(b[0]) != "h1" for b in inside) else blocks
     if marked:
         blocks = [b for b in blocks if b[3]] or marked
-        return "\n".join(b[1] for b in [b for b in blocks if b[0] not in rules] or blocks)
-    return "\n".join(b[1] for b in blocks if not rules & {b[0], "~" + b[0], "-" + b[0]})
+        plain = [b[0] not in rules and id(b) not in ends for b in blocks]
+    else:
+        plain = [not rules & {b[0], "~" + b[0], "-" + b[0]} and id(b) not in ends for b in blocks]
+    slots = [i for i, kept in enumerate(plain) if kept]
+    first, last = (slots[0], slots[-1]) if slots else (0, -1)
+
+    def stays(i: int, b: tuple) -> bool:
+        if plain[i] or id(b) in ends:
+            return plain[i]
+        # a label between slots, and what stands before the text in a container of its own
+        return i < last and (b[0] in rules and name_of(b[0]) in LABELS and first < i or "-" + b[0] in rules and not rules & {b[0], "~" + b[0]})
+
+    out = [b[1] for i, b in enumerate(blocks) if stays(i, b)]
+    return "\n".join(out or ([b[1] for b in blocks] if marked else []))
 
 
 def _partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,3 +155,43 @@ def test_clashing_columns_and_ties(spark):
     assert got.columns == ["page_id", "_host", "text", "n_chars"]
     # neither of two equal elements holds more than half of the slot words, so both are kept
     assert sorted((r.page_id, r.text) for r in got.collect()) == [(k, f"a {k} {k}\nb {k} {k}") for k in range(4)]
+
+
+def _on_a_host(spark, *bodies):
+    """The texts of pages of one host."""
+    from lodestrata.llm.html import extract_pages
+
+    rows = [(i, "http://one.example/%d" % i, body) for i, body in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r.text for r in extract_pages(pages, ["page_id"]).orderBy("page_id").collect()]
+
+
+def _words(i, n=40):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_constant_headings_inside_the_article_stay(spark):
+    got = _on_a_host(spark, *(f"<article><h1>T{i}</h1><p>{_words(i)}</p><h2>Introduction</h2><p>{_words(i + 50)}</p></article>" for i in range(6)))
+    assert got == [f"T{i}\n{_words(i)}\nIntroduction\n{_words(i + 50)}" for i in range(6)]
+    got = _on_a_host(spark, *(f"<div id=c><h1>T{i}</h1><p>{_words(i)}</p><h3>Details</h3><p>{_words(i + 50)}</p></div>" for i in range(6)))
+    assert got == [f"T{i}\n{_words(i)}\nDetails\n{_words(i + 50)}" for i in range(6)]
+
+
+def test_a_constant_end_goes_and_a_lead_stays(spark):
+    got = _on_a_host(spark, *(f"<article><h1>T{i}</h1>" + "".join(f"<p>{_words(10 * i + k)}</p>" for k in range(1 + i % 3)) + "<p>Subscribe to our mailing list today</p></article>" for i in range(6)))
+    assert got == ["\n".join([f"T{i}", *(_words(10 * i + k) for k in range(1 + i % 3))]) for i in range(6)]
+    got = _on_a_host(spark, *(f"<div id=c><h1>T{i}</h1><div class=lead>Short {i}</div><p>{_words(i)}</p><p>{_words(i + 20)}</p></div>" for i in range(6)))
+    assert got == [f"T{i}\nShort {i}\n{_words(i)}\n{_words(i + 20)}" for i in range(6)]
+
+
+def test_left_out_elements_in_a_line_do_not_part_it(spark):
+    got = _on_a_host(spark, "<p>Hello <script>x()</script>world <button>go</button>again <svg><text>t</text></svg>end</p>", "<article><p>one <label>l</label>two</p></article>")
+    assert got == ["Hello world again end", "one two"]
+
+
+def test_names_that_only_look_like_template(spark):
+    got = _on_a_host(
+        spark, "<body><form action=x><div><h1>All in a form</h1><p>still text</p></div></form></body>", '<article><div class="notice-of-motion"><p>moved</p></div><ul class="related-work"><li>kept</li></ul></article>',
+        '<article><p>text</p><div id="responses"><p>first!</p></div><div class="user-reviews"><p>nice</p></div><div class="comments-area"><p>no</p></div></article>',
+    )
+    assert got == ["All in a form\nstill text", "moved\nkept", "text"]
