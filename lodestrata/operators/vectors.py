@@ -106,45 +106,70 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, group: str | None = No
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def gram(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum of outer products, sum, and number of vectors: D x D numbers per task, summed by Spark; D is the width of a vector."""
+#: Triangles are merged in so many groups before the last one.
+SALTS = 32
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = s = None
-        n = 0
+
+def _reduced(rows: np.ndarray) -> np.ndarray:
+    """The triangle of a QR decomposition; fewer rows than columns stay as they are."""
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
+def triangle(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(R, mean, n): R'R is the sum of outer products of the centred vectors, by QR up a tree; n vectors, null ones left out.
+
+    A task reduces its rows, with a 1 before each, to one triangle, a block at a time; triangles are stacked and reduced again in SALTS groups
+    and then in one. The column of ones takes the mean out, so nothing is squared and small axes keep their digits. A triangle travels as
+    one packed row, and the driver receives the last: (D + 1) numbers squared, whatever the number of vectors.
+    """
+    packed = pa.schema([("salt", pa.int64()), ("width", pa.int64()), ("n", pa.int64()), ("r", pa.binary())])
+
+    def told(salt: int, r: np.ndarray, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([salt], pa.int64()), pa.array([r.shape[1]], pa.int64()), pa.array([n], pa.int64()), pa.array([np.ascontiguousarray(r).tobytes()], pa.binary())], schema=packed)
+
+    def reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, n, salt = None, 0, 0
         for b in batches:
             if b.num_rows:
+                salt = b.column(1)[0].as_py()
                 x = np.array(b.column(0).to_pylist(), float)
-                g, s, n = (x.T @ x if g is None else g + x.T @ x), (x.sum(0) if s is None else s + x.sum(0)), n + len(x)
+                x = np.column_stack([np.ones(len(x)), x])
+                r, n = _reduced(x if r is None else np.vstack([r, x])), n + len(x)
         if n:
-            whole = np.concatenate([g.ravel(), s, [n]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole))), pa.array(whole)], ["i", "x"])
-
-    rows = df.select(vector).mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-    flat = np.array([r.x for r in rows])
-    d = int((-1 + np.sqrt(1 + 4 * (len(flat) - 1))) / 2 + 0.5)
-    return flat[: d * d].reshape(d, d), flat[d * d : d * d + d], int(flat[-1])
+            yield told(salt, r, n)
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, n = None, 0
+        for b in batches:
+            for part in b.to_pylist():
+                x = np.frombuffer(part["r"]).reshape(-1, part["width"])
+                r, n = _reduced(x if r is None else np.vstack([r, x])), n + part["n"]
+        if n:
+            yield told(0, r, n)
 
-def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    g, s, n = gram(df, vector)
-    m = s / n
-    return g / n - np.outer(m, m), m
+    schema = "salt long, width long, n long, r binary"
+    parts = df.where(F.col(vector).isNotNull()).select(vector, F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("long").alias("salt")).mapInArrow(reduce, schema)
+    got = parts.groupBy("salt").applyInArrow(merge, schema).groupBy("salt").applyInArrow(merge, schema).first()
+    if got is None:
+        raise ValueError("there is no vector")
+    r = np.linalg.qr(np.frombuffer(got.r).reshape(-1, got.width), mode="r")
+    return r[1:, 1:], r[0, 1:] / r[0, 0], got.n
 
 
 def isotropy(df: DataFrame, vector: str) -> float:
-    """exp(entropy of the normalised spectrum of the centred vectors) / D."""
-    c, _ = covariance(df, vector)
-    e = np.clip(np.linalg.eigvalsh(c), 0, None)
+    """exp(entropy of the normalised spectrum of the centred vectors) / D; NaN if they are all the same."""
+    r, mean, _ = triangle(df, vector)
+    e = np.linalg.svd(r, compute_uv=False) ** 2 if len(r) else np.zeros(1)
+    if e.sum() <= 1e-24 * max(1.0, float(mean @ mean)):
+        return float("nan")
     p = e[e > 0] / e.sum()
-    return float(np.exp(-(p * np.log(p)).sum()) / len(c))
+    return float(np.exp(-(p * np.log(p)).sum()) / len(mean))
 
 
 def pca(df: DataFrame, vector: str, k: int, out: str = "pca") -> DataFrame:
     """Projection of the centred vectors on the first k axes; each axis' largest component is positive."""
-    c, mean = covariance(df, vector)
-    e, v = np.linalg.eigh(c)
-    axes = v[:, np.argsort(e)[::-1][:k]]
+    r, mean, _ = triangle(df, vector)
+    axes = np.linalg.svd(r)[2][:k].T
     axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
     lit = lambda x: F.array(*(F.lit(float(y)) for y in x))
     centred = F.zip_with(F.col(vector), lit(mean), lambda a, b: a.cast("double") - b)
