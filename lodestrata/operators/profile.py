@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import strip
+from .tables import stored
+
 
 def metric_table(row: DataFrame, metrics: list[str]) -> DataFrame:
     """One-row aggregate -> (metric, value) rows."""
@@ -47,3 +50,25 @@ def macro_f1(pred: DataFrame, truth: str = "label", guess: str = "prediction") -
     side = c.select(F.explode(F.array(F.struct(F.col("t").alias("k"), F.col("count").alias("a"), F.lit(0).cast("long").alias("b")), F.struct(F.col("p").alias("k"), F.lit(0).cast("long").alias("a"), F.col("count").alias("b")))).alias("s"), F.when(F.col("t") == F.col("p"), F.col("count")).otherwise(0).alias("hit"))
     per = side.groupBy("s.k").agg(F.sum("s.a").alias("truth"), F.sum("s.b").alias("guess"), (F.sum("hit") / 2).alias("hit"))
     return per.select(F.when(F.col("truth") + F.col("guess") > 0, 2 * F.col("hit") / (F.col("truth") + F.col("guess"))).otherwise(0.0).alias("f1")).agg(F.avg("f1").alias("macro_f1"))
+
+
+def value_table(df: DataFrame, columns: list[str], order: Column) -> DataFrame:
+    """(column, value, n, first): every distinct text of every column, with its rows and the smallest `order` among them; '' is missing, like NULL. One scan, summed before the shuffle; a table."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.nullif(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns))
+    rows = df.select(order.alias("_order"), F.explode(cells).alias("x"))
+    return stored(rows.groupBy("x.column", "x.value").agg(F.count("*").alias("n"), F.min("_order").alias("first")), "values")
+
+
+def raw_profile(values: DataFrame, types: dict[str, str], expected: dict[str, str], examples: int = 5) -> DataFrame:
+    """A row per column from value_table(): what is expected in it, its type, present and missing rows, distinct values, and the first different texts (stripped, not empty) by the order of the rows.
+
+    What is kept of a column for its examples is the first `examples` texts, in each task before they meet, whatever the number of values.
+    """
+    there = F.col("value").isNotNull()
+    counts = values.groupBy("column").agg(F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("non_null_rows"), F.coalesce(F.sum(F.when(~there, F.col("n"))), F.lit(0)).alias("missing_rows"), F.count("value").alias("unique_values"))
+    texts = values.select("column", strip(F.col("value")).alias("text"), "first").where("text <> ''").groupBy("column", "text").agg(F.min("first").alias("first"))
+    kept = texts.withColumn("k", F.row_number().over(Window.partitionBy("column").orderBy("first", "text"))).where(F.col("k") <= examples)
+    said = kept.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " | ").alias("example_values"))
+    known = values.sparkSession.createDataFrame([(c, expected.get(c, ""), t) for c, t in types.items()], "column string, expected_content string, dtype string")
+    out = known.join(counts, "column", "left").join(said, "column", "left").fillna(0, ["non_null_rows", "missing_rows", "unique_values"]).fillna("", ["example_values"])
+    return out.withColumn("missing_pct", F.coalesce(F.col("missing_rows") / F.nullif(F.col("missing_rows") + F.col("non_null_rows"), F.lit(0)), F.lit(0.0)))

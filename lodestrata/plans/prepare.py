@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import prepare as P
+from ..operators import profile as R
+from ..operators.tables import stored
 from ..sources.io import with_default_vector
 from .base import CODES, LONG, codes, long_table, table
 from .registry import query
@@ -47,6 +49,56 @@ def metadata_removed(spark, d):
     return removed.crossJoin(data.agg(F.count("*").alias("n_left")))  # one row each
 
 
+#: the export's cells, one a row, as its columns hold them
+_CELLS = _EXPORT + f""", cl AS (SELECT 'Column' || (6 + q - {FIRST}) AS col, CASE WHEN v IS NOT NULL THEN format('{{:,.2f}}', v) END AS val, product || chr(31) || market AS o FROM s
+UNION ALL SELECT unnest(['Column1', 'Column2', 'Column3', 'Column4', 'Column5']), unnest([' ' || product || chr(9), 'nan', NULL, '-', market]), product || chr(31) || market FROM k),
+nm AS (SELECT 'Column' || i AS col, CASE WHEN i > 5 THEN 'quarterly_sales' ELSE ['product', 'dosage', 'dosage2', 'brand', 'market'][i::INT] END AS expected_content FROM range(1, 54) AS r(i)),
+ct AS (SELECT col, count(val) AS non_null_rows, count(*) - count(val) AS missing_rows, count(DISTINCT val) AS unique_values FROM cl GROUP BY col)"""
+
+
+def _raw(spark, d):
+    """(rows of data, their values, one row with the number of metadata rows)."""
+    data, removed = P.split_metadata(export(spark, d))
+    order = F.concat(X.strip(F.col("Column1")), F.lit("\x1f"), F.col("Column5"))
+    return data, R.value_table(data, [*P.FIXED, *P.QUARTERS], order), removed
+
+
+@query("export_profile", _CELLS + """, tx AS (SELECT col, trim(val, ' ' || chr(9)) AS t, min(o) AS f FROM cl WHERE trim(val, ' ' || chr(9)) <> '' GROUP BY ALL), ex AS (SELECT col, string_agg(t, ' | ' ORDER BY k) AS example_values FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY f, t) AS k FROM tx) WHERE k <= 5 GROUP BY col)
+SELECT col AS "column", expected_content, 'string' AS dtype, non_null_rows, missing_rows, unique_values, coalesce(example_values, '') AS example_values, missing_rows / (missing_rows + non_null_rows) AS missing_pct FROM nm JOIN ct USING (col) LEFT JOIN ex USING (col)""")
+def export_profile(spark, d):
+    """What all 53 columns of the export hold, in one pass over it."""
+    data, values, _ = _raw(spark, d)
+    return R.raw_profile(values, {f.name: f.dataType.simpleString() for f in data.schema}, P.FIXED | dict.fromkeys(P.QUARTERS, "quarterly_sales"))
+
+
+_RAW = ["raw_rows", "raw_columns", "raw_cells", "embedded_metadata_rows_removed", "raw_missing_cells", "raw_unique_products", "raw_unique_dosages", "raw_unique_dosage2_values", "raw_unique_brands", "raw_unique_markets", "raw_blank_quarterly_sales_cells"]
+_PREPARED = ["prepared_rows", "long_rows_before_aggregation", "duplicate_key_rows_aggregated", "missing_sales_rows", "negative_sales_rows", "total_sales_units", "n_products", "n_dosages", "n_dosage2_values", "n_brands", "n_markets", "n_quarters"]
+
+
+@query("sales_overview", _CELLS + f""", x AS (SELECT (SELECT count(*) FROM k) AS raw_rows, 53 AS raw_columns, 53 * (SELECT count(*) FROM k) AS raw_cells, 3 AS embedded_metadata_rows_removed, sum(missing_rows) AS raw_missing_cells,
+{', '.join(f"max(CASE WHEN col = 'Column{i + 1}' THEN unique_values END) AS {m}" for i, m in enumerate(_RAW[5:10]))}, sum(CASE WHEN substr(col, 7)::INT > 5 THEN missing_rows END) AS raw_blank_quarterly_sales_cells FROM ct),
+y AS (SELECT count(*) AS prepared_rows, count(*) AS long_rows_before_aggregation, 0 AS duplicate_key_rows_aggregated, count(*) FILTER (WHERE v IS NULL) AS missing_sales_rows, count(*) FILTER (WHERE v < 0) AS negative_sales_rows, sum(v) AS total_sales_units, count(DISTINCT product) AS n_products, 0 AS n_dosages, 0 AS n_dosage2_values, 1 AS n_brands, count(DISTINCT market) AS n_markets, count(DISTINCT q) AS n_quarters FROM s)
+SELECT unnest([{', '.join(f"'{m}'" for m in _RAW + _PREPARED)}]) AS metric, unnest([{', '.join(_RAW + _PREPARED)}]::DOUBLE[]) AS value FROM x, y""")
+def sales_overview(spark, d):
+    """The 23 figures of the export and of the table prepared from it. Distinct values are counted from the tables of values, which were summed before they were shuffled."""
+    data, values, removed = _raw(spark, d)
+    n, there = F.col("n"), F.col("value").isNotNull()
+    missing = F.when(~there, n)
+    raw = values.agg(
+        F.sum(F.when(F.col("column") == "Column1", n)).alias("raw_rows"), F.lit(len(data.columns)).alias("raw_columns"), F.sum(n).alias("raw_cells"), F.coalesce(F.sum(missing), F.lit(0)).alias("raw_missing_cells"),
+        *(F.count_if((F.col("column") == f"Column{i + 1}") & there).alias(m) for i, m in enumerate(_RAW[5:10])),
+        # a cell of white space alone is blank, but not missing
+        F.coalesce(F.sum(F.when(~F.col("column").isin(*P.FIXED) & (~there | (X.strip(F.col("value")) == "")), n)), F.lit(0)).alias("raw_blank_quarterly_sales_cells"),
+    )
+    long = stored(P.prepare(export(spark, d)), "prepared")
+    u = F.col("sales_units")
+    sums = long.agg(F.count("*").alias("prepared_rows"), F.sum("source_rows").alias("long_rows_before_aggregation"), F.count_if(F.col("source_rows") > 1).alias("duplicate_key_rows_aggregated"), F.sum("missing_sales_rows").alias("missing_sales_rows"), F.count_if(u < 0).alias("negative_sales_rows"), F.sum(u).alias("total_sales_units"))
+    keys = R.value_table(long, ["product", "dosage", "dosage2", "brand", "market", "quarter_label"], F.lit(0))
+    kinds = keys.agg(*(F.count_if((F.col("column") == c) & there).alias(m) for c, m in zip(("product", "dosage", "dosage2", "brand", "market", "quarter_label"), _PREPARED[6:])))
+    row = raw.crossJoin(removed.select(F.col("n_removed").alias("embedded_metadata_rows_removed"))).crossJoin(sums).crossJoin(kinds)  # one row each
+    return R.metric_table(row, _RAW + _PREPARED)
+
+
 @query("export_rename", _EXPORT + " SELECT product, market, count(v) AS n_sold, min(CASE WHEN v IS NOT NULL THEN q END)::BIGINT AS first_q FROM s GROUP BY ALL")
 def export_rename(spark, d):
     """Columns renamed by position, quarters by a map."""
