@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import vectors as V
+from ..operators.neighbours import neighbours
 from ..operators.ranks import average_ranks, spearman
 from ..operators.strata import stratified_pairs as draw_pairs
 from ..operators.tables import stored
@@ -53,18 +54,43 @@ _NN = _E + f", x AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS oth
 
 @query("nn_topk", f"WITH {_NN} SELECT vec_id, other, rank::INT AS rank, round(dist, 5) AS distance FROM k WHERE rank <= 10")
 def nn_topk(spark, d):
-    return V.nearest(emb(spark, d), "vec_id", "embedding", 10).select(F.col("id").alias("vec_id"), "other", "rank", F.round("distance", 5).alias("distance"))
+    rows = emb(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.array(F.lit("all")).alias("labels"))
+    return neighbours(rows, 10).select(F.col("id").alias("vec_id"), "other", "rank", F.round("distance", 5).alias("distance"))
 
 
 @query("nn_precision", f"WITH {_NN} SELECT kk AS k, round(avg(s), 6) AS precision, count(*) AS n FROM (SELECT vec_id, kk, sum((label = other_label AND rank <= kk)::INT) / kk AS s FROM k, (SELECT unnest([1, 5, 10]) AS kk) WHERE rank <= kk GROUP BY vec_id, kk) GROUP BY kk")
 def nn_precision(spark, d):
     e = emb(spark, d)
-    big = e.groupBy("label").count().where("count >= 5").select("label")  # small classes go before ranking
-    near = V.nearest(e.join(F.broadcast(big), "label", "left_semi"), "vec_id", "embedding", 10, "label")
-    per = near.withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 10))))).where("rank <= k").groupBy("id", "k").agg((F.count_if("same") / F.col("k")).alias("s"))
+    big = e.groupBy("label").count().where("count >= 5").select(F.col("label").alias("l"), F.lit(True).alias("ok"))  # small classes go before ranking
+    rows = e.join(big, F.col("label") == F.col("l"), "left").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.array(F.when(F.col("ok"), F.col("label").cast("string"))).alias("labels"))
+    per = neighbours(rows, 10).withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 10))))).where("rank <= k").groupBy("id", "k").agg((F.count_if("same") / F.col("k")).alias("s"))
     return per.groupBy("k").agg(F.round(F.avg("s"), 6).alias("precision"), F.count("*").alias("n"))
 
 
+#: Levels of the code that are probed, numbers of neighbours, the least members of a class.
+LEVELS, KS, LEAST_CLASS = (1, 2, 3), (1, 5, 10), 5
+
+
+@query("nn_precision_levels", f"""WITH {_E}, lv AS (SELECT vec_id, v, n, l AS level, substr(vec_id::VARCHAR, 1, l::INT) AS lab FROM e, (SELECT unnest([1, 2, 3]) AS l) WHERE length(vec_id::VARCHAR) >= l),
+cs AS (SELECT level, lab, count(*) AS c FROM lv GROUP BY ALL HAVING count(*) >= 5), ok AS (SELECT lv.*, c FROM lv JOIN cs USING (level, lab)),
+pr AS (SELECT a.level, a.vec_id, a.lab = b.lab AS same, row_number() OVER (PARTITION BY a.level, a.vec_id ORDER BY {_COS.format(a='a.n', b='b.n', x='a.v', y='b.v')}, b.vec_id) AS rank FROM ok a JOIN ok b ON a.level = b.level AND a.vec_id <> b.vec_id),
+pk AS (SELECT level, {', '.join(f'round(sum((same AND rank <= {k})::INT) / {k} / count(DISTINCT vec_id), 6) AS precision_at_{k}' for k in (1, 5, 10))} FROM pr WHERE rank <= 10 GROUP BY level),
+ch AS (SELECT level, sum(c)::BIGINT AS n_codes, count(*) AS n_classes, round(sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)), 6) AS precision_chance FROM cs GROUP BY level)
+SELECT level::INT AS level, n_codes, n_classes, precision_chance, {', '.join(f'precision_at_{k}' for k in (1, 5, 10))} FROM ch JOIN pk USING (level)""")
+def nn_precision_levels(spark, d):
+    """By level of the code: classes of LEAST_CLASS members or more, the share of the k nearest that are of the same one, and what chance gives. One search answers all levels."""
+    code = F.col("vec_id").cast("string")
+    e = emb(spark, d).select("vec_id", "embedding", F.explode(F.array(*map(F.lit, LEVELS))).alias("level")).withColumn("lab", F.when(F.length(code) >= F.col("level"), code.substr(F.lit(1), F.col("level"))))
+    classes = stored(e.where("lab IS NOT NULL").groupBy("level", "lab").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_CLASS), "classes")
+    named = e.join(classes.select("level", "lab", F.lit(True).alias("ok")), ["level", "lab"], "left").groupBy("vec_id").agg(*(F.max(F.when(F.col("ok") & (F.col("level") == k), F.col("lab"))).alias(f"l{k}") for k in LEVELS))
+    rows = emb(spark, d).join(named, "vec_id").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.array(*(f"l{k}" for k in LEVELS)).alias("labels"))
+    near = neighbours(rows, max(KS)).groupBy("level").agg(F.count_distinct("id").alias("n"), *(F.count_if(F.col("same") & (F.col("rank") <= k)).alias(f"s{k}") for k in KS))
+    near = near.select(F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level") + 1).alias("level"), *(F.round(F.col(f"s{k}") / k / F.col("n"), 6).alias(f"precision_at_{k}") for k in KS))
+    n = F.sum("c")
+    chance = classes.groupBy("level").agg(n.alias("n_codes"), F.count("*").alias("n_classes"), F.round(F.sum(F.col("c") * (F.col("c") - 1)) / (n * (n - 1)), 6).alias("precision_chance"))
+    return chance.join(near, "level")
+
+
 @query("chance_precision", "SELECT round(sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)), 8) AS chance FROM (SELECT count(*) AS c FROM embeddings GROUP BY label)")
 def chance_precision(spark, d):
     c = emb(spark, d).groupBy("label").agg(F.count("*").alias("c"))
