@@ -25,7 +25,7 @@ from .common import stored, table
 
 #: Fixed value: how the byte-level vocabulary's texts are cut before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SPAN = re.compile(b"[^3]*3")
+_SPAN = re.compile(b"[12]*3")
 #: Up to so many id pairs (12 bytes each) their counts go to every task; more are dealt out by pair, with the documents' pairs beside them.
 MOST_PAIRS = 4_000_000
 #: So many pairs of counts lie in one shard when they are dealt out.
@@ -36,7 +36,7 @@ HELD_PAIRS = 4_000_000
 SALTS = 32
 #: A word or run of blanks of so many characters is merged by the vocabulary file's own library, which is slower on usual words, but not on these.
 LONG_PIECE = 400
-_LONG = re.compile(r"[^\s]{%d}|\s{%d}" % (LONG_PIECE, LONG_PIECE))
+_LONG_BLANK = re.compile(r"\s{%d}" % LONG_PIECE)
 
 GROUPS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 _GROUPS = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())])
@@ -54,13 +54,22 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def has_long_piece(text: str) -> bool:
+    """Whether a word or a run of blanks has LONG_PIECE characters or more."""
+    words = text.split()
+    if max(map(len, words), default=0) >= LONG_PIECE:
+        return True
+    blanks = len(text) - sum(map(len, words))
+    # each gap between words has one blank at least, so a long run needs as many more
+    return blanks >= LONG_PIECE + max(0, len(words) - 2) and bool(_LONG_BLANK.search(text))
+
+
 class Vocabulary:
     """encode(text) -> ids, and the bytes of every id."""
 
     def __init__(self, encode: Callable[[str], list[int]], pieces: list[bytes]):
         self.encode, self.pieces = encode, pieces
         self.sizes = np.array([len(p) for p in pieces], np.int64)
-        self.named = [str(i) for i in range(len(pieces))]
 
 
 @lru_cache(maxsize=4)
@@ -89,7 +98,7 @@ def byte_level(path: str) -> Vocabulary:
     if ranks != sorted(set(ranks)) or len(ids) != 256 + len(merges):
         return Vocabulary(slow, pieces)
     fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
-    return Vocabulary(lambda text: slow(text) if _LONG.search(text) else fast.encode_ordinary(text), pieces)
+    return Vocabulary(lambda text: slow(text) if has_long_piece(text) else fast.encode_ordinary(text), pieces)
 
 
 @lru_cache(maxsize=4)
@@ -115,15 +124,19 @@ def labels(a_ends: np.ndarray, b_ends: np.ndarray, n: int) -> bytes:
 
 def aligned(said: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(tokens of A, tokens of B) of every group of a label string."""
-    spans = _SPAN.findall(said)
-    count = lambda label: np.fromiter(map(bytes.count, spans, repeat(label)), np.int64, len(spans)) + 1
-    return count(b"1"), count(b"2")
+    spans = _SPAN.findall(said.translate(None, b"0"))  # bytes where no token ends count for nothing
+    n = len(spans)
+    # all labels of a span but its last are ends of one of the two alone
+    n_a = np.fromiter(map(bytes.count, spans, repeat(b"1")), np.int64, n) + 1
+    return n_a, np.fromiter(map(len, spans), np.int64, n) - n_a + 1
 
 
 class Aligner:
     def __init__(self, a: Vocabulary, b: Vocabulary):
         self.a, self.b = a, b
-        self.texts = [s + end for s in a.named for end in ",|"], [s + end for s in b.named for end in ",;"]
+        # what is written for an id within its group and at the end of its part of it, padded with zero bytes
+        texts = [f"{i}{end}".encode() for v, ends in ((a, ",|"), (b, ",;")) for i in range(len(v.pieces)) for end in ends]
+        self.texts = np.array(texts, f"S{max(map(len, texts))}")
 
     def ids(self, text: str | None) -> tuple[list[int], list[int]]:
         """The ids of both, none if the text is null or empty or one of the two doesn't give back its bytes."""
@@ -163,19 +176,9 @@ class Aligner:
         last_a[ends_a - 1] = 1
         last_b[ends_b - 1] = 1
         code = np.empty(len(ia) + len(ib), np.int64)
-        code[place_a], code[place_b] = ia * 2 + last_a, ib * 2 + last_b
-        of_b = np.zeros(len(code), bool)
-        of_b[place_b] = True
-        text_a, text_b = self.texts
-        code[of_b] += len(text_a)
-        both = self._both
-        return hashlib.sha256("".join(map(both.__getitem__, code.tolist()))[:-1].encode()).hexdigest()
-
-    @property
-    def _both(self) -> list[str]:
-        if not hasattr(self, "_all"):
-            self._all = self.texts[0] + self.texts[1]
-        return self._all
+        code[place_a], code[place_b] = ia * 2 + last_a, (ib + len(self.a.pieces)) * 2 + last_b
+        said = self.texts[code].tobytes().translate(None, b"\0")
+        return hashlib.sha256(said[:-1]).hexdigest()
 
 
 @lru_cache(maxsize=2)

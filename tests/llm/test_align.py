@@ -106,3 +106,9 @@ def test_the_fast_library_gives_the_files_ids():
     own.encode_special_tokens = True
     for text in (t for _, t in ROWS if t):
         assert align.byte_level(FILES[0]).encode(" " + text) == own.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_long_pieces_are_seen():
+    n = align.LONG_PIECE
+    for text, long in (("a " * 900, False), ("x" * (n - 1), False), ("a " + "x" * n, True), ("a" + " " * n + "b", True), ("a" + " \n" * n, True), (" " * (n - 1) + "a b c", False), ("a  " * n, False), ("", False), (" " * n, True)):
+        assert align.has_long_piece(text) == long
