@@ -38,13 +38,17 @@ def low_text(text: Column) -> Column:
 def with_tokens(lines: DataFrame, line: str, *keep: str) -> DataFrame:
     """The columns in keep, h (hash of the words of a line of a low_text()) and t: hashes of the distinct runs of GRAM words (a shorter line is one run). Two different runs have the same hash by a chance of 1 in 2**64.
 
-    A run's hash is made from those of two pairs of words and of the last one. Each step is a projection of its own, which reads the column
-    before it more than once, so Spark doesn't inline one into the other, and the last step is generated code.
+    A run's hash is made from those of two pairs of words and of the last one. The arrays of words and pairs are variables of an outer lambda,
+    so they are neither copied into a row between steps nor looked up in it once a word.
     """
-    words = lines.select(*keep, F.transform(F.array_remove(F.split(F.col(line), " "), ""), lambda w: F.xxhash64(w)).alias("w"))
-    pairs = words.select(*keep, "w", F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1))).alias("p"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - GRAM, F.lit(0)))
-    runs = pairs.select(*keep, F.xxhash64("w").alias("h"), F.transform(starts, lambda i: F.xxhash64(F.get("p", i), F.get("p", i + 2), F.get("w", i + 4))).alias("r"))
+    words = F.transform(F.array_remove(F.split(F.col(line), " "), ""), lambda w: F.xxhash64(w))
+    pairs = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))).alias("p")))
+
+    def parts(q: Column) -> Column:
+        runs = F.transform(q["p"], lambda x, i: F.xxhash64(x, F.get(q["p"], i + 2), F.get(q["w"], i + 4)))
+        return F.struct(F.xxhash64(q["w"]).alias("h"), F.slice(runs, F.lit(1), F.greatest(F.size(q["w"]) - GRAM + 1, F.lit(1))).alias("r"))
+
+    runs = lines.select(*keep, F.get(F.transform(pairs, parts), F.lit(0)).alias("s")).select(*keep, "s.h", "s.r")  # read more than once, so not made anew for each
     return runs.select(*keep, "h", F.when(F.size("r") > 1, F.array_distinct("r")).otherwise(F.col("r")).alias("t"))
 
 
@@ -85,7 +89,7 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
 
     # 2. the screen
     shared = stored(leads.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "lines-shared")
-    near = leads.select("h", "n", F.explode("prefix").alias("token")).join(_near(shared.count(), most_broadcast // 8, shared), "token", "left_semi")
+    near = leads.select("h", "n", F.explode("prefix").alias("token")).join(shared.hint("shuffle_hash"), "token", "left_semi")  # shared grows with the input: shuffled at any size, one row a token, so only it is hashed and nothing sorted
     near = stored(near.groupBy("h", "n").count().where(F.col("count") >= shared_at_least(F.col("n"), percent)).select("h"), "lines-near")  # repeated rows of docs count more than once, which loses nothing
     drop_stored(shared)
     wanted = leads.select("doc", "th", "at", "h").join(_near(near.count(), most_broadcast, near), "h", "left_semi")
@@ -97,7 +101,7 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
     # 3. the join by rarity
     each = full.select("h", F.explode("t").alias("token"))
     dup = stored(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "lines-counts")
-    held = each.join(_near(dup.count(), most_broadcast // 4, dup), "token").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("k"))  # a line's own tokens
+    held = each.join(dup.hint("shuffle_hash"), "token").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("k"))  # a line's own tokens
     held = held.join(full.select("h", "place", F.size("t").alias("n")), "h")
     held = held.select("h", "place", "n", "k", (F.col("n") - F.size("k")).alias("alone"))  # tokens that only this line has: the rarest of all
     held = held.select("h", "place", "n", "alone", F.posexplode(F.slice("k", F.lit(1), F.greatest(F.lit(0), prefix_size(F.col("n"), percent) - F.col("alone")))).alias("after", "x"))
