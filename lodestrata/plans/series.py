@@ -72,6 +72,7 @@ def gap_guardrail(spark, d):
     lengths = per.groupBy("gap_length").agg(F.sum(F.col("n") * F.col("gap_length")).alias("cells"), F.lit(0).cast("long").alias("series"))
     longest = per.groupBy(*KEYS).agg(F.max("gap_length").alias("gap_length")).groupBy("gap_length").agg(F.lit(0).cast("long").alias("cells"), F.count("*").alias("series"))
     steps = lengths.unionByName(longest).withColumn("max_gap", F.explode(F.array(*map(F.lit, (1, 2, 3, 4, 6, 8)))))  # one row per length
+    steps = spark.createDataFrame([(g,) for g in (1, 2, 3, 4, 6, 8)], "max_gap int").join(steps, "max_gap", "left")  # without any gap a threshold still has its row
     within = F.when(F.col("gap_length") <= F.col("max_gap"), F.col("cells")).otherwise(0)
     return steps.groupBy("max_gap").agg(F.sum(within).alias("cells_filled"), F.coalesce(F.round(F.sum(within) / F.nullif(F.sum("cells"), F.lit(0)), 4), F.lit(0.0)).alias("pct_filled"), F.sum(F.when(F.col("gap_length") > F.col("max_gap"), F.col("series")).otherwise(0)).alias("series_with_longer_gap"))
 
