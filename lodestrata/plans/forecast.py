@@ -11,7 +11,7 @@ from ..operators import grid as G
 from ..operators import series as S
 from ..operators import vectors as V
 from ..operators.tables import running, stored
-from .base import FULL, KEYS, LONG, full_series, long_table
+from .base import FULL, KEYS, LONG, full_series
 from .registry import query
 
 #: The last quarter of each fold's training data (2000Q1 to 2000Q3 and the quarter before).
@@ -82,7 +82,7 @@ def floor_strata(spark, d):
 
 @query("floor_unseen", f"WITH {_FLOOR}, pd AS (SELECT product FROM fl GROUP BY product ORDER BY md5('holdout' || product), product LIMIT (SELECT round_even(count(DISTINCT product) * 0.2, 0)::INT FROM fl)) SELECT product IN (SELECT product FROM pd) AS unseen, {_SUM} FROM fl GROUP BY 1")
 def floor_unseen(spark, d):
-    scores = floor_table(spark, d)
+    scores = stored(floor_table(spark, d), "floor")
     held = O.holdout(scores, "product", 0.2, "holdout").withColumn("unseen", F.lit(True))
     return _summed(scores.join(held, "product", "left").withColumn("unseen", F.coalesce("unseen", F.lit(False))), ["unseen"])
 
@@ -124,13 +124,6 @@ def bootstrap_ci(spark, d):
     return O.bootstrap_ratio(rows, KEYS, "num", "n", ["market"]).drop("n_rows")
 
 
-_BASE = ["y_anchor", "y_season", "am", "sm", *(f"h{h}" for h in range(1, 5)), *(f"s{k}" for k in range(4))]
-def _model_rows(spark, d, cutoff: int, test: bool) -> tuple[DataFrame, list[str]]:
-    rows = O.fold_rows(full_series(spark, d), KEYS, cutoff, test)
-    new = {f"h{h}": (F.col("horizon") == h).cast("double") for h in range(1, 5)} | {f"s{k}": (F.col("q") % 4 == k).cast("double") for k in range(4)} | {"am": F.col("anchor_missing").cast("double"), "sm": F.col("season_missing").cast("double")}
-    names = list(_BASE)
-    return rows.withColumns(new), names
-
 
 def standardize(rows: DataFrame, names: list[str]) -> tuple[list[float], list[float]]:
     """Means and population deviations (1 for a constant column) of the training rows, in one aggregate."""
@@ -138,40 +131,14 @@ def standardize(rows: DataFrame, names: list[str]) -> tuple[list[float], list[fl
     return [float(x or 0) for x in r[: len(names)]], [float(x) if x else 1.0 for x in r[len(names) :]]
 
 
-def assembled(rows: DataFrame, names: list[str], scale: tuple[list[float], list[float]]) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return rows.withColumn("features", array_to_vector(F.array(*((F.col(n) - F.lit(m)) / F.lit(s) for n, m, s in zip(names, *scale)))))
-
-
-def _forecast(spark, d, model) -> DataFrame:
-    """Scores of every rolling origin in CUTOFFS (fold), each with a model of its own."""
-    out = None
-    for cutoff in CUTOFFS:
-        (train, names), (test, _) = _model_rows(spark, d, cutoff, False), _model_rows(spark, d, cutoff, True)
-        scale = standardize(train, names)
-        fitted = model(assembled(train, names, scale))
-        told = fitted.transform(assembled(test, names, scale)).withColumn("units_hat", F.signum("prediction") * F.expm1(F.abs("prediction")))
-        one = O.score(told, O.in_sample(full_series(spark, d), KEYS, cutoff), KEYS, "units", "units_hat").withColumn("fold", F.lit(cutoff))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _ridge(rows: DataFrame):
-    from pyspark.ml.regression import LinearRegression
-
-    m = rows.agg(F.count("*"), F.stddev_pop("y")).first()
-    return LinearRegression(featuresCol="features", labelCol="y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=10.0 / m[0] * (m[1] or 1.0)).fit(rows)
-
-
 #: Configurations of the run, by the width of the vector that a product's code adds: none, the whole vector, its principal axes, its first half, tangent vectors of the hyperboloid's points.
 CONFIGS = {"none": 0, "full": 64, "pca16": 16, "head32": 32, "lorentz10": 10}
 
 
-def product_vectors(spark, d) -> DataFrame:
-    """(config, code, v): a product's vector in each configuration. Products take the vectors in the order of their names, and begin anew where there are more products than vectors."""
+def product_vectors(spark, d, series: DataFrame) -> DataFrame:
+    """(config, code, v): the vector of each product of the series in each configuration. Products take the vectors in the order of their names, and begin anew where there are more products than vectors."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    names = running(long_table(spark, d).select("product").distinct().withColumn("one", F.lit(1)), ["product"], {"at": "one"}, "products").select(F.col("product").alias("code"), "at")
+    names = running(series.select("product").distinct().withColumn("one", F.lit(1)), ["product"], {"at": "one"}, "products").select(F.col("product").alias("code"), "at")
     places = running(e.select("vec_id").withColumn("one", F.lit(1)), ["vec_id"], {"at": "one"}, "vectors").select("vec_id", F.col("at").alias("place"))
     flat = V.pca(e, "e", CONFIGS["pca16"], "p").join(places, "vec_id")
     met = names.withColumn("place", (F.col("at") - 1) % places.count() + 1).join(flat, "place")
@@ -185,7 +152,7 @@ def records(spark, d) -> DataFrame:
     """The run: a row per model, configuration, fold and series, with mase, volume, history, n and whether the product was held out of the fits (unseen); a table."""
     series = full_series(spark, d)
     unseen = O.holdout(series, "product", 0.2, "holdout").select("product", F.lit(True).alias("unseen"))
-    out = G.records(series, KEYS, "product", product_vectors(spark, d), CONFIGS, list(CUTOFFS), unseen)
+    out = G.records(series, KEYS, "product", product_vectors(spark, d, series), CONFIGS, list(CUTOFFS), unseen)
     return stored(out.join(unseen, "product", "left").withColumn("unseen", F.coalesce("unseen", F.lit(False))), "records")
 
 
@@ -242,7 +209,10 @@ def bootstrap_families(spark, d):
 
 @query("ridge_forecast")
 def ridge_forecast(spark, d):
-    return _forecast(spark, d, _ridge)
+    """Scores of every rolling origin in CUTOFFS (fold), each with a ridge model of its own, all fitted from one pass over the series."""
+    none = spark.createDataFrame([], "config string, code string, v array<double>")
+    out = G.records(full_series(spark, d), KEYS, "product", none, {"none": 0}, list(CUTOFFS)).where("model = 'ridge'")
+    return out.select(*KEYS, "mase", "volume", "history", "n", "fold")
 
 
 @query("gbt_forecast")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lodestrata.plans import catalog
+from lodestrata.plans import base, catalog
 
 from comparison import duck, same
 
@@ -25,3 +25,15 @@ def dense(tmp_path_factory):
 @pytest.mark.parametrize("name", ["gap_guardrail", "gap_stats", "gap_distribution", "gap_levels", "blank_patterns"])
 def test_without_gaps(spark, dense, name):
     same(catalog.QUERIES[name](spark, dense), duck(dense), catalog.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["ridge_forecast", "floor_unseen", "gap_levels", "sales_overview"])
+def test_fact_is_joined_once(spark, monkeypatch, name):
+    """However often a query reads the series, the fact's joins run once, and orders and lines are shuffled at every size."""
+    made = []
+    plain = base.long_table
+    monkeypatch.setattr(base, "long_table", lambda *a: made.append(plain(*a)) or made[-1])
+    out = catalog.QUERIES[name](spark, SF)
+    assert "lineitem" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 1
+    assert "SortMergeJoin" in made[0]._jdf.queryExecution().executedPlan().toString()
