@@ -9,7 +9,7 @@ from ..operators import prepare as P
 from ..operators import profile as R
 from ..operators.tables import stored
 from ..sources.io import with_default_vector
-from .base import CODES, LONG, codes, long_table, table
+from .base import CODES, LONG, codes, long_table, merged, table
 from .registry import query
 from .vectors import emb
 
@@ -19,7 +19,7 @@ FIRST, LAST = 7959, 8006
 
 def export(spark, d):
     """Products and markets by quarter as the export has them: US numbers as text, blanks, and three rows of metadata (headings, labels, a country)."""
-    wide = long_table(spark, d).groupBy("product", "market").pivot("q", list(range(FIRST, LAST + 1))).agg(F.sum("sales_units"))
+    wide = merged(spark, d).groupBy("product", "market").pivot("q", list(range(FIRST, LAST + 1))).agg(F.sum("sales_units"))
     cells = [F.format_number(F.col(str(q)), 2).alias(c) for q, c in zip(range(FIRST, LAST + 1), P.QUARTERS)]
     dims = [F.concat(F.lit(" "), "product", F.lit("\t")).alias("Column1"), F.lit("nan").alias("Column2"), F.lit("").alias("Column3"), F.lit("-").alias("Column4"), F.col("market").alias("Column5")]
     names = [*P.FIXED, *P.QUARTERS]
@@ -56,9 +56,9 @@ nm AS (SELECT 'Column' || i AS col, CASE WHEN i > 5 THEN 'quarterly_sales' ELSE
 ct AS (SELECT col, count(val) AS non_null_rows, count(*) - count(val) AS missing_rows, count(DISTINCT val) AS unique_values FROM cl GROUP BY col)"""
 
 
-def _raw(spark, d):
-    """(rows of data, their values, one row with the number of metadata rows)."""
-    data, removed = P.split_metadata(export(spark, d))
+def _raw(whole):
+    """(rows of data, their values, one row with the number of metadata rows) of an export."""
+    data, removed = P.split_metadata(whole)
     order = F.concat(X.strip(F.col("Column1")), F.lit("\x1f"), F.col("Column5"))
     return data, R.value_table(data, [*P.FIXED, *P.QUARTERS], order), removed
 
@@ -67,7 +67,7 @@ def _raw(spark, d):
 SELECT col AS "column", expected_content, 'string' AS dtype, non_null_rows, missing_rows, unique_values, coalesce(example_values, '') AS example_values, missing_rows / (missing_rows + non_null_rows) AS missing_pct FROM nm JOIN ct USING (col) LEFT JOIN ex USING (col)""")
 def export_profile(spark, d):
     """What all 53 columns of the export hold, in one pass over it."""
-    data, values, _ = _raw(spark, d)
+    data, values, _ = _raw(export(spark, d))
     return R.raw_profile(values, {f.name: f.dataType.simpleString() for f in data.schema}, P.FIXED | dict.fromkeys(P.QUARTERS, "quarterly_sales"))
 
 
@@ -81,7 +81,8 @@ y AS (SELECT count(*) AS prepared_rows, count(*) AS long_rows_before_aggregation
 SELECT unnest([{', '.join(f"'{m}'" for m in _RAW + _PREPARED)}]) AS metric, unnest([{', '.join(_RAW + _PREPARED)}]::DOUBLE[]) AS value FROM x, y""")
 def sales_overview(spark, d):
     """The 23 figures of the export and of the table prepared from it. Distinct values are counted from the tables of values, which were summed before they were shuffled."""
-    data, values, removed = _raw(spark, d)
+    whole = export(spark, d)
+    data, values, removed = _raw(whole)
     n, there = F.col("n"), F.col("value").isNotNull()
     missing = F.when(~there, n)
     raw = values.agg(
@@ -90,7 +91,7 @@ def sales_overview(spark, d):
         # a cell of white space alone is blank, but not missing
         F.coalesce(F.sum(F.when(~F.col("column").isin(*P.FIXED) & (~there | (X.strip(F.col("value")) == "")), n)), F.lit(0)).alias("raw_blank_quarterly_sales_cells"),
     )
-    long = stored(P.prepare(export(spark, d)), "prepared")
+    long = stored(P.prepare(whole), "prepared")
     u = F.col("sales_units")
     sums = long.agg(F.count("*").alias("prepared_rows"), F.sum("source_rows").alias("long_rows_before_aggregation"), F.count_if(F.col("source_rows") > 1).alias("duplicate_key_rows_aggregated"), F.sum("missing_sales_rows").alias("missing_sales_rows"), F.count_if(u < 0).alias("negative_sales_rows"), F.sum(u).alias("total_sales_units"))
     keys = R.value_table(long, ["product", "dosage", "dosage2", "brand", "market", "quarter_label"], F.lit(0))
