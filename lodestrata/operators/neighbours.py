@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by cosine distance without comparing all pairs.
+"""Exact nearest neighbours by cosine distance, and which blocks of clustered vectors can hold them.
 
 Vectors of unit length lie around pivots; those nearest to one pivot are cut into blocks by their distance to it, so a block is a ring around
 its pivot. A block first finds neighbours within itself, which bounds how far its vectors need look. By the triangle inequality the vectors
@@ -11,10 +11,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import running, stored
+from .tiles import Nearest, against, matrix, packed
 from .vectors import BLOCK
 
 #: At most so many pivots, which every task holds.
@@ -101,24 +102,15 @@ def block_pairs(blocks: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
     return met.where(F.greatest(F.col("near") - F.col("high"), F.col("low") - F.col("most")) <= F.col("bound")).select("a", "b")
 
 
-def neighbours(df: DataFrame, k: int, rows: int = BLOCK) -> DataFrame:
+def neighbours(df: DataFrame, k: int, rows: int | None = None) -> DataFrame:
     """(level, id, other, distance, same, rank): of every row with a label at a level the k nearest of the other rows with one, ties by id, and whether they have the same label.
 
     df: id, v, labels (an array, one label a level, NULL where a row takes no part in it). All levels are answered from one set of
-    distances. A zero vector is at distance 1 from all; rows without a vector are left out. A task holds two blocks.
+    distances. A zero vector is at distance 1 from all; rows without a vector are left out. Chunks of vectors stream past each task's own.
     """
-    blocks, pivots = rings(df, rows)
-    pairs = block_pairs(blocks, pivots, k)
-    met = pairs.join(blocks.select(F.col("b").alias("a"), F.col("rows").alias("own")), "a").join(blocks.select("b", F.col("rows").alias("other")), "b").select("own", "other")
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(batch.num_rows):
-                own, other = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
-                mine, theirs = np.array([r["id"] for r in own]), np.array([r["id"] for r in other])
-                for level, i, j, d, same, _ in _found(own, other, k):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), level, np.int32)), pa.array(mine[i]), pa.array(theirs[j]), pa.array(d), pa.array(same.astype(bool))], names=["level", "id", "other", "distance", "same"])
-
-    found = met.mapInArrow(work, "level int, id long, other long, distance double, same boolean")
-    rank = F.row_number().over(Window.partitionBy("level", "id").orderBy("distance", "other"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    def pack(part: pa.Table) -> dict:
+        return {"id": part.column("id").to_numpy(), "x": matrix(part.column("v")), "labels": np.array(part.column("labels").to_pylist(), object)}
+
+    chunks = packed(df.where("v IS NOT NULL").select("id", "v", "labels"), "id", pack, rows)
+    return against(chunks, chunks, lambda own: Nearest(own, k), "level int, id long, other long, distance double, same boolean, rank int")
