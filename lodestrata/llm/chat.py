@@ -89,6 +89,35 @@ def examples(segments: DataFrame) -> DataFrame:
     return segments.where("example IS NOT NULL").select("conv_id", "example", F.col("turn").alias("target_turn"), F.col("stop").alias("n_chars"), "loss_start", "loss_stop")
 
 
+EXPANDED = SEGMENTS + ", n_chars long, context_chars long"
+
+
+def _expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for r in _rows(batches):
+            row = tuple(r[f.name] for f in _SEGMENT)
+            if r["example"] is None:
+                yield *row, None, None
+            else:
+                yield *row[:7], None, None, None, None, None
+                # the example: the prefix before its reply is context, and the reply alone is trained on
+                yield *row[:4], None, *row[5:], r["stop"], r["loss_start"]
+
+    return _batches(rows(), _EXPANDED)
+
+
+_EXPANDED = pa.schema([*_SEGMENT, ("n_chars", pa.int64()), ("context_chars", pa.int64())])
+
+
+def expand(segments: DataFrame) -> DataFrame:
+    """The prefix-target expansion: the rendering's segments, without targets, and after each assistant's an example of its own (segment NULL).
+
+    Example k is the rendering's first n_chars: context_chars of context, its target [loss_start, loss_stop), and the turn's end. It is held
+    as these spans, as its text is a prefix of the rendering that comes before it. Give it format_turns()'s own frame, which is sorted.
+    """
+    return segments.mapInArrow(_expand, EXPANDED)
+
+
 def render(segments: DataFrame) -> DataFrame:
     """Every example written out in full: (conv_id, example, text, loss_start, loss_stop). Its size grows with the square of a conversation's turns, as these examples do."""
     part = segments.select(F.col("conv_id").alias("c"), F.col("position").alias("p"), "segment")
@@ -116,22 +145,27 @@ _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 
 def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        state = None
+        state, last = None, None
         for r in _rows(batches):
             if state is None or r["conv_id"] != state[0]:
                 if state:
                     yield out(state)
                 state = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-            role, text = parse_segment(r["segment"])
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            loss = masked(r["segment"], r["start"], r["loss_start"], r["loss_stop"])
+            if r["segment"] is not None:
+                last = r
+                role, text = parse_segment(r["segment"])
+                state[1] += 1
+                state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                state[5] += len(r["segment"])
+                continue
+            # an example ends where the rendering so far does, and trains on a part of its last turn
+            if not r["n_chars"] == state[5] or not last["start"] <= r["context_chars"] == r["loss_start"] <= r["loss_stop"] <= r["n_chars"]:
+                raise ValueError("an example is no prefix of its conversation")
+            loss = masked(last["segment"], last["start"], r["loss_start"], r["loss_stop"])
             state[3] += len(loss)
             state[4].update(loss.encode("utf-8", "surrogatepass"))
-            state[5] += len(r["segment"])
-            if r["example"] is not None:
-                state[6] += 1
-                state[7] += r["stop"]
+            state[6] += 1
+            state[7] += r["n_chars"]
         if state:
             yield out(state)
 
@@ -142,8 +176,8 @@ def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of what the formatted output says, parsed from it in the order it lies in: turns, and the text under the loss mask. Give it format_turns()'s own frame, which is sorted."""
-    return segments.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long")
+    """Digests of what the formatted output says, parsed from it in the order it lies in: turns from the rendering, and the text under the loss mask from the examples. Give it format_turns()'s own frame, which is sorted."""
+    return expand(segments).mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long")
 
 
 #: The fixed conversation -7 of the query: both texts hold the template's own marks.

@@ -46,3 +46,18 @@ def test_examples_are_prefixes(spark):
 
 def test_empty(spark):
     assert chat.read_back(chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_mask_is_read_from_examples(spark, monkeypatch):
+    """Each assistant turn is an example with its context and its reply; an expansion that loses them leaves no text under the mask."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a: 1"), (1, 2, "user", "r"), (1, 3, "assistant", "")]
+    segments = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    full = {r.example: r for r in chat.render(segments).collect()}
+    told = {r.example: r for r in chat.expand(segments).where("segment IS NULL").collect()}
+    assert sorted(told) == [0, 1]
+    assert all(told[k].n_chars == len(full[k].text) and full[k].text[told[k].context_chars :].startswith(chat.escape(("a: 1", "")[k])) for k in (0, 1))
+    assert chat.read_back(segments).first().loss_chars == 4
+    plain = chat.expand
+    monkeypatch.setattr(chat, "expand", lambda s: plain(s).where("segment IS NOT NULL"))
+    r = chat.read_back(segments).first()
+    assert (r.n_turns, r.loss_chars, r.n_examples) == (4, 0, 0)
