@@ -24,7 +24,7 @@ def draws(total: int, k: int, seed: str) -> list[int]:
     return sorted((a + _number(f"{seed}:{j}") % (b - a) + _number(seed)) % total for j, (a, b) in enumerate(zip(cuts, cuts[1:])))
 
 
-def stratified_pairs(items: DataFrame, strata: list[tuple[int, int]], per: int, seed: str = "0") -> DataFrame:
+def stratified_pairs(items: DataFrame, strata: list[tuple[int, int]], per: int, seed: str | list[str] = "0") -> DataFrame:
     """(stratum, tree, a, b): of each stratum of tree distances (low, high) `per` different pairs of items, all if it has fewer; every pair of a stratum is as likely as any other.
 
     items: id, path (the prefixes of its code from level 1 to itself; different for different items). A pair whose lowest common ancestor
@@ -32,6 +32,7 @@ def stratified_pairs(items: DataFrame, strata: list[tuple[int, int]], per: int,
     pairs of two levels a child takes part in is a product of counts, so pairs are numbered without being made: cells (x, child, levels)
     are laid end to end, a stratum's numbers are drawn, and a number in a cell is the place of the one item in the child's list and of
     the other in what is left of x's list. Lists are ranges of one numbering of the items. The work grows with the number of nodes.
+    Several seeds share the numbering; a column `seed` then tells their draws apart.
     """
     level = F.size("path")
     rows = items.select("id", "path", level.alias("level")).withColumn("_one", F.lit(1))
@@ -52,11 +53,12 @@ def stratified_pairs(items: DataFrame, strata: list[tuple[int, int]], per: int,
     cell = cell.withColumn("k", k).where("k IS NOT NULL AND m > 0").withColumn("size", F.col("n") * F.col("m"))
     cell = stored(running(cell, ["k", "x", "y", "la", "lb"], {"stop": "size"}, "cells"), "cells")
     totals = {r[0]: r[1] for r in cell.groupBy("k").agg(F.sum("size")).collect()}  # a row a stratum
+    seeds = [seed] if isinstance(seed, str) else list(seed)
     base, wanted = 0, []
     for i, (low, high) in enumerate(strata):
-        wanted += [base + t for t in draws(totals.get(i, 0), per, f"{seed}:{low}-{high}")]
+        wanted += sorted((base + t, k) for k, one in enumerate(seeds) for t in draws(totals.get(i, 0), per, f"{one}:{low}-{high}"))
         base += totals.get(i, 0)
-    numbers = np.array(wanted, np.int64)  # `per` a stratum at most
+    numbers, which = np.array(wanted, np.int64).reshape(-1, 2).T  # `per` a stratum and seed at most
 
     def hit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,10 +67,10 @@ def stratified_pairs(items: DataFrame, strata: list[tuple[int, int]], per: int,
             of = np.repeat(np.arange(b.num_rows), last - first)
             at = np.concatenate([np.arange(f, e) for f, e in zip(first, last) if e > f]) if len(of) else np.empty(0, np.int64)
             taken = b.take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(numbers[at] - (stop - size)[of])], names=[*taken.schema.names, "u"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(numbers[at] - (stop - size)[of]), pa.array(which[at])], names=[*taken.schema.names, "u", "s"])
 
     kept = ["k", "tree", "la", "lb", "n", "first", "m", "all_first", "own_n", "own_first", "stop", "size"]
-    got = cell.select(*kept).mapInArrow(hit, "k int, tree int, la int, lb int, n long, first long, m long, all_first long, own_n long, own_first long, stop long, size long, u long")
+    got = cell.select(*kept).mapInArrow(hit, "k int, tree int, la int, lb int, n long, first long, m long, all_first long, own_n long, own_first long, stop long, size long, u long, s long")
     j = F.col("u") % F.col("m")
     other = F.col("all_first") + j
     other = other + F.when(other >= F.col("own_first"), F.col("own_n")).otherwise(0)
@@ -76,4 +78,5 @@ def stratified_pairs(items: DataFrame, strata: list[tuple[int, int]], per: int,
     got = got.withColumn("i", F.col("first") + F.expr("u div m"))
     named = F.element_at(F.array(*(F.lit(f"{a}-{b}") for a, b in strata)), F.col("k") + 1)
     ids = rows.select(F.col("at").alias("i"), F.col("id").alias("a")), rows.select(F.col("at").alias("j"), F.col("id").alias("b"))
-    return got.join(ids[0], "i").join(ids[1], "j").select(named.alias("stratum"), "tree", "a", "b")
+    told = [] if isinstance(seed, str) else [F.element_at(F.array(*map(F.lit, seeds)), F.col("s").cast("int") + 1).alias("seed")]
+    return got.join(ids[0], "i").join(ids[1], "j").select(*told, named.alias("stratum"), "tree", "a", "b")
