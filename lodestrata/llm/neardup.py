@@ -6,12 +6,18 @@ together in one branch), and documents with equal minwise tokens there go to the
 similarity 0.75 together but for a chance below 1e-9 a first level, which is what the recall rests on. Candidates are confirmed on full sets.
 
 Work stays linear where a node is large. Equal sets are one class from the start. In every node of the first level each class is compared
-with the node's first class (the pivot): a large group of near copies is linked by as many comparisons as it has members. What remains in a
+with a pivot, the class that meets most others in its nodes, and then with the one that does so among those of other components: a large group of
+near copies is linked by as many comparisons as it has members. What remains in a
 node are pairs of different components: nodes with at most REST classes outside their largest component compare these with all
 others exhaustively; larger ones branch again, STEP levels at a time, until none is left; from the fifth step on the bound doubles at every
 step, as what is still together by then resembles each other closely. A pair at similarity 0.75 is still together at level k of a tree with
 a chance of about 2 / (0.375 k), so TREES = 20 miss it in a node that needs 14 levels with a chance of 1e-4, and far less above that
-similarity. A group of n texts that resemble each other without being near copies costs up to REST n comparisons a node.
+similarity.
+
+A text that would meet more than HEAVY others that way resembles many without being a near copy of what they have in common. Such texts and
+the classes of their nodes are joined by the rarest of their shingles instead: in one order for all, the first n - ceil(0.75 n) + 1 of two
+similar sets of n have one in common, and what follows the first common one must suffice. This is exact in any order, so it is taken from
+counts over an eighth of these classes; the texts' own shingles come first, and what all share comes last and is hardly ever met.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +37,10 @@ from .graph import components
 WIDTH, TREES, REST, STEP, GRAM = 64, 20, 16, 2, 5
 #: Unlike classes part at every level; a node that is still large after so many steps is a fault, and raises an error.
 MOST_STEPS = 60
+#: Comparisons of one class within its nodes; and so many of the most frequent shingles at most are sent to the tasks that put shingles in order (16 bytes each; the rest count as rare).
+HEAVY, MOST_COMMON = 64, 200_000
+#: Pivots of a node.
+ROUNDS = 2
 _A = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Estimates this far below the similarity are sorted out before the confirmation: 4.6 standard deviations of WIDTH coordinates, a chance of 2e-6 to lose a
 #: pair at the very threshold. 1 turns this off: every candidate is confirmed on full sets.
@@ -150,10 +161,60 @@ def _confirm(percent: int):
     return run
 
 
+def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64))], ["token"])
+
+
+def _prefixes(percent: int, common: Broadcast):
+    """(cid, root, heavy, elements) -> (token, cid, root, heavy, n, pos) of the prefix of each set, shingles ordered by their counts in common and then by a hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = common.value
+        for b in batches:
+            for i, x in enumerate(b.column(3)):
+                e = np.frombuffer(x.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(names, e), max(0, len(names) - 1))
+                c = np.where(names[at] == e, counts[at], 0) if len(names) else np.zeros(len(e), np.int64)
+                size = len(e) - -(-percent * len(e) // 100) + 1
+                first = e[np.lexsort((mix64(e), c))[:size]]
+                same = b.slice(i, 1).take(pa.array(np.zeros(size, np.int64)))
+                yield pa.RecordBatch.from_arrays([_signed(first), *same.columns[:3], pa.array(np.full(size, len(e), np.int64)), pa.array(np.arange(size))], ["token", "cid", "root", "heavy", "n", "pos"])
+
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, slack: float, most_broadcast: int):
         self.docs, self.classes, self.percent, self.slack, self.most = docs, classes, percent, slack, most_broadcast
 
+    def sets(self, ids: DataFrame, n: int) -> DataFrame:
+        """(cid, elements) of the n classes (cid, first_hash)."""
+        ids = F.broadcast(ids) if n <= self.most else ids  # two longs a row
+        texts = self.docs.withColumn("first_hash", F.xxhash64("text")).join(ids, "first_hash").select("cid", "text").dropDuplicates(["cid"])
+        return stored(texts.mapInArrow(_sets, "cid long, elements binary"), "neardup-sets")
+
+    def by_rarity(self, rows: DataFrame) -> DataFrame:
+        """The pairs (a, b) of the classes in rows (cid, root, heavy) that have a shingle of both prefixes in common, of different roots, one of the two heavy."""
+        p, spark = self.percent, rows.sparkSession
+        ids = stored(rows.join(self.classes.select("cid", "first_hash"), "cid"), "neardup-heavy")
+        sets = self.sets(ids.select("cid", "first_hash"), ids.count())
+        some = sets.where(F.pmod(F.xxhash64("cid"), F.lit(8)) == 0).select("elements").mapInArrow(_elements, "token long")
+        top = some.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(MOST_COMMON).toArrow()
+        names, counts = top["token"].to_numpy().view(np.uint64), top["count"].to_numpy()
+        order = np.argsort(names)
+        common = spark.sparkContext.broadcast((names[order], counts[order]))
+        first = ids.select("cid", "root", "heavy").join(sets, "cid").mapInArrow(_prefixes(p, common), "token long, cid long, root long, heavy boolean, n long, pos long")
+        first = stored(first, "neardup-prefixes")
+        a, b = (first.select("token", *(F.col(c).alias(c + k) for c in ("cid", "root", "heavy", "n", "pos"))) for k in "12")
+        new = (F.col("root1") != F.col("root2")) & (~F.col("heavy2") | (F.col("cid1") < F.col("cid2")))
+        fits = (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * p) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (100 + p) >= (F.col("n1") + F.col("n2")) * p)
+        pairs = a.where("heavy1").join(b, (a["token"] == b["token"]) & new & fits).select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
+        pairs = stored(pairs, "neardup-rare")
+        drop_stored(ids, sets, first)
+        return pairs
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose full sets are similar, each once, confirmed."""
         p = self.percent
@@ -168,9 +229,7 @@ class _Join:
         if not n:
             drop_stored(ids)
             return near
-        ids_ = F.broadcast(ids) if n <= self.most else ids  # two longs a row
-        texts = self.docs.withColumn("first_hash", F.xxhash64("text")).join(ids_, "first_hash").select("cid", "text").dropDuplicates(["cid"])
-        sets = stored(texts.mapInArrow(_sets, "cid long, elements binary"), "neardup-sets")
+        sets = self.sets(ids, n)
         full = near.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("y")), "b")
         found = stored(full.select("a", "b", "x", "y").mapInArrow(_confirm(p), "a long, b long"), "neardup-links")
         drop_stored(near, ids, sets)
@@ -191,38 +250,57 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     join = _Join(own.select("text"), classes, percent, slack, most_broadcast)
 
     level = stored(classes.select("cid", "sig").mapInArrow(_roots, "path long, cid long"), "neardup-paths")
-    nodes = level.groupBy("path").agg(F.min("cid").alias("pivot"), F.max("cid").alias("other")).where("pivot <> other").select("path", "pivot")
-    shared = stored(level.join(nodes, "path"), "neardup-shared")
+    sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(level.join(sizes, "path"), "neardup-shared")
     drop_stored(level)
-    links = join.links(shared.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
-    roots = components(links)
-
-    level, held, found = shared.select("path", "cid"), [shared], []
+    # who meets most others is next to what they have in common
+    hubs = stored(shared.groupBy("cid").agg(F.struct(F.sum("size").alias("meets"), "cid").alias("hub")), "neardup-hubs")
+    links, roots, spent = None, None, [hubs]
+    for k in range(ROUNDS):
+        rows = shared.select("path", "cid").join(hubs, "cid")
+        rows = rows.withColumn("root", F.col("cid")) if k == 0 else rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("path", "cid", "hub", F.coalesce("root", "cid").alias("root"))
+        pivots = rows.groupBy("path").agg(F.max(F.struct("hub", "root")).alias("p"))
+        if k:  # of those that the first one hasn't linked
+            pivots = rows.join(pivots, "path").where(F.col("root") != F.col("p.root")).groupBy("path").agg(F.max(F.struct("hub", "root")).alias("p"))
+        found = join.links(rows.join(pivots.select("path", F.col("p.hub.cid").alias("b"), F.col("p.root").alias("rb")), "path").where(F.col("root") != F.col("rb")).select(F.col("cid").alias("a"), "b"))
+        spent += [found, roots]
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+
+    level, held, nodes = shared.select("path", "cid"), [shared], []
     for step in range(MOST_STEPS):
         labelled = level.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("path", "cid", F.coalesce("root", "cid").alias("root"))
         groups = labelled.groupBy("path", "root").agg(F.count("*").alias("m")).groupBy("path").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top"))
-        groups = groups.select("path", F.col("top.root").alias("top"), (F.col("all") - F.col("top.m")).alias("rest")).where("rest > 0")
+        groups = groups.select("path", F.col("top.root").alias("top"), "all", (F.col("all") - F.col("top.m")).alias("rest")).where("rest > 0")
         mixed = stored(labelled.join(groups, "path"), f"neardup-level{step}")  # nodes that hold more than one component
         drop_stored(*held)
         most = REST * 2 ** max(0, step - 4)
-        done, large = mixed.where(F.col("rest") <= most), mixed.where(F.col("rest") > most)
-        few = done.where("root <> top").select("path", F.col("cid").alias("a"), F.col("root").alias("ra"))
-        met = few.join(done.select("path", F.col("cid").alias("b"), F.col("root").alias("rb"), "top"), "path").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b"))))
-        found.append(stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"neardup-pairs{step}"))
+        large = mixed.where(F.col("rest") > most)
+        nodes.append((mixed, mixed.where(F.col("rest") <= most).select("path", "cid", "root", "top", "all")))
         if not large.limit(1).count():
-            drop_stored(mixed)
             break
         level = stored(large.select("path", "cid").join(classes.select("cid", "sig"), "cid").select("path", "cid", "sig").mapInArrow(_deeper, "path long, cid long").distinct(), f"neardup-path{step}")
-        drop_stored(mixed)
         held = [level]
     else:
         raise RuntimeError("unlike documents haven't parted")
-    more = found[0]
-    for part in found[1:]:
-        more = more.unionByName(part)
+    done = nodes[0][1]
+    for _, part in nodes[1:]:
+        done = done.unionByName(part)
+    few = done.where("root <> top").select("path", F.col("cid").alias("a"), F.col("root").alias("ra"), "all")
+    heavy = stored(few.groupBy("a").agg(F.sum("all").alias("meets")).where(F.col("meets") > HEAVY).select("a"), "neardup-outsiders")
+    n = heavy.count()
+    own = F.broadcast(heavy) if n <= most_broadcast else heavy  # a long a row
+    met = few.join(own, "a", "left_anti").join(done.select("path", F.col("cid").alias("b"), F.col("root").alias("rb"), "top"), "path")
+    met = met.join(own.select(F.col("a").alias("b"), F.lit(True).alias("heavy")), "b", "left")
+    more = met.where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b")) | F.col("heavy"))).select("a", "b")
+    rare = None
+    if n:
+        among = done.join(few.join(own, "a", "left_semi").select("path").distinct(), "path", "left_semi").select("cid", "root").distinct()
+        rare = join.by_rarity(among.join(own.select(F.col("a").alias("cid"), F.lit(True).alias("heavy")), "cid", "left").select("cid", "root", F.coalesce("heavy", F.lit(False)).alias("heavy")))
+        more = more.unionByName(rare)
     late = join.links(more)
     before, roots = roots, components(links.unionByName(late))
-    drop_stored(before, links, late, *found)
+    drop_stored(before, *spent, late, heavy, rare, *(mixed for mixed, _ in nodes))
 
     of = classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
     low = of.groupBy("root").agg(F.min("first").alias("component_id"))
