@@ -9,13 +9,11 @@ Work stays linear where a node is large. Equal sets are one class from the start
 with a pivot, the class that meets most others in its nodes, and then with the one that does so among those of other components: a large group of
 near copies is linked by as many comparisons as it has members. What remains in a
 node are pairs of different components: nodes with at most REST classes outside their largest component compare these with all
-others exhaustively; larger ones branch again, STEP levels at a time, until none is left; from the fifth step on the bound doubles at every
-step, as what is still together by then resembles each other closely. A pair at similarity 0.75 is still together at level k of a tree with
-a chance of about 2 / (0.375 k), so TREES = 20 miss it in a node that needs 14 levels with a chance of 1e-4, and far less above that
-similarity.
+others exhaustively; larger ones branch once more (STEP), which parts texts that have a frequent shingle in common and nothing else.
 
-A text that would meet more than HEAVY others that way resembles many without being a near copy of what they have in common. Such texts and
-the classes of their nodes are joined by the rarest of their shingles instead: in one order for all, the first n - ceil(0.75 n) + 1 of two
+What is together even then resembles a common text, and branching further would multiply it: classes of similarity s stay together in
+4/3 s branches a level. So the classes of nodes that are still large, and the texts that would meet more than HEAVY others in small nodes with
+the classes of these, are joined by the rarest of their shingles instead: in one order for all, the first n - ceil(0.75 n) + 1 of two
 similar sets of n have one in common, and what follows the first common one must suffice. This is exact in any order, so it is taken from
 counts over an eighth of these classes; the texts' own shingles come first, and what all share comes last and is hardly ever met.
 """
@@ -31,12 +29,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD_RE, WordHashes, drop_stored, mix64, stored, table, window_hashes
+from .common import WordHashes, drop_stored, low_words, mix64, stored, table, window_hashes
 from .graph import components
 
-WIDTH, TREES, REST, STEP, GRAM = 64, 20, 16, 2, 5
-#: Unlike classes part at every level; a node that is still large after so many steps is a fault, and raises an error.
-MOST_STEPS = 60
+WIDTH, TREES, REST, STEP, GRAM = 64, 20, 16, 1, 5
 #: Comparisons of one class within its nodes; and so many of the most frequent shingles at most are sent to the tasks that put shingles in order (16 bytes each; the rest count as rare).
 HEAVY, MOST_COMMON = 64, 200_000
 #: Pivots of a node.
@@ -49,7 +45,7 @@ SLACK = 0.25
 
 def shingle_set(text: str | None, cache: WordHashes, gram: int = GRAM) -> np.ndarray:
     """Sorted hashes of the distinct shingles; of fewer words all together as one; none without words."""
-    words = WORD_RE.findall(text.translate(ASCII_LOWER)) if text else []
+    words = low_words(text) if text else []
     if not words:
         return np.empty(0, np.uint64)
     h = cache.of(words)
@@ -267,27 +263,23 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
         links = found if links is None else links.unionByName(found)
         roots = components(links)
 
-    level, held, nodes = shared.select("path", "cid"), [shared], []
-    for step in range(MOST_STEPS):
+    def mixed(level: DataFrame, tag: str) -> DataFrame:
+        """The nodes that hold more than one component."""
         labelled = level.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("path", "cid", F.coalesce("root", "cid").alias("root"))
         groups = labelled.groupBy("path", "root").agg(F.count("*").alias("m")).groupBy("path").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("top"))
         groups = groups.select("path", F.col("top.root").alias("top"), "all", (F.col("all") - F.col("top.m")).alias("rest")).where("rest > 0")
-        mixed = stored(labelled.join(groups, "path"), f"neardup-level{step}")  # nodes that hold more than one component
-        drop_stored(*held)
-        most = REST * 2 ** max(0, step - 4)
-        large = mixed.where(F.col("rest") > most)
-        nodes.append((mixed, mixed.where(F.col("rest") <= most).select("path", "cid", "root", "top", "all")))
-        if not large.limit(1).count():
-            break
-        level = stored(large.select("path", "cid").join(classes.select("cid", "sig"), "cid").select("path", "cid", "sig").mapInArrow(_deeper, "path long, cid long").distinct(), f"neardup-path{step}")
-        held = [level]
-    else:
-        raise RuntimeError("unlike documents haven't parted")
-    done = nodes[0][1]
-    for _, part in nodes[1:]:
-        done = done.unionByName(part)
+        return stored(labelled.join(groups, "path"), tag)
+
+    nodes = mixed(shared.select("path", "cid"), "neardup-level0")
+    level = nodes.where(F.col("rest") > REST).select("path", "cid").join(classes.select("cid", "sig"), "cid").select("path", "cid", "sig")
+    level = stored(level.mapInArrow(_deeper, "path long, cid long").distinct(), "neardup-branches")
+    deep = mixed(level, "neardup-level1")
+    drop_stored(shared, level)
+    done = nodes.where(F.col("rest") <= REST).unionByName(deep.where(F.col("rest") <= REST))
+    large = deep.where(F.col("rest") > REST)
     few = done.where("root <> top").select("path", F.col("cid").alias("a"), F.col("root").alias("ra"), "all")
-    heavy = stored(few.groupBy("a").agg(F.sum("all").alias("meets")).where(F.col("meets") > HEAVY).select("a"), "neardup-outsiders")
+    heavy = few.groupBy("a").agg(F.sum("all").alias("meets")).where(F.col("meets") > HEAVY).select("a")
+    heavy = stored(heavy.unionByName(large.where("root <> top").select(F.col("cid").alias("a"))).distinct(), "neardup-outsiders")
     n = heavy.count()
     own = F.broadcast(heavy) if n <= most_broadcast else heavy  # a long a row
     met = few.join(own, "a", "left_anti").join(done.select("path", F.col("cid").alias("b"), F.col("root").alias("rb"), "top"), "path")
@@ -295,12 +287,12 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     more = met.where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b")) | F.col("heavy"))).select("a", "b")
     rare = None
     if n:
-        among = done.join(few.join(own, "a", "left_semi").select("path").distinct(), "path", "left_semi").select("cid", "root").distinct()
+        among = done.join(few.join(own, "a", "left_semi").select("path").distinct(), "path", "left_semi").select("cid", "root").unionByName(large.select("cid", "root")).distinct()
         rare = join.by_rarity(among.join(own.select(F.col("a").alias("cid"), F.lit(True).alias("heavy")), "cid", "left").select("cid", "root", F.coalesce("heavy", F.lit(False)).alias("heavy")))
         more = more.unionByName(rare)
     late = join.links(more)
     before, roots = roots, components(links.unionByName(late))
-    drop_stored(before, *spent, late, heavy, rare, *(mixed for mixed, _ in nodes))
+    drop_stored(before, *spent, late, heavy, rare, nodes, deep)
 
     of = classes.select("cid", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
     low = of.groupBy("root").agg(F.min("first").alias("component_id"))
