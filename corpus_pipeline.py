@@ -31,7 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     told = langid.identify(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text"), model, keep=["id", "th"])
-    return _without(docs, told.where((F.col("lang_pred") == "und") | (F.col("likeness") < LEAST_LIKENESS)).select("id", "th"))
+    gone = stored(told.where((F.col("lang_pred") == "und") | (F.col("likeness") < LEAST_LIKENESS)).select("id", "th"), "language-gone")  # read twice: counted, and dropped
+    return _without(docs, gone)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

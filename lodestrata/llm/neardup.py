@@ -35,6 +35,8 @@ from .graph import components
 WIDTH, TREES, REST, STEP, GRAM = 64, 20, 16, 1, 5
 #: Comparisons of one class within its nodes; and so many of the most frequent shingles at most are sent to the tasks that put shingles in order (16 bytes each; the rest count as rare).
 HEAVY, MOST_COMMON = 64, 200_000
+#: Words whose hashes a worker remembers, some 130 bytes each.
+MOST_WORDS = 100_000
 #: Pivots of a node.
 ROUNDS = 2
 _A = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -67,7 +69,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
+    cache = WordHashes(MOST_WORDS)
     for b in batches:
         n, ids, sigs = [], [], []
         for t in b.column(1).to_pylist():
@@ -79,7 +81,7 @@ def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
+    cache = WordHashes(MOST_WORDS)
     for b in batches:
         cids, sets, size = [], [], 0
         for cid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
