@@ -17,7 +17,7 @@ doc_id and line number, has a Jaccard similarity of at least `similar` with it;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, stored, table
@@ -38,17 +38,15 @@ def low_text(text: Column) -> Column:
 def with_tokens(lines: DataFrame, line: str, *keep: str) -> DataFrame:
     """The columns in keep, h (hash of the words of a line of a low_text()) and t: hashes of the distinct runs of GRAM words (a shorter line is one run). Two different runs have the same hash by a chance of 1 in 2**64.
 
-    A run's hash is made from those of two pairs of words and of the last one. The arrays of words and pairs are variables of an outer lambda,
-    so they are neither copied into a row between steps nor looked up in it once a word.
+    The array of words is a variable of an outer lambda, so it is neither copied into a row between steps nor looked up in it once a word.
     """
-    words = F.transform(F.array_remove(F.split(F.col(line), " "), ""), lambda w: F.xxhash64(w))
-    pairs = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))).alias("p")))
 
-    def parts(q: Column) -> Column:
-        runs = F.transform(q["p"], lambda x, i: F.xxhash64(x, F.get(q["p"], i + 2), F.get(q["w"], i + 4)))
-        return F.struct(F.xxhash64(q["w"]).alias("h"), F.slice(runs, F.lit(1), F.greatest(F.size(q["w"]) - GRAM + 1, F.lit(1))).alias("r"))
+    def parts(w: Column) -> Column:
+        runs = F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, GRAM))))  # nulls past the end leave a hash as it is
+        return F.struct(F.xxhash64(w).alias("h"), F.slice(runs, F.lit(1), F.greatest(F.size(w) - GRAM + 1, F.lit(1))).alias("r"))
 
-    runs = lines.select(*keep, F.get(F.transform(pairs, parts), F.lit(0)).alias("s")).select(*keep, "s.h", "s.r")  # read more than once, so not made anew for each
+    words = F.array(F.array_remove(F.split(F.col(line), " "), ""))
+    runs = lines.select(*keep, F.get(F.transform(words, parts), F.lit(0)).alias("s")).select(*keep, "s.h", "s.r")  # read more than once, so not made anew for each
     return runs.select(*keep, "h", F.when(F.size("r") > 1, F.array_distinct("r")).otherwise(F.col("r")).alias("t"))
 
 
@@ -88,10 +86,11 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
     leads = lines.join(known, F.col("h") == F.col("_h"), "left").where(F.col("_h").isNull() | place.eqNullSafe(F.col("_place")))
 
     # 2. the screen
-    shared = stored(leads.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "lines-shared")
-    near = leads.select("h", "n", F.explode("prefix").alias("token")).join(shared.hint("shuffle_hash"), "token", "left_semi")  # shared grows with the input: shuffled at any size, one row a token, so only it is hashed and nothing sorted
+    # dealt out once, for the tokens of two different lines and for the lines that have these: both read all columns, or Spark would shuffle twice
+    tokens = leads.select("h", "n", F.explode("prefix").alias("token")).repartition("token")
+    shared = tokens.groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("n").alias("most")).where("a < b AND most > 0").select("token")
+    near = tokens.join(shared.hint("shuffle_hash"), "token", "left_semi")  # shared grows with the input: one row a token, so only it is hashed and nothing sorted
     near = stored(near.groupBy("h", "n").count().where(F.col("count") >= shared_at_least(F.col("n"), percent)).select("h"), "lines-near")  # repeated rows of docs count more than once, which loses nothing
-    drop_stored(shared)
     wanted = leads.select("doc", "th", "at", "h").join(_near(near.count(), most_broadcast, near), "h", "left_semi")
     wanted = stored(wanted.groupBy("doc", "th").agg(F.collect_set("at").alias("ats")), "lines-wanted")
     own = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text")).join(_near(wanted.count(), most_broadcast // 2, wanted), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_th") == F.col("th")))
@@ -99,14 +98,13 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
     full = stored(with_tokens(own, "line", "place").dropDuplicates(["h"]), "lines-full")
 
     # 3. the join by rarity
-    each = full.select("h", F.explode("t").alias("token"))
-    dup = stored(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "lines-counts")
-    held = each.join(dup.hint("shuffle_hash"), "token").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("k"))  # a line's own tokens
-    held = held.join(full.select("h", "place", F.size("t").alias("n")), "h")
-    held = held.select("h", "place", "n", "k", (F.col("n") - F.size("k")).alias("alone"))  # tokens that only this line has: the rarest of all
-    held = held.select("h", "place", "n", "alone", F.posexplode(F.slice("k", F.lit(1), F.greatest(F.lit(0), prefix_size(F.col("n"), percent) - F.col("alone")))).alias("after", "x"))
-    met = stored(held.select("h", "place", "n", (F.col("alone") + F.col("after")).alias("pos"), F.col("x.token").alias("token")), "lines-prefixes")
-    drop_stored(dup)
+    each = full.select("h", F.size("t").alias("n"), F.explode("t").alias("token")).repartition("token")  # dealt out once, as above
+    dup = each.groupBy("token").agg(F.count("*").alias("c"), F.min("h").alias("a"), F.max("h").alias("b"), F.max("n").alias("most")).where("a < b AND most > 0").select("token", "c")
+    own = Window.partitionBy("h")  # a line's own tokens
+    held = each.join(dup.hint("shuffle_hash"), "token").select("h", "n", "token", F.row_number().over(own.orderBy("c", "token")).alias("k"), F.count("*").over(own).alias("held"))
+    held = held.withColumn("pos", (F.col("n") - F.col("held") + F.col("k") - 1).cast("int"))  # tokens that only this line has are the rarest of all, and come first
+    held = held.where(F.col("pos") < prefix_size(F.col("n"), percent))
+    met = stored(held.join(full.select("h", "place"), "h").select("h", "place", "n", "pos", "token"), "lines-prefixes")
 
     least = F.floor(((F.col("n") + F.col("n2")) * percent + (99 + percent)) / (100 + percent))  # the overlap that the similarity needs
     # no token before a pair's first shared one is shared, so what follows it in the shorter rest must suffice
@@ -133,8 +131,9 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", perc
         after = left.join(_near(n_first, most_broadcast // 2, first), "token").where(F.col("place2") < F.col("place"))
         found = verified(after.where(fits), f"lines-settled{k}")
         settled.append(found)
-        # the first line of a token has no earlier one there; the others stay open there until a match is found
-        left = stored(after.select(*group.columns).join(_near(found.count(), most_broadcast, found), "h", "left_anti").select(*group.columns), f"lines-left{k}")
+        # the first line of a token has no earlier one there; the others stay open there until a match is found, the first open one too: before it are settled lines
+        still = after.select(*group.columns) if k == 0 else left
+        left = stored(still.join(_near(found.count(), most_broadcast, found), "h", "left_anti").select(*group.columns), f"lines-left{k}")
         spent += [first, left]
     earlier = group.select("token", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("place").alias("place2"))
     settled.append(verified(left.join(earlier, "token").where((F.col("place2") < F.col("place")) & fits), "lines-late"))

@@ -55,6 +55,33 @@ def test_line_cases(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_like_a_settled_one(spark):
+    """The last line is like the second alone, which the first one settles; the first has all tokens in common that the two can meet by."""
+    w = [f"w{i}" for i in range(44)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:34])), (3, " ".join(w[:28]))]
+    rows += [(4 + k, " ".join(w[24:] + [f"q{k}x{i}" for i in range(40)])) for k in range(5)]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+    assert got[3] == ""
+
+
+@pytest.mark.parametrize("size", [1_000, 5_000_000])
+def test_batches_to_workers_are_bounded_by_bytes(spark, size):
+    """Long texts don't fill a worker by the thousand, and the session keeps its own setting."""
+    import pyarrow as pa
+
+    from lodestrata.llm.common import BATCH, stored
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 20_000_000 // size, 1, 1).selectExpr(f"repeat('x', {size}) AS t")
+    most = stored(df.mapInArrow(held, "n long"), "test-batches").selectExpr("max(n)").first()[0]
+    assert most <= BATCH + 2 * size and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def words(text):
     out, now = [], ""
     for c in (text or "") + " ":
