@@ -27,6 +27,13 @@ def test_copies(spark, copies, name):
     same(catalog.QUERIES[name](spark, copies), duck(copies), sql)
 
 
+@pytest.mark.parametrize("lost", ["NULL", "embedding"])
+def test_precision_over_the_whole_table(spark, tmp_path, lost):
+    """Classes of fewer than five, vectors without a label and (NULL) without numbers are searched and found like any others."""
+    duckdb.connect().execute(f"COPY (SELECT vec_id, CASE WHEN vec_id % 9 = 4 THEN {lost} ELSE embedding END AS embedding, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN 1000 + vec_id // 8 ELSE label END AS label FROM '{SF}/embeddings.parquet' WHERE vec_id < 200) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    same(catalog.QUERIES["nn_precision"](spark, str(tmp_path)), duck(str(tmp_path)), catalog.ORACLES["nn_precision"])
+
+
 def test_each_vector_is_sent_a_bounded_number_of_times(spark, monkeypatch):
     monkeypatch.setattr(tiles, "GROUPS", 3)
     monkeypatch.setattr(tiles, "LEAST", 5)
